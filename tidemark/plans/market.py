@@ -6,6 +6,7 @@ import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tidemark.functions.literal import literal_table
 from tidemark.operators import prices as P, quality as Q, series as S, stats as A
 from tidemark.plans.common import Query, query, returns_of
 from tidemark.sources import fixtures as X
@@ -36,7 +37,8 @@ def prices_range_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def range_requests(spark: SparkSession) -> DataFrame:
     day = dt.date
-    return spark.createDataFrame(
+    return literal_table(
+        spark,
         [
             ("A", day(1990, 1, 1), day(2010, 1, 1), False),
             ("N", day(1999, 1, 1), day(2000, 1, 1), False),
@@ -82,7 +84,7 @@ def oos_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dq_requested(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([("A",), ("N",), ("R",), ("X",)], "asset string")
+    return literal_table(spark, [("A",), ("N",), ("R",), ("X",)], "asset string")
 
 
 def dq_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

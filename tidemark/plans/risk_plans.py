@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tidemark.functions.literal import literal_table
 from tidemark.functions.joins import spread_lookup
 from tidemark.operators import garch as G, risk as R, scenarios as S, series as SE, stats as A, validation as V
 from tidemark.operators.prices import tail_n, with_oos
@@ -77,13 +78,13 @@ def garch_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def garch_grid_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grid = spark.createDataFrame(GRID, "grid_id int, alpha double, beta double")
+    grid = literal_table(spark, GRID, "grid_id int, alpha double, beta double")
     return G.grid_fit(returns_of(spark, sf_dir), grid)
 
 
 def garch_param_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates derived from each asset's sample variance, some of them invalid."""
-    grid = spark.createDataFrame([(0, 0.1, 0.8), (1, 0.2, 0.9), (2, -0.1, 0.9), (3, 0.3, -0.1), (4, 0.5, 0.5)], "grid_id int, alpha double, beta double")
+    grid = literal_table(spark, [(0, 0.1, 0.8), (1, 0.2, 0.9), (2, -0.1, 0.9), (3, 0.3, -0.1), (4, 0.5, 0.5)], "grid_id int, alpha double, beta double")
     variance = returns_of(spark, sf_dir).groupBy("asset").agg(F.var_samp("r").alias("v"), F.avg("r").alias("mu"))
     candidates = variance.crossJoin(grid).withColumn("omega", F.col("v") * F.round(1 - F.col("alpha") - F.col("beta"), 6))
     return G.param_violations(candidates).select("asset", "grid_id", *G.PARAMS, "violation")

@@ -13,6 +13,7 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
 
@@ -30,7 +31,6 @@ def local_session(cpus: int = 8, app: str = "tidemark", **conf: str) -> SparkSes
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.shuffle.partitions", str(cpus))
-        .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
     for key, value in conf.items():
         builder = builder.config(key, value)

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
+from tidemark.functions.literal import literal_table
+
 HORIZONS = (1, 7, 14, 30)
 
 # Parameters of the oracle-checked recursions. R is near-integrated on purpose.
@@ -80,11 +82,11 @@ def prices_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def garch_params(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(GARCH_PARAMS, "asset string, omega double, alpha double, beta double, mu double")
+    return literal_table(spark, GARCH_PARAMS, "asset string, omega double, alpha double, beta double, mu double")
 
 
 def horizons(spark: SparkSession, days: tuple[int, ...] = HORIZONS) -> DataFrame:
-    return spark.createDataFrame([(d,) for d in days], "horizon_days int")
+    return literal_table(spark, [(d,) for d in days], "horizon_days int")
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,8 +135,11 @@ def deals(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def lifecycle(all_deals: DataFrame) -> DataFrame:
-    """One row per lifecycle event; a tenth of the settled deals get a second terminal event that must lose."""
+def lifecycle(all_deals: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per lifecycle event; a tenth of the settled deals get a second terminal event that must lose.
+
+    ``keep`` names further deal columns to carry.
+    """
     event = lambda name, days, index: F.struct(
         F.lit(name).alias("event_name"),
         (F.col("created_at") + F.expr(f"INTERVAL {days} DAY")).alias("event_ts"),
@@ -150,8 +155,8 @@ def lifecycle(all_deals: DataFrame) -> DataFrame:
         ),
         lambda e: e.isNotNull(),
     )
-    return all_deals.select("deal_id", "quote_id", "notional", F.inline(events)).select(
-        "deal_id", "quote_id", "event_name", "event_ts", "log_index", "notional"
+    return all_deals.select("deal_id", "quote_id", "notional", *keep, F.inline(events)).select(
+        "deal_id", "quote_id", "event_name", "event_ts", "log_index", "notional", *keep
     )
 
 
@@ -201,5 +206,51 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def topics_of(events: tuple[str, ...]) -> dict[str, str]:
+    """Stand-in topic0 per event name (the real ones need a hash Spark does not have)."""
+    import hashlib
+
+    return {name: "0x" + hashlib.sha256(name.encode()).hexdigest() for name in events}
+
+
+def raw_logs(all_deals: DataFrame) -> DataFrame:
+    """Undecoded logs of the lifecycle: 32-byte topics and data words. Every ninth deal adds a log of another event."""
+    from tidemark.functions.uint256 import hex_word
+
+    events = lifecycle(all_deals, ("depositor", "counterparty", "settlement_asset"))
+    key, name = F.col("deal_id"), F.col("event_name")
+    address = lambda c: F.lpad(F.md5(F.col(c)), 64, "0")
+    bytes32 = lambda c: F.rpad(c, 64, "0")
+    units = (F.col("notional") * 100).cast("decimal(20,0)").cast("decimal(38,0)") * F.lit(10**16).cast("decimal(17,0)")
+    amount, double = hex_word(units), hex_word(units * 2)
+    small = lambda c: F.lower(F.lpad(F.hex(c), 64, "0"))
+    topic = F.concat(F.lit("0x"), F.sha2(name, 256))
+    prefixed = lambda *words: F.array(topic, *[F.concat(F.lit("0x"), w) for w in words])
+    deal = small(key)
+    version = "garch_1_1-v1"
+    asset = F.when(F.col("settlement_asset").isNull(), F.lit("0" * 64)).otherwise(address("settlement_asset"))
+    created_data = F.concat(
+        address("counterparty"), asset, amount, double, small(F.unix_timestamp("event_ts") + 604800), small(F.lit(224)),
+        bytes32(F.md5(F.concat(F.lit("snap"), key.cast("string")))), small(F.lit(len(version))), bytes32(F.lit(version.encode().hex())),
+    )
+    payout = F.when(key % 10 == 0, F.lit("f" * 64)).otherwise(amount)
+    settled, created = name == "RiskEscrowSettled", name == "RiskEscrowCreated"
+    place = [
+        F.lit(1).alias("chain_id"), F.concat(F.lit("c"), (key % 3).cast("string")).alias("contract_address"),
+        F.datediff(F.to_date("event_ts"), F.lit("1995-01-01").cast("date")).cast("bigint").alias("block_number"),
+        _hex_md5(F.concat(F.lit("tx"), key.cast("string"))).alias("tx_hash"),
+    ]
+    logs = events.select(
+        *place, "log_index",
+        F.when(created, prefixed(deal, bytes32(F.substring("quote_id", 3, 32)), address("depositor")))
+        .when(settled, prefixed(deal, address("counterparty"))).otherwise(prefixed(deal, address("depositor"))).alias("topics"),
+        F.concat(F.lit("0x"), F.when(created, created_data).when(settled, F.concat(payout, small(key % 1000), amount)).otherwise(double)).alias("data"),
+    )
+    other = events.where((key % 9 == 0) & created).select(
+        *place, F.lit(9).alias("log_index"), F.array(F.concat(F.lit("0x"), F.sha2(F.lit("Transfer"), 256))).alias("topics"), F.lit("0x").alias("data")
+    )
+    return logs.unionByName(other)
+
+
 def _hex_md5(text: Column) -> Column:
     return F.concat(F.lit("0x"), F.md5(text))
