@@ -73,8 +73,16 @@ def mul_fixed(a: Column, b: Column, decimals: int, mode: str = "floor") -> Colum
 
 
 def div_fixed(a: Column, b: Column, decimals: int, mode: str = "floor") -> Column:
-    """Quotient rounded to ``decimals``; division by zero is an ANSI error."""
-    return _rounded(a / b, decimals, mode)
+    """Quotient of non-negative amounts at ``decimals`` places, rounded on the exact remainder; b = 0 is an ANSI error.
+
+    DECIMAL division itself keeps only a few places of a wide operand, so the remainder decides the rounding.
+    """
+    unit = b * F.lit(f"1e-{decimals}" if decimals else "1").cast(f"decimal({max(decimals, 1)},{decimals})")
+    rest = a % unit
+    whole = ((a - rest) / unit).cast("decimal(38,0)")
+    up = {"floor": F.lit(False), "ceil": rest > 0, "half_up": rest * 2 >= unit}[mode]
+    steps = (whole + F.when(up, 1).otherwise(0)).cast("decimal(38,0)")
+    return from_fixed_point(steps, decimals) if decimals else steps
 
 
 def format_fixed(x: Column, min_frac: int = 0, max_frac: int = 6, grouping: bool = True) -> Column:
