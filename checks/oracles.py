@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from checks import deal_sql, ledger_sql, market_sql, risk_sql
+from checks import deal_sql, ledger_sql, market_sql, risk_sql, stream_sql
 
-ORACLES: dict[str, str] = {**market_sql.ORACLES, **risk_sql.ORACLES, **ledger_sql.ORACLES, **deal_sql.ORACLES}
+ORACLES: dict[str, str] = {**market_sql.ORACLES, **risk_sql.ORACLES, **ledger_sql.ORACLES, **deal_sql.ORACLES, **stream_sql.ORACLES}
