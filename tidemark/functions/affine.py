@@ -34,10 +34,11 @@ def affine_scan(
     """
     keys = list(keys)
     rest = [c for c in df.columns if c not in keys and c not in (idx, a, b)]
-    chunked = df.withColumn("_chunk", F.floor(F.col(idx) / F.lit(chunk_rows)).cast("bigint"))
+    number = f"_chunk{levels}"
+    chunked = df.withColumn(number, F.floor(F.col(idx) / F.lit(chunk_rows)).cast("bigint"))
     if levels > 1:
-        chunked = chunked.repartition(*keys, "_chunk")
-    packed = chunked.groupBy(*keys, "_chunk").agg(
+        chunked = chunked.repartition(*keys, number)
+    packed = chunked.groupBy(*keys, number).agg(
         F.array_sort(F.collect_list(F.struct(idx, a, b, *rest))).alias("_items")
     )
     reduced = packed.withColumn(
@@ -49,12 +50,12 @@ def affine_scan(
         ),
     )
     if levels > 1:
-        summary = reduced.select(*keys, "_chunk", F.col("_step.A").alias("_A"), F.col("_step.F").alias("_F"), "_items")
+        summary = reduced.select(*keys, number, F.col("_step.A").alias("_A"), F.col("_step.F").alias("_F"), "_items")
         carried = affine_scan(
-            summary, keys, "_chunk", "_A", "_F", "_end", prev="_carry", chunk_rows=chunk_rows, levels=levels - 1
+            summary, keys, number, "_A", "_F", "_end", prev="_carry", chunk_rows=chunk_rows, levels=levels - 1
         )
     else:
-        before = W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
+        before = W.partitionBy(*keys).orderBy(number).rowsBetween(W.unboundedPreceding, -1)
         carried = reduced.withColumn(
             "_carry",
             F.aggregate(F.collect_list("_step").over(before), F.lit(0.0), lambda s, x: s * x["A"] + x["F"]),
