@@ -50,10 +50,9 @@ def parse_decimal(text: Column, decimals: int, mode: str = "floor") -> Column:
     fraction = F.regexp_extract(trimmed, r"\.([0-9]+)$", 1)
     dropped = F.substring(fraction, F.lit(decimals + 1), F.greatest(F.length(fraction) - decimals, F.lit(0)))
     up = {"floor": F.lit(False), "ceil": dropped.rlike("[1-9]"), "half_up": dropped.rlike("^[5-9]")}[mode]
-    kept = F.concat(F.regexp_extract(trimmed, "([0-9]+)", 1), F.lit("."), F.substring(fraction, 1, decimals), F.lit("0"))
-    unit = F.lit(f"1e-{decimals}" if decimals else "1").cast(f"decimal(38,{decimals})")
-    magnitude = (kept.cast(f"decimal(38,{decimals})") + F.when(up, unit).otherwise(F.lit(0))).cast(f"decimal(38,{decimals})")
-    signed = F.when(F.startswith(trimmed, F.lit("-")), -magnitude).otherwise(magnitude)
+    kept = F.concat(F.regexp_extract(trimmed, "([0-9]+)", 1), F.rpad(F.substring(fraction, 1, decimals), decimals, "0"))
+    magnitude = (kept.cast("decimal(38,0)") + F.when(up, 1).otherwise(0).cast("decimal(1,0)")).cast("decimal(38,0)")
+    signed = from_fixed_point(F.when(F.startswith(trimmed, F.lit("-")), -magnitude).otherwise(magnitude), decimals)
     return F.when(trimmed.rlike(DECIMAL_TEXT), signed).otherwise(F.when(text.isNotNull(), bad))
 
 

@@ -23,17 +23,14 @@ def _folder(spark: SparkSession, name: str) -> str:
     return f"{folder}/tidemark/{name}-{uuid.uuid4().hex}"
 
 
-def _deliver(spark: SparkSession, df: DataFrame, part, folder: str, start) -> list:
+def _deliver(spark: SparkSession, df: DataFrame, part, folder: str, start) -> None:
     """Write ``df`` part by part (``part`` = 0..PARTS-1) and run the stream after each: every run but the first is a restart."""
-    source, queries = f"{folder}/source", []
+    source = f"{folder}/source"
     table = stored(df.withColumn("_part", part), "parts")
     for i in range(PARTS):
         table.where(F.col("_part") == i).drop("_part").write.mode("append").parquet(source)
         stream = spark.readStream.schema(df.schema).parquet(source)
-        run = start(stream)
-        run.awaitTermination()
-        queries.append(run)
-    return queries
+        start(stream).awaitTermination()
 
 
 def _append(folder: str):
@@ -71,11 +68,11 @@ def _intake(spark: SparkSession, sf_dir: str) -> DataFrame:
     canonical = stored(X.canonical_blocks(observed), "canonical")
     folder = _folder(spark, "intake")
     part = F.least(F.floor(F.col("block_number") / 1000), F.lit(PARTS - 1))
-    runs = _deliver(
+    _deliver(
         spark, observed, part, folder,
         lambda s: SL.intake_stream(s, f"{folder}/ledger", f"{folder}/checkpoint", lambda: canonical, DEPTH),
     )
-    return SL.ledger_view(spark, f"{folder}/ledger", SL.last_batch(runs[-1]), L.as_observed(observed).schema)
+    return SL.ledger_view(spark, f"{folder}/ledger", SL.last_batch(spark, f"{folder}/ledger"), L.as_observed(observed).schema)
 
 
 def stream_observe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -92,9 +92,11 @@ def ledger_view(spark: SparkSession, folder: str, batch_id: int, schema: StructT
     return opened.unionByName(closed.join(opened.select(*L.IDENTITY), list(L.IDENTITY), "left_anti"))
 
 
-def last_batch(query: StreamingQuery) -> int:
-    """The batch id a finished ``availableNow`` query ended with."""
-    return query.lastProgress.batchId
+def last_batch(spark: SparkSession, folder: str) -> int:
+    """The id of the newest version written."""
+    rows = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/rows")
+    listed = rows.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(rows)
+    return max(int(status.getPath().getName().partition("=")[2]) for status in listed)
 
 
 def intake_stream(

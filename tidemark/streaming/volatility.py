@@ -58,7 +58,8 @@ def garch_stream(returns: DataFrame, state_table: DataFrame, refit_frequency: in
     def step(key, frames, state: GroupState):
         rows = pd.concat(list(frames))
         head = rows.iloc[0]
-        sigma2, eps2, n, last_day = state.get if state.exists else (head.latest_variance, head.latest_eps2 or 0.0, 0, head.latest_day)
+        eps2_before = 0.0 if pd.isna(head.latest_eps2) else head.latest_eps2
+        sigma2, eps2, n, last_day = state.get if state.exists else (head.latest_variance, eps2_before, 0, head.latest_day)
         out = []
         for day, r in _fresh_rows([rows], last_day)[["day", "r"]].itertuples(index=False):
             sigma2 = head.omega + head.alpha * eps2 + head.beta * sigma2
