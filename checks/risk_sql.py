@@ -60,11 +60,18 @@ def _uniform(text: str, start: int) -> str:
     return f"((('0x' || substr({text}, {start}, 13))::UBIGINT)::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE"
 
 
+def _mixed(source: str, name: str) -> str:
+    """The 32-bit avalanche as a chain of columns ending in ``name``."""
+    return f"""xor({source}, {source} >> 16) AS {name}1, ({name}1 * 2246822507::UBIGINT) & 4294967295::UBIGINT AS {name}2,
+       xor({name}2, {name}2 >> 13) AS {name}3, ({name}3 * 3266489909::UBIGINT) & 4294967295::UBIGINT AS {name}4, xor({name}4, {name}4 >> 16) AS {name}"""
+
+
 cte("fhs_draws", f"""
-SELECT asset, s AS scenario_id, t AS step,
-       list_extract(pool, 1 + CAST(floor((((('0x' || substr(md5('{SEED}#fhs#' || asset || '#' || s || '#' || (t // 4)), 8 * (t % 4) + 1, 8))::UBIGINT)::DOUBLE + 0.5)
-         / 4294967296.0::DOUBLE) * len(pool)) AS BIGINT)) AS z
-FROM pool CROSS JOIN range(0, {N}) a(s) CROSS JOIN range(0, {STOPS[-1]}) b(t)
+SELECT asset, s AS scenario_id, t AS step, xor(key, s::UBIGINT) AS x, {_mixed('x', 'a')},
+       xor(a, (((t + 1)::UBIGINT * 2654435769::UBIGINT) & 4294967295::UBIGINT)) AS y, {_mixed('y', 'b')},
+       list_extract(pool, 1 + CAST(floor((b::DOUBLE + 0.5e0) / 4294967296.0::DOUBLE * len(pool)) AS BIGINT)) AS z
+FROM (SELECT *, ('0x' || substr(md5('{SEED}#fhs#' || asset), 1, 8))::UBIGINT AS key FROM pool)
+CROSS JOIN range(0, {N}) r1(s) CROSS JOIN range(0, {STOPS[-1]}) r2(t)
 """, "pool")
 cte("fhs_paths", """
 SELECT asset, scenario_id, -1::BIGINT AS step, omega, alpha, beta, mu, latest_variance AS s2, sqrt(latest_eps2) AS eps, 0e0 AS total

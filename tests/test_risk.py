@@ -41,19 +41,38 @@ def test_scenarios_do_not_depend_on_partitioning_or_on_other_horizons(frame):
 def test_path_equals_a_plain_loop(frame):
     import hashlib
 
+    def mix(h):
+        h ^= h >> 16
+        h = h * 0x85EBCA6B % 2**32
+        h ^= h >> 13
+        h = h * 0xC2B2AE35 % 2**32
+        return h ^ (h >> 16)
+
     pool = np.random.default_rng(2).normal(size=50)
     got = {r["scenario_id"]: r["log_return"] for r in S.scenarios_fhs(model(frame, pool.tolist(), mu=1e-3), [6], 40).collect()}
+    key = int(hashlib.md5(b"42#fhs#A").hexdigest()[:8], 16)
     for s in range(40):
         s2, e2, total = 4e-4, 1e-4, 0.0
         for t in range(6):
-            word = hashlib.md5(f"42#fhs#A#{s}#{t // 4}".encode()).hexdigest()[8 * (t % 4) : 8 * (t % 4) + 8]
-            z = pool[int((int(word, 16) + 0.5) / 2**32 * len(pool))]
+            word = mix(mix(key ^ s) ^ ((t + 1) * 0x9E3779B9 % 2**32))
+            z = pool[int((word + 0.5) / 2**32 * len(pool))]
             s2 = 1e-5 + 0.1 * e2 + 0.8 * s2
             eps = z * np.sqrt(s2)
             e2, total = eps * eps, total + 1e-3 + eps
         assert got[s] == pytest.approx(total, abs=1e-13)
 
 
+def test_uniforms_are_uniform_and_uncorrelated():
+    from tidemark.functions.counter_rng import uniforms
+
+    u = np.array([uniforms(12345, np.arange(20000), t) for t in range(20)])
+    assert abs(u.mean() - 0.5) < 0.005 and abs(u.var() - 1 / 12) < 0.002
+    counts = np.histogram(u, bins=100, range=(0, 1))[0]
+    assert ((counts - 4000) ** 2 / 4000).sum() < 160  # chi-square with 99 degrees of freedom
+    between_steps = np.corrcoef(u)[np.triu_indices(20, 1)]
+    assert np.abs(between_steps).max() < 0.04 and abs(np.corrcoef(u[:, :-1].ravel(), u[:, 1:].ravel())[0, 1]) < 0.01
+
+
 def test_gbm_moments_and_monotone_tails(frame):
     m = model(frame, mean=0.001)
     out = S.scenarios_gbm(m, [1, 30], 20000)

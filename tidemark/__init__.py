@@ -1 +1,8 @@
 """Settlement-risk analytics on Spark DataFrames: many assets and many contracts at once."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# The few Python functions that run inside tasks travel with the job, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

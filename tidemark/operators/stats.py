@@ -35,33 +35,37 @@ def tail_measures(
 ) -> DataFrame:
     """VaR, ES and the percentile vector of ``x`` per group, in one shuffle and one pass over the input.
 
-    The quantiles are a window aggregate on the group, and the tail means are taken on the same partitioning, so
-    an expensive input (a simulation) is computed once. Groups are scenario sets: their size is the configured
-    scenario count or, for historical windows, the calendar. ``carry`` columns are constant within a group.
+    A group is a scenario set: at most the configured scenario count or, for historical windows, the calendar. Its
+    values are collected into one sorted array, from which every order statistic and tail mean is read, so an
+    expensive input (a simulation) is computed once and nothing is joined back. ``carry`` columns are constant within
+    a group.
     """
     for c in confidences:
         _check_confidence(c)
-    levels = [1 - c for c in confidences] + [p / 100 for p in PERCENTILES]
-    group = W.partitionBy(*keys)
-    marked = df.withColumn("_q", F.percentile(x, F.array(*[F.lit(v) for v in levels])).over(group))
-    tail = lambda i: F.avg(F.when(F.col(x) <= F.get("_q", F.lit(i)), F.col(x))).alias(f"_t{i}")
-    agg = marked.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_scenarios"),
-        F.first("_q").alias("_q"),
-        *[F.first(c).alias(c) for c in carry],
-        *[tail(i) for i in range(len(confidences))],
-    )
+    levels = {f"_q{i}": 1 - c for i, c in enumerate(confidences)} | {f"p{p}": p / 100 for p in PERCENTILES}
+    sets = df.groupBy(*keys).agg(F.array_sort(F.collect_list(x)).alias("_xs"), *[F.first(c).alias(c) for c in carry])
+    sized = sets.withColumn("n_scenarios", F.size("_xs").cast("bigint"))
+
+    def quantile(p: float) -> Column:
+        position = (F.col("n_scenarios") - 1) * F.lit(p)
+        low = F.get("_xs", F.floor(position).cast("int"))
+        return low + (F.get("_xs", F.ceil(position).cast("int")) - low) * (position - F.floor(position))
+
+    measured = sized.select("*", *[quantile(p).alias(name) for name, p in levels.items()])
+
+    def tail_mean(i: int) -> Column:
+        tail = F.filter("_xs", lambda v: v <= F.col(f"_q{i}"))
+        return F.aggregate(tail, F.lit(0.0), lambda total, v: total + v) / F.nullif(F.size(tail), F.lit(0))
+
     per_confidence = F.array(*[
         F.struct(
             F.lit(c).alias("confidence"),
-            F.greatest(-F.get("_q", F.lit(i)), F.lit(0.0)).alias("value_at_risk"),
-            F.greatest(-F.coalesce(F.col(f"_t{i}"), F.get("_q", F.lit(i))), F.lit(0.0)).alias("expected_shortfall"),
+            F.greatest(-F.col(f"_q{i}"), F.lit(0.0)).alias("value_at_risk"),
+            F.greatest(-F.coalesce(tail_mean(i), F.col(f"_q{i}")), F.lit(0.0)).alias("expected_shortfall"),
         )
         for i, c in enumerate(confidences)
     ])
-    offset = len(confidences)
-    percentiles = [F.get("_q", F.lit(offset + i)).alias(f"p{p}") for i, p in enumerate(PERCENTILES)]
-    return agg.select(*keys, "n_scenarios", *carry, *percentiles, F.inline(per_confidence))
+    return measured.select(*keys, "n_scenarios", *carry, *[f"p{p}" for p in PERCENTILES], F.inline(per_confidence))
 
 
 def expected_shortfall(df: DataFrame, keys: Sequence[str], x: str, confidences: Sequence[float]) -> DataFrame:
