@@ -9,6 +9,15 @@ from pyspark.sql import DataFrame, functions as F
 SPREAD = 16
 
 
+def spread_work(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition few but expensive rows over all cores.
+
+    A partition count stated here is kept at run time; without it, rows that are small in bytes would be merged into
+    one task however long each takes.
+    """
+    return df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
 def spread_lookup(big: DataFrame, small: DataFrame, on: Sequence[str], spread_by: str, *, how: str = "left", spread: int = SPREAD) -> DataFrame:
     """Join a big side to a small table on few, hot keys.
 

@@ -12,15 +12,14 @@ def with_previous(df: DataFrame, keys: Sequence[str], bucket: Column, order: Seq
 
     ``bucket`` must rise with ``order`` (a day of a timestamp, a slice of a sequence). Rows are ordered per
     (keys, bucket) only; a bucket's first row takes the last value of the bucket before it, found on one summary
-    row per bucket. A key holding a large share of all rows is therefore spread over its buckets.
+    row per bucket. No row is joined. A key holding a large share of all rows is therefore spread over its buckets.
     """
-    keys = list(keys)
+    keys, order = list(keys), list(order)
     marked = df.withColumn("_bucket", bucket)
-    inside = W.partitionBy(*keys, "_bucket").orderBy(*order)
-    stepped = marked.withColumn("_lag", F.lag(value).over(inside)).withColumn("_first", F.row_number().over(inside) == 1)
-    ends = marked.groupBy(*keys, "_bucket").agg(F.max_by(value, F.struct(*order)).alias("_end"))
-    carried = ends.withColumn("_carry", F.lag("_end").over(W.partitionBy(*keys).orderBy("_bucket"))).drop("_end")
-    joined = stepped.join(carried, [*keys, "_bucket"])
-    return joined.withColumn(out, F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_lag"))).drop(
-        "_bucket", "_lag", "_first", "_carry"
-    )
+    ends = marked.groupBy(*keys, "_bucket").agg(F.max_by(value, F.struct(*order)).alias(value))
+    # The last value of a bucket becomes a row in front of the key's next bucket.
+    ahead = F.lead("_bucket").over(W.partitionBy(*keys).orderBy("_bucket"))
+    carried = ends.withColumn("_bucket", ahead).where(F.col("_bucket").isNotNull()).withColumn("_own", F.lit(1))
+    both = marked.withColumn("_own", F.lit(2)).unionByName(carried, allowMissingColumns=True)
+    inside = W.partitionBy(*keys, "_bucket").orderBy("_own", *order)
+    return both.withColumn(out, F.lag(value).over(inside)).where(F.col("_own") == 2).drop("_bucket", "_own")

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tidemark.functions import garch_mle
+from tidemark.functions.joins import spread_work
 from tidemark.operators.prices import tail_n, var_to_vol
 from tidemark.operators.series import EWMA_LAMBDA, ewma_volatility, garch_variance_path, rolling_volatility, vol_history
 
@@ -34,7 +35,7 @@ def fit_garch(windows: DataFrame, keys: Sequence[str] = ("asset",)) -> DataFrame
         row = dict(zip(keys, key)) | {k: (None if isinstance(v, float) and math.isnan(v) else v) for k, v in fitted.items()}
         return pd.DataFrame([row])
 
-    return windows.select(*keys, "idx", "r").groupBy(*keys).applyInPandas(fit_one, schema)
+    return spread_work(windows.select(*keys, "idx", "r"), *keys).groupBy(*keys).applyInPandas(fit_one, schema)
 
 
 def _probe():
@@ -51,7 +52,7 @@ def grid_log_likelihood(returns: DataFrame, grid: DataFrame) -> DataFrame:
     whole = W.partitionBy("asset")
     marked = returns.withColumn("mu", F.avg("r").over(whole)).withColumn("_var", F.var_samp("r").over(whole))
     candidates = marked.crossJoin(grid).withColumn("omega", F.col("_var") * (1 - F.col("alpha") - F.col("beta"))).drop("_var")
-    path = garch_variance_path(candidates, keys=("asset", "grid_id"))
+    path = garch_variance_path(spread_work(candidates, "asset", "grid_id"), keys=("asset", "grid_id"))
     term = -0.5 * (F.lit(math.log(2 * math.pi)) + F.ln("sigma2") + F.col("eps2") / F.col("sigma2"))
     return path.groupBy("asset", "grid_id", *PARAMS).agg(F.sum(term).alias("log_likelihood"))
 

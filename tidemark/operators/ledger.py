@@ -54,10 +54,8 @@ def _word(where: str) -> str:
 
 
 def _decode(kind: str, where: str) -> str:
-    """SQL text of one decoded field."""
+    """SQL text of one decoded field other than a number."""
     word = _word(where)
-    if kind == "uint":
-        return decimal_text(word)
     if kind == "address":
         return f"concat('0x', right({word}, 40))"
     if kind == "bytes32":
@@ -69,6 +67,11 @@ def _decode(kind: str, where: str) -> str:
     return f"decode(unhex(substring(data, {start} + {WORD}, 2 * {length})), 'UTF-8')"
 
 
+def _per_event(build) -> str:
+    """SQL text choosing ``build(fields)`` by event name."""
+    return "case event_name " + " ".join(f"when '{event}' then {build(fields)}" for event, fields in EVENT_FIELDS.items()) + " end"
+
+
 def decode_logs(logs: DataFrame, signatures: DataFrame) -> DataFrame:
     """Raw logs (identity, block columns, topics ARRAY<STRING>, data STRING) to named events with a field map.
 
@@ -76,10 +79,20 @@ def decode_logs(logs: DataFrame, signatures: DataFrame) -> DataFrame:
     ``decoded`` MAP<STRING,STRING> and ``deal_id`` (only for the three deal events). No Python is involved.
     """
     named = logs.withColumn("topic0", F.lower(F.get("topics", F.lit(0)))).join(signatures, "topic0").drop("topic0")
-    maps = {
-        event: ", ".join(f"'{name}', {_decode(kind, where)}" for name, kind, where in fields) for event, fields in EVENT_FIELDS.items()
-    }
-    decoded = F.expr("case event_name " + " ".join(f"when '{event}' then map({entries})" for event, entries in maps.items()) + " end")
+    # All numbers of a row are gathered and decoded by one lambda: spelled out per field, the generated code would
+    # outgrow what the JVM compiles.
+    words = _per_event(lambda fields: "array(" + ", ".join(_word(where) for _, kind, where in fields if kind == "uint") + ")")
+    numbers = F.expr(f"transform({words}, w -> {decimal_text('w')})")
+
+    def entries(fields) -> str:
+        position, parts = 0, []
+        for name, kind, where in fields:
+            parts.append(f"'{name}', " + (f"_numbers[{position}]" if kind == "uint" else _decode(kind, where)))
+            position += kind == "uint"
+        return "map(" + ", ".join(parts) + ")"
+
+    named = named.withColumn("_numbers", numbers)
+    decoded = F.expr(_per_event(entries))
     rest = [c for c in logs.columns if c not in ("topics", "data")]
     return with_deal_id(named.withColumn("decoded", decoded).select(*rest, "event_name", "decoded"))
 

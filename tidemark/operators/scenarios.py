@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.functions.counter_rng import standard_normal, stream_key, uniforms
+from tidemark.functions.joins import spread_work
 from tidemark.operators.garch import FITTING_WINDOW, PARAMS, fit_state, state_for
 from tidemark.operators.prices import tail_n
 from tidemark.operators.series import garch_variance_path, historical_horizon_returns, standardized_residuals
@@ -48,7 +49,7 @@ def scenario_model(
 def _in_blocks(model: DataFrame, n_scenarios: int) -> DataFrame:
     """One row per (asset, block of 4,096 scenarios), spread over the cluster; ``_lo`` and ``_hi`` bound the block."""
     blocks = -(-n_scenarios // BLOCK_SCENARIOS)
-    spread = model.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).repartition("asset", "_block")
+    spread = spread_work(model.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))), "asset", "_block")
     low = F.col("_block") * BLOCK_SCENARIOS
     return spread.withColumn("_lo", low.cast("bigint")).withColumn(
         "_hi", F.least(low + (BLOCK_SCENARIOS - 1), F.lit(n_scenarios - 1)).cast("bigint")

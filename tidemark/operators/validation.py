@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from tidemark.functions.joins import spread_work
 from tidemark.operators.garch import FITTING_WINDOW, REFIT_FREQUENCY, fit_garch
 from tidemark.operators.prices import var_to_vol, with_oos
 from tidemark.operators.series import ewma_variance_forecast, garch_variance_path, rolling_variance_forecast, standardized_residuals
@@ -43,6 +44,8 @@ def garch_walk_forward(
     """
     segments = walk_forward_segments(placed, window, refit)
     keys = ["asset", "segment"]
+    # Each row is repeated window / refit times: segments, not assets, are what is spread over the cores.
+    segments = spread_work(segments, *keys)
     if params is None:
         fits = fit_garch(segments.where("train"), keys).select(*keys, "omega", "alpha", "beta", "mu")
         rows = segments.join(fits, keys)
