@@ -33,10 +33,8 @@ def to_fixed_point(x: Column, decimals: int = 18, mode: str = "half_up") -> Colu
 
 def from_fixed_point(units: Column, decimals: int = 18) -> Column:
     """Base units to a decimal amount. Digits are moved, not divided, so the result is exact."""
-    digits = F.abs(units).cast("decimal(38,0)").cast("string")
-    padded = F.lpad(digits, F.greatest(F.length(digits), F.lit(decimals + 1)), F.lit("0"))
-    cut = F.length(padded) - decimals
-    text = F.concat(F.substring(padded, F.lit(1), cut), F.lit("."), F.substring(padded, cut + 1, F.lit(decimals)))
+    padded = F.lpad(F.abs(units).cast("decimal(38,0)").cast("string"), 39, "0")
+    text = F.regexp_replace(padded, f"^([0-9]{{{39 - decimals}}})([0-9]{{{decimals}}})$", "$1.$2")
     return F.concat(F.when(units < 0, "-").otherwise(""), text).cast(f"decimal(38,{decimals})")
 
 
@@ -50,9 +48,12 @@ def parse_decimal(text: Column, decimals: int, mode: str = "floor") -> Column:
     fraction = F.regexp_extract(trimmed, r"\.([0-9]+)$", 1)
     dropped = F.substring(fraction, F.lit(decimals + 1), F.greatest(F.length(fraction) - decimals, F.lit(0)))
     up = {"floor": F.lit(False), "ceil": dropped.rlike("[1-9]"), "half_up": dropped.rlike("^[5-9]")}[mode]
-    kept = F.concat(F.regexp_extract(trimmed, "([0-9]+)", 1), F.rpad(F.substring(fraction, 1, decimals), decimals, "0"))
-    magnitude = (kept.cast("decimal(38,0)") + F.when(up, 1).otherwise(0).cast("decimal(1,0)")).cast("decimal(38,0)")
-    signed = from_fixed_point(F.when(F.startswith(trimmed, F.lit("-")), -magnitude).otherwise(magnitude), decimals)
+    minus = F.startswith(trimmed, F.lit("-"))
+    kept = F.concat(
+        F.when(minus, "-").otherwise(""), F.regexp_extract(trimmed, "([0-9]+)", 1), F.rpad(F.substring(fraction, 1, decimals), decimals, "0")
+    )
+    carry = F.when(~up, 0).when(minus, -1).otherwise(1).cast("decimal(1,0)")
+    signed = from_fixed_point((kept.cast("decimal(38,0)") + carry).cast("decimal(38,0)"), decimals)
     return F.when(trimmed.rlike(DECIMAL_TEXT), signed).otherwise(F.when(text.isNotNull(), bad))
 
 

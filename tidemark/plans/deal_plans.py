@@ -274,15 +274,18 @@ def constraint_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scalar_fixed_point(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Amount expressions over all submissions."""
-    rows = X.submissions(X.deals(spark, sf_dir))
-    amount = K.from_fixed_point(K.base_units(F.col("notional_wei")))
-    plain = amount.cast("decimal(20,8)")
-    text = amount.cast("string")
+    units = K.base_units(F.col("notional_wei"))
+    rows = X.submissions(X.deals(spark, sf_dir)).withColumn("amount", K.from_fixed_point(units))
+    # Kept as columns: written into every expression below, the amount would make code too long to compile.
+    rows = rows.withColumn("text", F.col("amount").cast("string")).withColumn(
+        "third", K.div_fixed(F.col("amount"), F.lit(3).cast("decimal(2,0)"), 2, "ceil")
+    )
+    amount, text, plain = F.col("amount"), F.col("text"), F.col("amount").cast("decimal(20,8)")
     return rows.select(
         "quote_id",
         amount.cast("decimal(38,18)").alias("amount"),
         K.to_fixed_point(amount).alias("units"),
-        K.to_fixed_point(K.div_fixed(amount, F.lit(3).cast("decimal(2,0)"), 2, "ceil"), 2).alias("third_up_cents"),
+        K.to_fixed_point(F.col("third"), 2).alias("third_up_cents"),
         K.parse_decimal(text, 1, "floor").cast("decimal(20,1)").alias("tenths_down"),
         K.parse_decimal(text, 1, "half_up").cast("decimal(20,1)").alias("tenths_half_up"),
         K.parse_decimal(text, 1, "ceil").cast("decimal(20,1)").alias("tenths_up"),
