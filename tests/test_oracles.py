@@ -8,8 +8,8 @@ import __spark_entry__ as entry
 from checks.run import compare, connect, rows_of
 
 SF_DIR = "/root/testdata/sf0.001"
-ORACLES = entry.oracle_sql()
-QUERIES = entry.queries()
+from checks.oracles import ORACLES  # noqa: E402
+from tidemark.plans.registry import QUERIES  # noqa: E402
 
 
 @pytest.fixture(scope="module")
