@@ -127,7 +127,7 @@ FROM (SELECT *, (SELECT max(block_number) FROM canonical_blocks) AS chain_head F
 """),
     "health_class": """
 SELECT snapshot_id, CASE WHEN missing THEN 'unreachable' WHEN stale THEN 'degraded' WHEN lag > 15 THEN 'lagging' ELSE 'healthy' END AS health,
-       CASE WHEN missing THEN 'Could not reach the indexer.' WHEN stale AND err THEN 'Last error: e' || snapshot_id
+       CASE WHEN missing THEN 'Could not reach the chain indexer’s health endpoint.' WHEN stale AND err THEN 'Last error: e' || snapshot_id
             WHEN stale THEN 'No successful RPC call in over 60s.' WHEN lag > 15 THEN lag || ' blocks behind head (expected up to ~5).'
             ELSE 'Synced within the expected confirmation depth.' END AS detail
 FROM (SELECT o_orderkey AS snapshot_id, o_orderkey % 13 = 0 AS missing, o_orderkey % 11 = 0 OR o_orderkey % 120 > 60 AS stale,

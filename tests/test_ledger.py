@@ -122,7 +122,7 @@ def test_config_state_keeps_the_last_value_of_each_field(frame):
     assert (oracle["risk_oracle"], oracle["platform_fee_bps"], oracle["updated_at_block"]) == ("o", "750", 9)
 
 
-@pytest.mark.parametrize("value", [0, 1, 2**32, 2**63, 2**64 - 1, 2**64, 2**123, 2**124, 10**38, 2**255 + 12345678901234567890, 2**256 - 1])
+@pytest.mark.parametrize("value", [0, 1, 2**32, 2**63, 2**64 - 1, 2**64, 10**18 * 2**64, 10**18 * 2**64 + 1, 2**123, 2**124 - 1, 2**124, 10**38, 2**255 + 12345678901234567890, 2**256 - 1])
 def test_uint256_text(frame, value):
     assert frame([(f"{value:064x}",)], "w string").select(F.expr(decimal_text("w")).alias("d")).first()["d"] == str(value)
 

@@ -80,6 +80,14 @@ def test_inversions_are_counted_across_slices(frame, monkeypatch):
     assert Q.arrival_inversions(frame(rows, PRICES)).first()["n_inversions"] == sum(b < a for a, b in zip(days, days[1:]))
 
 
+def test_log_returns_leave_out_days_without_price(frame):
+    day = lambda d: dt.date(2020, 1, d)
+    rows = [("A", day(1), None), ("A", day(2), 1.0), ("A", day(3), float("nan")), ("A", day(4), 2.0), ("A", day(5), 1.0)]
+    got = P.log_returns(frame(rows, "asset string, day date, close double")).orderBy("day").collect()
+    assert [(r["day"], r["idx"]) for r in got] == [(day(4), 0), (day(5), 1)]
+    assert [round(r["r"], 9) for r in got] == [0.693147181, -0.693147181]
+
+
 def test_log_returns(frame):
     rows = [("A", START + i * DAY, 1.0, 1.0, 1.0, p, 1.0, i) for i, p in enumerate([100.0, 110.0, 99.0])]
     out = P.log_returns(frame(rows, PRICES)).orderBy("idx").collect()

@@ -10,7 +10,7 @@ _LIMBS = 9
 # One SQL text per word keeps the plan cheap to build: a log row has many words.
 _TINY = "conv(right({w}, 16), 16, 10)"
 _SMALL = (
-    "cast(cast(conv(substring({w}, 34, 15), 16, 10) as decimal(18,0)) * cast('18446744073709551616' as decimal(20,0))"
+    "cast(cast(conv(substring({w}, 34, 15), 16, 10) as decimal(19,0)) * cast('18446744073709551616' as decimal(20,0))"
     " + cast(conv(right({w}, 16), 16, 10) as decimal(20,0)) as string)"
 )
 # limbs = limbs * 2^32 + part, for the eight 32-bit parts; limbs hold nine decimal digits, least significant first.

@@ -370,7 +370,7 @@ def classify_health(snapshots: DataFrame) -> DataFrame:
         "health", F.when(missing, "unreachable").when(stale, "degraded").when(lagging, "lagging").otherwise("healthy")
     ).withColumn(
         "detail",
-        F.when(missing, "Could not reach the indexer.")
+        F.when(missing, "Could not reach the chain indexer’s health endpoint.")
         .when(broken, F.concat(F.lit("Last error: "), F.col("last_error")))
         .when(stale, f"No successful RPC call in over {RPC_STALE_SECONDS}s.")
         .when(lagging, said)

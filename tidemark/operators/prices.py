@@ -54,7 +54,7 @@ def plan_missing_ranges(prices: DataFrame, requests: DataFrame) -> DataFrame:
 
 
 def upsert_prices(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Union of both; a repeated (asset, day) keeps the row with the highest ``ingest_seq``, ``new`` winning ties."""
+    """Union of both; a repeated (asset, day) keeps the row of ``new``; within one side the highest ``ingest_seq`` wins."""
     both = old.withColumn("_side", F.lit(0)).unionByName(new.withColumn("_side", F.lit(1)))
     rest = [c for c in old.columns if c not in ("asset", "day", "ingest_seq")]
     last = both.groupBy("asset", "day").agg(F.max(F.struct("_side", "ingest_seq", *rest)).alias("_last"))
@@ -62,11 +62,15 @@ def upsert_prices(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def log_returns(prices: DataFrame, price_col: str = "close") -> DataFrame:
-    """(asset, day, idx, r): ln of successive price ratios. A price <= 0 is an error."""
+    """(asset, day, idx, r): ln of successive price ratios, numbered from 0.
+
+    Days without a price (null or NaN) are left out before anything is counted. A price <= 0 is an error.
+    """
     by_day = W.partitionBy("asset").orderBy("day")
     price = F.col(price_col)
     safe = F.when(price <= 0, F.raise_error(F.lit("log_returns requires strictly positive prices"))).otherwise(F.ln(price))
-    logged = prices.select("asset", "day", safe.alias("_ln"))
+    known = prices.where(price.isNotNull() & ~F.isnan(price.cast("double")))
+    logged = known.select("asset", "day", safe.alias("_ln"))
     stepped = logged.select(
         "asset", "day",
         (F.col("_ln") - F.lag("_ln").over(by_day)).alias("r"),

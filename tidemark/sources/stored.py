@@ -15,24 +15,22 @@ from pyspark.sql import DataFrame, SparkSession
 _DIR = "spark.checkpoint.dir"
 
 
-def shared_dir(spark: SparkSession) -> str | None:
+def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; a temporary one only for a local session that names none."""
     named = spark.conf.get(_DIR, None)
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
-        return None
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError(f"set {_DIR} to a folder that the driver and all executors share")
     made = tempfile.mkdtemp(prefix="run-", dir="/tmp")
     spark.conf.set(_DIR, made)
     return made
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a written table; without a shared folder, ``df`` itself (recomputed per use, same rows)."""
+    """``df`` as a written table."""
     spark = df.sparkSession
-    folder = shared_dir(spark)
-    if folder is None:
-        return df
-    path = f"{folder}/tidemark/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
