@@ -14,6 +14,7 @@ import hashlib
 import json
 import mmap
 import re
+import struct
 import tempfile
 import unicodedata
 from collections import Counter
@@ -80,18 +81,28 @@ class Vocabulary:
         """Ids of one word: its parts, each merged pair by pair in order of rank."""
         if word in self.special:
             return (self.special[word],)
-        out: list[int] = []
-        for part in self.parts.findall(word):
-            symbols = [self.symbols[b] for b in part.encode("utf-8", "surrogatepass")]
-            symbols[-1] += self.suffix
-            ranks = self.ranks
-            while len(symbols) > 1:
-                rank, at = min((ranks.get(pair, 1 << 30), i) for i, pair in enumerate(zip(symbols, symbols[1:])))
-                if rank == 1 << 30:
-                    break
-                symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
-            out += [self.ids[s] for s in symbols]
-        return tuple(out)
+        if word.isalpha():
+            return self._merge_part(word)
+        return tuple([i for part in self.parts.findall(word) for i in self._merge_part(part)])
+
+    def _merge_part(self, part: str) -> tuple[int, ...]:
+        """Merge one part; each step takes the leftmost pair of least rank and ranks its two new neighbours."""
+        rank_of, none = self.ranks.get, 1 << 30
+        symbols = [self.symbols[b] for b in part.encode("utf-8", "surrogatepass")]
+        symbols[-1] += self.suffix
+        ranks = [rank_of(pair, none) for pair in zip(symbols, symbols[1:])]
+        while ranks:
+            least = min(ranks)
+            if least == none:
+                break
+            at = ranks.index(least)
+            symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
+            del ranks[at]
+            if at:
+                ranks[at - 1] = rank_of((symbols[at - 1], symbols[at]), none)
+            if at < len(ranks):
+                ranks[at] = rank_of((symbols[at], symbols[at + 1]), none)
+        return tuple([self.ids[s] for s in symbols])
 
     def decode(self, ids: Iterable[int]) -> str:
         """Names of the ids joined by spaces, which is what a tokenizer file without decoder asks for."""
@@ -230,7 +241,7 @@ class Codec:
     def _learn(self, words: list[str]) -> None:
         for word, number in zip(words, self.lexicon.find(words).tolist()):
             ids = self.lexicon.output(number) if number >= 0 else self.vocabulary.merge(word)
-            self.coded[word] = np.array(ids, "<u4").tobytes()
+            self.coded[word] = struct.pack(f"<{len(ids)}I", *ids)
             self.named[word] = self.vocabulary.decode(ids)
 
     def __call__(self, texts: list[str]) -> Iterator[tuple[bytes, str]]:
