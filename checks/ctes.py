@@ -72,17 +72,18 @@ SELECT * FROM (VALUES ('A', 2e-4, 8e-2, 85e-2, 0e0), ('N', 5e-4, 1e-1, 55e-2, 1e
 p(asset, omega, alpha, beta, mu)
 """)
 cte("observations", """
-SELECT 1 AS chain_id, 'c' || CAST(l_orderkey % 3 AS VARCHAR) AS contract_address, block_number,
-       '0x' || md5(CAST(block_number AS VARCHAR) || CASE WHEN block_number % 17 = 0 AND l_linestatus = 'F' THEN 'b' ELSE 'a' END) AS block_hash,
+SELECT chain_id, 'c' || CAST(l_orderkey % 3 AS VARCHAR) AS contract_address, block_number,
+       '0x' || md5(CAST(block_number AS VARCHAR) || CASE WHEN block_number % 17 = 0 AND l_linestatus = 'F' THEN 'b' ELSE 'a' END || chain_id) AS block_hash,
        '0x' || md5('tx' || CAST(l_orderkey AS VARCHAR)) AS tx_hash, CAST(l_orderkey % 64 AS INT) AS tx_index, l_linenumber AS log_index,
        CASE l_linenumber WHEN 1 THEN 'RiskEscrowCreated' WHEN 2 THEN 'RiskEscrowSettled' WHEN 3 THEN 'RiskEscrowRefunded'
             WHEN 4 THEN 'RiskOracleUpdated' WHEN 5 THEN 'PlatformFeeUpdated' WHEN 6 THEN 'PlatformWalletUpdated' ELSE 'Unknown' END AS event_name,
        CASE WHEN l_linenumber <= 3 THEN l_orderkey END AS deal_id,
        l_shipdate AS observed_at, l_partkey AS ord1, l_suppkey AS ord2
-FROM (SELECT *, date_diff('day', DATE '1995-01-01', CAST(l_shipdate AS DATE)) AS block_number FROM lineitem)
+FROM (SELECT *, CASE WHEN l_orderkey % 3 = 2 THEN 2 ELSE 1 END AS chain_id,
+             date_diff('day', DATE '1995-01-01', CAST(l_shipdate AS DATE)) - CASE WHEN l_orderkey % 3 = 2 THEN 200 ELSE 0 END AS block_number FROM lineitem)
 """)
 cte("canonical_blocks", """
-SELECT DISTINCT block_number, '0x' || md5(CAST(block_number AS VARCHAR) || 'a') AS block_hash FROM observations
+SELECT DISTINCT chain_id, block_number, '0x' || md5(CAST(block_number AS VARCHAR) || 'a' || chain_id) AS block_hash FROM observations
 """, "observations")
 cte("deals", """
 SELECT o_orderkey AS deal_id, '0x' || md5('q' || CAST(o_orderkey AS VARCHAR)) AS quote_id,

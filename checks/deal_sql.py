@@ -118,7 +118,7 @@ FROM deals d LEFT JOIN risk_quotes q USING (quote_id)
     WHEN 'active' THEN CASE WHEN o AND e = 'RiskEscrowSettled' THEN 'Active — settlement observed' WHEN o AND e = 'RiskEscrowRefunded' THEN 'Active — refund observed' ELSE 'Active' END
     ELSE CASE WHEN o AND e = 'RiskEscrowCreated' THEN 'Observed — awaiting confirmation' WHEN has_submitted_tx THEN 'Submitted — not yet observed' ELSE 'Pending' END END AS label
   FROM d LEFT JOIN l USING (deal_id))
-SELECT *, CASE WHEN label IN ('Settled', 'Active') THEN 'positive' WHEN label IN ('Refunded', 'Cancelled', 'Pending') THEN 'neutral' WHEN label LIKE 'Submitted%' THEN 'warning' ELSE 'info' END AS tone,
+SELECT status, has_submitted_tx, label, CASE WHEN deal_id % 3 = 2 THEN 2 ELSE 1 END AS chain_id, 'c' || (deal_id % 3) AS contract_address, deal_id // 3 AS deal_id, CASE WHEN label IN ('Settled', 'Active') THEN 'positive' WHEN label IN ('Refunded', 'Cancelled', 'Pending') THEN 'neutral' WHEN label LIKE 'Submitted%' THEN 'warning' ELSE 'info' END AS tone,
        label IN ('Settled', 'Refunded', 'Cancelled', 'Active') AS confirmed FROM s
 """),
     "settlement_amounts": with_ctes("amounts", f"""
@@ -145,7 +145,7 @@ SELECT deal_id, created_at + horizon_days * INTERVAL 1 DAY AS settlement_deadlin
        status = 'active' AND TIMESTAMP '2000-01-01 12:00:00' > created_at + horizon_days * INTERVAL 1 DAY AS refundable FROM deals
 """),
     "settlement_reconciliation": with_ctes("lifecycle", """
-SELECT deal_id, event_name, CASE WHEN event_name = 'RiskEscrowSettled' THEN CASE WHEN deal_id % 29 = 0 THEN 1::BIGINT ELSE 0 END END AS payout_diff,
+SELECT CASE WHEN deal_id % 3 = 2 THEN 2 ELSE 1 END AS chain_id, 'c' || (deal_id % 3) AS contract_address, deal_id // 3 AS deal_id, event_name, CASE WHEN event_name = 'RiskEscrowSettled' THEN CASE WHEN deal_id % 29 = 0 THEN 1::BIGINT ELSE 0 END END AS payout_diff,
        CASE WHEN event_name = 'RiskEscrowSettled' THEN 0::BIGINT END AS fee_diff,
        CASE WHEN event_name = 'RiskEscrowSettled' THEN 0::BIGINT WHEN deal_id % 31 = 0 THEN -1 ELSE 0 END AS refund_diff
 FROM lifecycle WHERE event_name <> 'RiskEscrowCreated'

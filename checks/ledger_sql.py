@@ -20,16 +20,16 @@ def _confirmation(prefix: str, preconfirmed: str) -> None:
     cte(f"{prefix}_events", f"SELECT *, CASE WHEN {preconfirmed} THEN 'confirmed' ELSE 'observed' END AS state FROM current_rows", "current_rows")
     cte(f"{prefix}_pending", f"""
 SELECT DISTINCT chain_id, contract_address, block_number, block_hash FROM {prefix}_events
-WHERE state = 'observed' AND block_number <= (SELECT max(block_number) FROM canonical_blocks) - 5
+WHERE state = 'observed' AND block_number <= (SELECT max(block_number) FROM canonical_blocks c WHERE c.chain_id = {prefix}_events.chain_id) - 5
 """, f"{prefix}_events", "canonical_blocks")
     cte(f"{prefix}_bad", f"""
 SELECT chain_id, contract_address, min(p.block_number) FILTER (WHERE c.block_hash IS DISTINCT FROM p.block_hash) AS first_bad
-FROM {prefix}_pending p LEFT JOIN canonical_blocks c USING (block_number) GROUP BY ALL
+FROM {prefix}_pending p LEFT JOIN canonical_blocks c USING (chain_id, block_number) GROUP BY ALL
 """, f"{prefix}_pending")
     cte(f"{prefix}_confirmed", f"""
 SELECT chain_id, tx_hash, log_index, contract_address, block_number, event_name,
        CASE WHEN state = 'observed' AND (first_bad IS NULL OR block_number < first_bad)
-             AND block_number <= (SELECT max(block_number) FROM canonical_blocks) - 5 THEN 'confirmed' ELSE state END AS confirmation_state,
+             AND block_number <= (SELECT max(block_number) FROM canonical_blocks c WHERE c.chain_id = {prefix}_events.chain_id) - 5 THEN 'confirmed' ELSE state END AS confirmation_state,
        coalesce(block_number >= first_bad, FALSE) AS is_orphaned, state = 'confirmed' AS was_confirmed
 FROM {prefix}_events LEFT JOIN {prefix}_bad USING (chain_id, contract_address)
 """, f"{prefix}_bad")
@@ -83,23 +83,27 @@ FROM (SELECT *, unnest(range(f, batch_end + 1, 100)) AS chunk_from FROM s)
     "reorg_rewind": with_ctes("observations canonical_blocks", """
 , s AS (SELECT *, top - 3 * d AS b FROM (SELECT chain_id, contract_address, CAST(substr(contract_address, 2, 1) AS INTEGER) AS d, max(block_number) AS top
   FROM observations GROUP BY ALL))
-, k AS (SELECT *, CASE d WHEN 2 THEN '' ELSE '0x' || md5(CAST(b AS VARCHAR) || CASE d WHEN 0 THEN 'a' ELSE 'b' END) END AS h FROM s)
-, m AS (SELECT k.*, h <> '' AND b <> 0 AND c.block_hash IS DISTINCT FROM h AS reorg FROM k LEFT JOIN canonical_blocks c ON c.block_number = b)
+, k AS (SELECT *, CASE d WHEN 2 THEN '' ELSE '0x' || md5(CAST(b AS VARCHAR) || CASE d WHEN 0 THEN 'a' ELSE 'b' END || chain_id) END AS h FROM s)
+, m AS (SELECT k.*, h <> '' AND b <> 0 AND c.block_hash IS DISTINCT FROM h AS reorg FROM k LEFT JOIN canonical_blocks c ON c.chain_id = k.chain_id AND c.block_number = b)
 , t AS (SELECT *, CASE WHEN reorg THEN CASE WHEN b <= 5 THEN 0 ELSE greatest(b - 5, 0) END ELSE b END AS target FROM m)
-SELECT chain_id, contract_address, reorg, CASE WHEN reorg THEN target + 1 END AS orphan_from_block, target AS last_scanned_block,
+SELECT t.chain_id, contract_address, reorg, CASE WHEN reorg THEN target + 1 END AS orphan_from_block, target AS last_scanned_block,
        CASE WHEN reorg THEN CASE WHEN target <> 0 THEN c.block_hash END ELSE h END AS last_scanned_block_hash,
        least(b - 2, CASE WHEN reorg THEN target ELSE b - 2 END) AS last_confirmed_block
-FROM t LEFT JOIN canonical_blocks c ON c.block_number = target
+FROM t LEFT JOIN canonical_blocks c ON c.chain_id = t.chain_id AND c.block_number = target
 """),
     "pending_blocks": with_ctes("pre_pending", "SELECT * FROM pre_pending"),
     "confirm_blocks": with_ctes("pre_confirmed", "SELECT * FROM pre_confirmed"),
     "event_state_counts": with_ctes("pre_confirmed", "SELECT confirmation_state, is_orphaned, event_name, count(*) AS n_events FROM pre_confirmed GROUP BY ALL"),
     "derive_deals": with_ctes("lifecycle deals", """
-, c AS (SELECT quote_id, deal_id, notional, event_ts FROM lifecycle WHERE event_name = 'RiskEscrowCreated' AND deal_id % 13 <> 0)
-, t AS (SELECT deal_id, event_name FROM lifecycle WHERE event_name <> 'RiskEscrowCreated' AND deal_id % 13 <> 0
-  QUALIFY row_number() OVER (PARTITION BY deal_id ORDER BY event_ts, log_index) = 1)
+, e AS (SELECT *, date_diff('day', DATE '1995-01-01', CAST(event_ts AS DATE)) AS block_number, '0x' || md5('tx' || deal_id || event_name) AS tx_hash FROM lifecycle WHERE deal_id % 13 <> 0)
+, c AS (SELECT e.*, d.depositor, d.counterparty, d.settlement_asset, CAST(e.notional * 2 AS DECIMAL(20,8)) AS required_collateral,
+  'garch_1_1-v1' AS model_version, '0x' || md5('snap' || deal_id) AS risk_snapshot_hash, event_ts + d.horizon_days * INTERVAL 1 DAY AS settlement_deadline
+  FROM e JOIN deals d USING (deal_id) WHERE event_name = 'RiskEscrowCreated')
+, t AS (SELECT deal_id, event_name, block_number, tx_hash FROM e WHERE event_name <> 'RiskEscrowCreated' QUALIFY row_number() OVER (PARTITION BY deal_id ORDER BY block_number, log_index) = 1)
 , p AS (SELECT quote_id, depositor, CAST(notional + 1 AS DECIMAL(20,8)) AS notional, 'pending' AS status FROM deals WHERE deal_id % 7 <> 0)
-SELECT quote_id, c.deal_id, coalesce(c.notional, p.notional) AS notional, depositor,
+SELECT quote_id, CASE WHEN c.deal_id % 3 = 2 THEN 2 WHEN c.deal_id IS NOT NULL THEN 1 END AS chain_id, 'c' || (c.deal_id % 3) AS contract_address, c.deal_id // 3 AS deal_id,
+       coalesce(c.depositor, p.depositor) AS depositor, c.counterparty, c.settlement_asset, coalesce(c.notional, p.notional) AS notional, required_collateral, model_version,
+       risk_snapshot_hash, settlement_deadline, c.block_number, c.tx_hash, t.block_number AS terminal_block_number, t.tx_hash AS terminal_tx_hash,
        CASE WHEN c.deal_id IS NULL THEN p.status WHEN t.event_name = 'RiskEscrowSettled' THEN 'settled' WHEN t.event_name = 'RiskEscrowRefunded' THEN 'refunded' ELSE 'active' END AS status,
        t.event_name AS terminal_event
 FROM c LEFT JOIN t ON t.deal_id = c.deal_id FULL JOIN p USING (quote_id)
@@ -123,7 +127,7 @@ SELECT * FROM (
 , c AS (SELECT chain_id, contract_address, coalesce(max(block_number) FILTER (WHERE confirmation_state = 'confirmed' AND NOT is_orphaned), 0) AS last_confirmed_block
   FROM fresh_confirmed GROUP BY ALL)
 SELECT *, 5 AS confirmation_depth, chain_head - last_confirmed_block AS confirmed_lag_blocks
-FROM (SELECT *, (SELECT max(block_number) FROM canonical_blocks) AS chain_head FROM o JOIN c USING (chain_id, contract_address))
+FROM (SELECT *, (SELECT max(block_number) FROM canonical_blocks b WHERE b.chain_id = o.chain_id) AS chain_head FROM o JOIN c USING (chain_id, contract_address))
 """),
     "health_class": """
 SELECT snapshot_id, CASE WHEN missing THEN 'unreachable' WHEN stale THEN 'degraded' WHEN lag > 15 THEN 'lagging' ELSE 'healthy' END AS health,

@@ -270,10 +270,11 @@ SELECT asset, lags, round(statistic, 8) AS statistic, round(exp(-statistic / 2)
 """),
     "return_histogram": with_ctes("returns", """
 , s AS (SELECT asset, min(r) AS lo, (max(r) - min(r)) / 120 AS width, avg(r) AS mean, stddev_samp(r) AS sd, count(*) AS n FROM returns GROUP BY asset)
-, b AS (SELECT asset, CAST(least(floor((r - lo) / width), 119) AS INTEGER) AS bin, lo, width, mean, sd, n FROM returns JOIN s USING (asset))
-SELECT asset, bin, count(*) AS rows, round(count(*) / (n * width), 8) AS density,
+, b AS (SELECT asset, CAST(least(floor((r - lo) / width), 119) AS INTEGER) AS bin, count(*) AS held FROM returns JOIN s USING (asset) GROUP BY ALL)
+, e AS (SELECT s.*, CAST(bin AS INTEGER) AS bin FROM s CROSS JOIN range(120) t(bin))
+SELECT asset, bin, coalesce(held, 0) AS rows, round(coalesce(held, 0) / (n * width), 8) AS density,
        round(exp(-pow((lo + (bin + 0.5e0) * width - mean) / sd, 2) / 2) / (sd * sqrt(2 * pi())), 8) AS normal_density
-FROM b GROUP BY asset, bin, lo, width, mean, sd, n
+FROM e LEFT JOIN b USING (asset, bin)
 """),
     "qq_normal": with_ctes("returns", f"""
 , o AS (SELECT asset, r AS sample, row_number() OVER (PARTITION BY asset ORDER BY r, idx) AS position, count(*) OVER (PARTITION BY asset) AS n FROM returns)

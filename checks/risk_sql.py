@@ -5,7 +5,7 @@ from __future__ import annotations
 from checks.ctes import cte, with_ctes
 from checks.market_sql import C95, C99, r8
 
-N = 1000
+N = 50_000
 SEED = 42
 STOPS = (1, 2, 7, 14, 28, 30, 60)
 
@@ -168,7 +168,7 @@ SELECT asset, CAST(close AS DECIMAL(16,6)) AS spot_price_usd FROM prices QUALIFY
 """, "prices")
 cte("requests", """
 SELECT deal_id AS request_id, CASE deal_id % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'N' ELSE 'R' END AS asset, notional, horizon_days, created_at
-FROM deals WHERE notional > 0
+FROM deals
 """, "deals")
 cte("quotes", f"""
 SELECT '0x' || sha256(asset || '|' || horizon_days || '|' || strftime(created_at, '%Y-%m-%d %H:%M:%S') || '|' || request_id) AS quote_id,
@@ -318,7 +318,7 @@ SELECT asset, horizon_days, {r8('value_at_risk', 'expected_shortfall', 'forecast
 """),
     "collateral_policy": with_ctes("deals", f"""
 , w AS (SELECT deal_id, notional, CAST(deal_id % 97 AS DECIMAL(4,0)) * 0.01::DECIMAL(14,12) AS es_loss, CAST(deal_id % 131 AS DECIMAL(4,0)) * 0.01::DECIMAL(14,12) AS stress_loss
-  FROM deals WHERE notional > 0)
+  FROM deals)
 , b AS (SELECT *, CAST(es_loss * 1.10 AS DECIMAL(14,12)) AS we, CAST(stress_loss * 0.90 AS DECIMAL(14,12)) AS ws FROM w)
 , c AS (SELECT *, greatest(we, ws) AS loss_basis, CAST(1 + greatest(we, ws) AS DECIMAL(15,12)) AS raw FROM b)
 , d AS (SELECT *, CAST(least(greatest(raw, 1.05), 2.00) AS DECIMAL(15,12)) AS collateral_ratio FROM c)

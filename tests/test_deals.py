@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import scalars as K
 from tidemark.operators import deals as D
 
-LIFE = "deal_id bigint, event_name string, confirmation_state string, is_orphaned boolean, block_number bigint, log_index int, tx_hash string"
+LIFE = "chain_id int, contract_address string, deal_id bigint, event_name string, confirmation_state string, is_orphaned boolean, block_number bigint, log_index int, tx_hash string"
 
 
 @pytest.mark.parametrize(
@@ -28,8 +28,9 @@ LIFE = "deal_id bigint, event_name string, confirmation_state string, is_orphane
     ],
 )
 def test_display_status(frame, status, submitted, events, label):
-    deals = frame([(1, status, submitted)], "deal_id bigint, status string, has_submitted_tx boolean")
-    out = D.display_status(deals, frame([(1, *e, "t") for e in events], LIFE)).first()
+    deals = frame([(1, "c", 1, status, submitted)], "chain_id int, contract_address string, deal_id bigint, status string, has_submitted_tx boolean")
+    other = [(1, "d", 1, "RiskEscrowSettled", "observed", False, 9, 0, "t")]
+    out = D.display_status(deals, frame([(1, "c", 1, *e, "t") for e in events] + other, LIFE)).first()
     assert out["label"] == label
 
 
@@ -76,7 +77,7 @@ def test_scope_includes_rows_without_a_chain(frame):
     assert D.in_scope(frame(rows, "chain_id int, contract_address string"), 1, "c").count() == 2
 
 
-@pytest.mark.parametrize("text, ok", [("10.5", True), ("1e5", True), (".5", True), ("0", False), ("-1", False), ("abc", False), ("", False), (None, False), ("NaN", False)])
+@pytest.mark.parametrize("text, ok", [("10.5", True), ("1e5", True), (".5", True), ("0", False), ("-1", False), ("abc", False), ("", False), (None, False), ("NaN", False), ("1" + "0" * 20, True), ("1e-19", True), ("-1e30", False), ("0.0e9", False)])
 def test_notional_text(frame, text, ok):
     row = D.validate_requests(frame([(text, "A", 7, 0.99)], "notional_text string, asset string, horizon_days int, confidence double"), ["A"]).first()
     assert (row["reject_reason"] is None) == ok

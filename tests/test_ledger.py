@@ -17,8 +17,11 @@ OBS = (
 T0 = dt.datetime(2024, 1, 1)
 
 
-def seen(block, block_hash, tx="t1", log=0, at=0, contract="c", event="RiskEscrowCreated", order=0):
-    return (1, contract, block, block_hash, tx, 0, log, event, 7, T0 + dt.timedelta(hours=at), order, 0)
+CANONICAL = "chain_id int, block_number bigint, block_hash string"
+
+
+def seen(block, block_hash, tx="t1", log=0, at=0, contract="c", event="RiskEscrowCreated", order=0, chain=1):
+    return (chain, contract, block, block_hash, tx, 0, log, event, 7, T0 + dt.timedelta(hours=at), order, 0)
 
 
 def outcomes(frame, rows):
@@ -55,7 +58,7 @@ def test_previous_value_across_buckets(frame):
 @pytest.mark.parametrize("last, depth, start, target", [(100, 5, 0, 95), (100, 0, 0, 99), (10, 5, 8, 8), (3, 5, 0, 0)])
 def test_rewind_target(frame, last, depth, start, target):
     checkpoints = frame([(1, "c", last, "stale", last)], "chain_id int, contract_address string, last_scanned_block bigint, last_scanned_block_hash string, last_confirmed_block bigint")
-    canonical = frame([(last, "real"), (target, "at")], "block_number bigint, block_hash string")
+    canonical = frame([(1, last, "real"), (1, target, "at"), (2, last, "stale")], CANONICAL)
     row = L.reconcile_frontier(checkpoints, canonical, depth, start).first()
     assert row["reorg"] and row["last_scanned_block"] == target and row["last_confirmed_block"] == target
     assert row["last_scanned_block_hash"] == (None if target == 0 else "at")
@@ -67,7 +70,7 @@ def test_rewind_target(frame, last, depth, start, target):
 
 def confirm(frame, rows, canonical, depth=2):
     events = L.as_observed(frame(rows, OBS))
-    out = L.confirm_blocks(events, frame(canonical, "block_number bigint, block_hash string"), depth)
+    out = L.confirm_blocks(events, frame([c if len(c) == 3 else (1, *c) for c in canonical], CANONICAL), depth)
     return {(r["contract_address"], r["block_number"]): (r["confirmation_state"], r["is_orphaned"]) for r in out.collect()}
 
 
@@ -79,11 +82,19 @@ def test_confirmation_stops_at_the_first_mismatch_of_a_contract(frame):
     assert got["d", 3] == got["d", 6] == ("confirmed", False) and got["d", 7] == ("observed", False)
 
 
+def test_chains_are_judged_by_their_own_blocks_and_head(frame):
+    rows = [seen(b, "h", tx=f"t{b}") for b in (1, 7)] + [seen(b, "g", tx=f"u{b}", contract="d", chain=2) for b in (1, 3)]
+    got = confirm(frame, rows, [(1, b, "h") for b in range(1, 10)] + [(2, b, "g") for b in range(1, 5)])
+    assert got == {
+        ("c", 1): ("confirmed", False), ("c", 7): ("confirmed", False), ("d", 1): ("confirmed", False), ("d", 3): ("observed", False)
+    }
+
+
 def test_orphaning_reaches_confirmed_rows_and_says_so(frame):
     events = L.as_observed(frame([seen(3, "stale", tx="a"), seen(4, "h", tx="b")], OBS)).withColumn(
         "confirmation_state", F.when(F.col("tx_hash") == "b", "confirmed").otherwise("observed")
     )
-    out = L.confirm_blocks(events, frame([(b, "h") for b in range(1, 9)], "block_number bigint, block_hash string"), 2)
+    out = L.confirm_blocks(events, frame([(1, b, "h") for b in range(1, 9)], CANONICAL), 2)
     row = out.where("tx_hash = 'b'").first()
     assert row["is_orphaned"] and row["was_confirmed"]
 
@@ -93,12 +104,12 @@ def test_ranges(frame):
     assert sorted((r["chunk_from"], r["chunk_to"]) for r in out.collect()) == [(10, 14), (15, 19), (20, 24)]
 
 
-EVENTS = "deal_id bigint, quote_id string, event_name string, at int, notional decimal(20,8)"
+EVENTS = "chain_id int, contract_address string, deal_id bigint, quote_id string, event_name string, at int, notional decimal(20,8)"
 
 
 def derive(frame, events, pending=()):
-    rows = lambda table, at: [(*r[:at], Decimal(r[at]), *r[at + 1 :]) for r in table]
-    out = L.derive_deals(frame(rows(events, 4), EVENTS), frame(rows(pending, 1), "quote_id string, notional decimal(20,8), status string"), ["at"], ["notional"])
+    rows = lambda table, at: [(*r[:at], Decimal(r[at]), *r[len(r) + at + 1 if at < 0 else at + 1 :]) for r in table]
+    out = L.derive_deals(frame([e if len(e) == 7 else (1, "c", *e) for e in rows(events, -1)], EVENTS), frame(rows(pending, 1), "quote_id string, notional decimal(20,8), status string"), ["at"], ["notional"])
     return {r["quote_id"]: (r["status"], r["deal_id"]) for r in out.collect()}
 
 
@@ -113,6 +124,12 @@ def test_first_terminal_event_after_the_last_created_wins(frame):
     assert got == {"q1": ("settled", 1), "q2": ("refunded", 2), "q3": ("active", 3), "q4": ("active", 4), "q9": ("pending", None)}
 
 
+def test_equal_deal_ids_of_two_contracts_stay_apart(frame):
+    c, s = "RiskEscrowCreated", "RiskEscrowSettled"
+    got = derive(frame, [(1, "c", 1, "q1", c, 1, 1), (1, "d", 1, "q2", c, 1, 1), (2, "c", 1, "q3", c, 1, 1), (1, "c", 1, "q1", s, 2, 1)])
+    assert {q: status for q, (status, _) in got.items()} == {"q1": "settled", "q2": "active", "q3": "active"}
+
+
 def test_config_state_keeps_the_last_value_of_each_field(frame):
     columns = "chain_id int, contract_address string, block_number bigint, tx_index int, log_index int, tx_hash string, event_name string, decoded map<string,string>"
     fee = lambda block, value: (1, "c", block, 0, 0, "t", "PlatformFeeUpdated", {"newFeeBps": value})

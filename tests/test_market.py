@@ -183,3 +183,12 @@ def test_acf_of_an_alternating_series(frame):
     df = frame(series([1.0, -1.0] * 50), RETURNS)
     rho = {r["lag"]: r["acf"] for r in A.acf(df, "r", 2).collect()}
     assert rho[1] == pytest.approx(-0.99) and rho[2] == pytest.approx(0.98)
+
+
+def test_histogram_has_every_bin_and_stands_a_constant_series(frame):
+    rows = [("A", 0, 0.0), ("A", 1, 1.0), ("A", 2, 0.99), ("B", 0, 2.0), ("B", 1, 2.0), ("B", 2, None)]
+    out = A.histogram(frame(rows, "asset string, idx bigint, r double"), "r", 4).orderBy("asset", "bin").collect()
+    assert [(r["asset"], r["bin"], r["rows"]) for r in out] == [
+        ("A", 0, 1), ("A", 1, 0), ("A", 2, 0), ("A", 3, 2), ("B", 0, 0), ("B", 1, 0), ("B", 2, 2), ("B", 3, 0)
+    ]
+    assert out[4]["normal_density"] is None and out[6]["density"] == 4.0

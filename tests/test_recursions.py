@@ -5,7 +5,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from helpers import RETURNS, garch_loop, garch_returns, series, values
+from helpers import RETURNS, TRUE_GARCH, garch_loop, garch_returns, series, values
 from tidemark.functions.affine import affine_scan
 from tidemark.operators import garch as G, series as S
 from tidemark.operators.prices import tail_n, with_oos
@@ -118,10 +118,10 @@ def test_forecast_closed_form_matches_recursion_at_any_persistence(frame):
 
 
 def test_fit_recovers_parameters(frame):
-    fitted = G.fit_garch(frame(series(garch_returns(1500)), RETURNS)).first()
+    fitted = G.fit_garch(frame(series(garch_returns(3000)), RETURNS)).first()
     assert fitted["converged"]
-    assert abs(fitted["alpha"] - 0.08) < 0.06
-    assert abs(fitted["beta"] - 0.88) < 0.10
+    assert abs(fitted["alpha"] - TRUE_GARCH["alpha"]) < 0.05
+    assert abs(fitted["beta"] - TRUE_GARCH["beta"]) < 0.08
     assert fitted["aic"] == pytest.approx(8 - 2 * fitted["log_likelihood"])
     with pytest.raises(Exception, match="at least 30"):
         G.fit_garch(frame(series(np.ones(10)), RETURNS)).collect()

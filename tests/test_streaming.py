@@ -9,7 +9,7 @@ from tidemark.sources import tables
 from tidemark.streaming import ledger as SL, volatility as SV
 from test_ledger import OBS, seen
 
-CANONICAL = "block_number bigint, block_hash string"
+CANONICAL = "chain_id int, block_number bigint, block_hash string"
 
 
 class Intake:
@@ -24,7 +24,7 @@ class Intake:
         if rows:
             self.spark.createDataFrame(rows, OBS).coalesce(1).write.mode("append").parquet(self.source)
         stream = tables.stream_logs(self.spark, self.source, OBS, 10)
-        query = SL.intake_stream(stream, self.ledger, self.checkpoint, lambda: self.spark.createDataFrame(self.canonical, CANONICAL), self.depth)
+        query = SL.intake_stream(stream, self.ledger, self.checkpoint, lambda: self.spark.createDataFrame([(1, *c) for c in self.canonical], CANONICAL), self.depth)
         query.awaitTermination()
         self.batch = SL.last_batch(self.spark, self.ledger)
         return query
@@ -82,10 +82,10 @@ def test_stream_equals_batch_and_repeating_a_batch_is_harmless(spark, tmp_path):
     for part in (rows[:7], rows[7:]):
         intake.run(part)
     held = L.as_observed(L.observation_current(L.observation_outcomes(spark.createDataFrame(rows, OBS))))
-    batch = L.confirm_blocks(held, spark.createDataFrame(canonical, CANONICAL), 3)
+    batch = L.confirm_blocks(held, spark.createDataFrame([(1, *c) for c in canonical], CANONICAL), 3)
     expected = {r["tx_hash"]: (r["block_number"], r["confirmation_state"], r["is_orphaned"]) for r in batch.collect()}
     assert intake.view() == expected
-    SL.process_batch(spark.createDataFrame(rows[7:], OBS), intake.batch, intake.ledger, spark.createDataFrame(canonical, CANONICAL), 3)
+    SL.process_batch(spark.createDataFrame(rows[7:], OBS), intake.batch, intake.ledger, spark.createDataFrame([(1, *c) for c in canonical], CANONICAL), 3)
     assert intake.view() == expected
 
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions.scalars import asset_label, format_fixed, format_utc, from_fixed_point, short_hex
+from tidemark.operators.ledger import DEAL
 
 # Allowed sets and bounds.
 SUPPORTED_HORIZONS = (1, 7, 14, 30)
@@ -44,12 +45,14 @@ def validate_requests(requests: DataFrame, assets: Sequence[str]) -> DataFrame:
 
     Notional is any text that reads as a decimal number, exponents included, and is above zero.
     """
-    amount = F.trim("notional_text").try_cast("decimal(38,18)")
-    is_number = F.trim("notional_text").rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$")
+    text = F.trim("notional_text")
+    is_number = text.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$")
+    # Read off the text, so that no size or scale is out of reach.
+    positive = text.rlike(r"^[+]?[0-9.]*[1-9]")
     reason = _first_reason(
         _said(F.col("notional_text").isNull() | (F.col("notional_text") == ""), "missing notional"),
-        _said(~is_number | amount.isNull(), "notional is not a valid decimal string"),
-        _said(amount <= 0, "notional must be positive"),
+        _said(~is_number, "notional is not a valid decimal string"),
+        _said(~positive, "notional must be positive"),
         _said(~F.coalesce(F.col("asset").isin(*assets), F.lit(False)), "unsupported asset"),
         _said(~F.coalesce(F.col("horizon_days").isin(*SUPPORTED_HORIZONS), F.lit(False)), "unsupported horizon"),
         _said(~F.coalesce(F.col("confidence").isin(*SUPPORTED_CONFIDENCES), F.lit(False)), "unsupported confidence"),
@@ -216,12 +219,15 @@ def deal_detail(deals: DataFrame, quotes: DataFrame) -> DataFrame:
 
 
 def display_status(deals: DataFrame, events: DataFrame) -> DataFrame:
-    """Label, tone and confirmation of each deal from its stored status and its latest non-orphaned lifecycle event."""
+    """Label, tone and confirmation of each deal from its stored status and its latest non-orphaned lifecycle event.
+
+    Deal ids repeat across contracts, so both sides are keyed by (chain_id, contract_address, deal_id).
+    """
     place = F.struct("block_number", "log_index", "tx_hash")
-    latest = events.where(~F.col("is_orphaned")).groupBy("deal_id").agg(
+    latest = events.where(~F.col("is_orphaned")).groupBy(*DEAL).agg(
         F.max_by(F.struct("event_name", "confirmation_state"), place).alias("_e")
     )
-    joined = deals.join(latest, "deal_id", "left")
+    joined = deals.join(latest, list(DEAL), "left")
     seen = lambda name: (F.col("_e.event_name") == name) & (F.col("_e.confirmation_state") == "observed")
     status = F.col("status")
     look = lambda label, tone, sure: F.struct(F.lit(label).alias("label"), F.lit(tone).alias("tone"), F.lit(sure).alias("confirmed"))
@@ -303,15 +309,15 @@ def refundable(deals: DataFrame, now: Column) -> DataFrame:
 
 
 def reconcile_settlements(terminal: DataFrame, deals: DataFrame) -> DataFrame:
-    """Terminal events (deal_id, event_name, payout, platform_fee, depositor_refund, amount) against recomputed amounts."""
+    """Terminal events (deal key, event_name, payout, platform_fee, depositor_refund, amount) against recomputed amounts."""
     expected = settlement_amounts(deals).select(
-        "deal_id", "collateral_units", F.col("payout").alias("_payout"), F.col("platform_fee").alias("_fee"),
+        *DEAL, "collateral_units", F.col("payout").alias("_payout"), F.col("platform_fee").alias("_fee"),
         F.col("depositor_refund").alias("_refund"),
     )
-    joined = terminal.join(expected, "deal_id")
+    joined = terminal.join(expected, list(DEAL))
     settled = F.col("event_name") == "RiskEscrowSettled"
     return joined.select(
-        "deal_id", "event_name",
+        *DEAL, "event_name",
         F.when(settled, F.col("payout") - F.col("_payout")).alias("payout_diff"),
         F.when(settled, F.col("platform_fee") - F.col("_fee")).alias("fee_diff"),
         F.when(settled, F.col("depositor_refund") - F.col("_refund")).otherwise(F.col("amount") - F.col("collateral_units")).alias("refund_diff"),
@@ -320,8 +326,8 @@ def reconcile_settlements(terminal: DataFrame, deals: DataFrame) -> DataFrame:
 
 def risk_vs_outcome(quotes: DataFrame, deals: DataFrame, terminal: DataFrame) -> DataFrame:
     """Quoted terms against what happened, per outcome and horizon."""
-    ended = terminal.groupBy("deal_id").agg(F.min_by("event_name", F.struct("event_ts", "log_index")).alias("_end"))
-    joined = quotes.select("quote_id", "horizon_days").join(deals.select("quote_id", "deal_id", "notional"), "quote_id").join(ended, "deal_id", "left")
+    ended = terminal.groupBy(*DEAL).agg(F.min_by("event_name", F.struct("event_ts", "log_index")).alias("_end"))
+    joined = quotes.select("quote_id", "horizon_days").join(deals.select("quote_id", *DEAL, "notional"), "quote_id").join(ended, list(DEAL), "left")
     outcome = F.when(F.col("_end") == "RiskEscrowSettled", "settled").when(F.col("_end") == "RiskEscrowRefunded", "refunded").otherwise("open")
     return joined.groupBy(outcome.alias("outcome"), "horizon_days").agg(
         F.count(F.lit(1)).alias("n_deals"), F.sum("notional").cast("decimal(38,8)").alias("notional")

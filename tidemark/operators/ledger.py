@@ -18,6 +18,9 @@ from tidemark.functions.uint256 import WORD, decimal_text
 
 IDENTITY = ("chain_id", "tx_hash", "log_index")
 CONTRACT = ("chain_id", "contract_address")
+BLOCK = ("chain_id", "block_number")
+# Deal ids are each contract's own counter.
+DEAL = (*CONTRACT, "deal_id")
 ARRIVAL = ("observed_at", "ord1", "ord2", "block_hash")
 BLOCK_ORDER = ("block_number", "tx_index", "log_index", "tx_hash")
 
@@ -192,18 +195,18 @@ def split_range(ranges: DataFrame, max_blocks: int, max_scans: int) -> DataFrame
 
 
 def reconcile_frontier(checkpoints: DataFrame, canonical: DataFrame, depth: int, start_block: int) -> DataFrame:
-    """Compare each checkpoint's stored hash with the canonical chain and rewind it on a mismatch."""
+    """Compare each checkpoint's stored hash with its canonical chain (chain_id, block_number, block_hash); rewind on a mismatch."""
     window = max(depth, 1)
     last = F.col("last_scanned_block")
     known = (last != 0) & (F.coalesce(F.col("last_scanned_block_hash"), F.lit("")) != "")
     target = F.when(last <= window, F.lit(start_block)).otherwise(F.greatest(last - window, F.lit(start_block))).cast("bigint")
-    at = lambda name: canonical.select(F.col("block_number").alias(f"_{name}_block"), F.col("block_hash").alias(f"_{name}_hash"))
+    at = lambda name: canonical.select("chain_id", F.col("block_number").alias(f"_{name}"), F.col("block_hash").alias(f"_{name}_hash"))
     checked = (
-        checkpoints.join(at("now"), last == F.col("_now_block"), "left")
+        checkpoints.withColumn("_now", last).join(at("now"), ["chain_id", "_now"], "left")
         .withColumn("reorg", known & ~F.col("_now_hash").eqNullSafe(F.col("last_scanned_block_hash")))
         .withColumn("_to", F.when(F.col("reorg"), target).otherwise(last))
     )
-    rewound = checked.join(at("to"), F.col("_to") == F.col("_to_block"), "left")
+    rewound = checked.join(at("to"), ["chain_id", "_to"], "left")
     return rewound.select(
         *CONTRACT, "reorg",
         F.when(F.col("reorg"), F.col("_to") + 1).alias("orphan_from_block"),
@@ -222,39 +225,44 @@ def orphan_from(events: DataFrame, frontier: DataFrame) -> DataFrame:
 
 
 def chain_head(canonical: DataFrame) -> DataFrame:
-    """The single-row table of the highest known block."""
-    return canonical.agg(F.max("block_number").alias("head_block"))
+    """The highest known block of every chain."""
+    return canonical.groupBy("chain_id").agg(F.max("block_number").alias("head_block"))
 
 
 def pending_blocks(events: DataFrame, canonical: DataFrame, depth: int) -> DataFrame:
-    """Distinct (contract, block, hash) still to be confirmed at or below head - depth."""
-    boundary = F.broadcast(chain_head(canonical))  # one row by construction
+    """Distinct (contract, block, hash) still to be confirmed at or below the head of their chain - depth."""
+    return _due_blocks(events, canonical, depth).drop("head_block")
+
+
+def _due_blocks(events: DataFrame, canonical: DataFrame, depth: int) -> DataFrame:
+    """Waiting blocks with the head of their chain. They are made distinct first, so the lookup sees blocks and not events."""
     waiting = events.where((F.col("confirmation_state") == "observed") & ~F.col("is_orphaned"))
-    return (
-        waiting.crossJoin(boundary).where(F.col("block_number") <= F.col("head_block") - depth)
-        .select(*CONTRACT, "block_number", "block_hash").distinct()
-    )
+    blocks = waiting.select(*CONTRACT, "block_number", "block_hash").distinct()
+    headed = spread_lookup(blocks, chain_head(canonical), ["chain_id"], "block_hash", how="inner")
+    return headed.where(F.col("block_number") <= F.col("head_block") - depth)
 
 
 def first_mismatch(events: DataFrame, canonical: DataFrame, depth: int) -> DataFrame:
-    """Per contract the lowest pending block whose hash is not canonical."""
-    real = canonical.select("block_number", F.col("block_hash").alias("_real"))
-    checked = pending_blocks(events, canonical, depth).join(real, "block_number", "left")
+    """Per contract with due blocks: the lowest one whose hash is not its chain's (null if none), and the chain's head."""
+    real = canonical.select(*BLOCK, F.col("block_hash").alias("_real"))
+    checked = _due_blocks(events, canonical, depth).join(real, list(BLOCK), "left")
     bad = ~F.col("block_hash").eqNullSafe(F.col("_real"))
-    return checked.groupBy(*CONTRACT).agg(F.min(F.when(bad, F.col("block_number"))).alias("first_bad"))
+    return checked.groupBy(*CONTRACT).agg(
+        F.min(F.when(bad, F.col("block_number"))).alias("first_bad"), F.max("head_block").alias("head_block")
+    )
 
 
 def confirm_blocks(events: DataFrame, canonical: DataFrame, depth: int) -> DataFrame:
-    """Confirm pending rows up to head - depth, stopping at a contract's first mismatching block.
+    """Confirm pending rows up to their chain's head - depth, stopping at a contract's first mismatching block.
 
-    That block and everything above it is orphaned, rows confirmed earlier included (``was_confirmed`` tells).
+    That block and everything above it is orphaned, rows confirmed earlier included (``was_confirmed`` tells). A
+    contract without due blocks has nothing to confirm.
     """
-    bad = first_mismatch(events, canonical, depth)
-    joined = spread_lookup(events, bad, CONTRACT, "tx_hash").crossJoin(F.broadcast(chain_head(canonical)))
+    joined = spread_lookup(events, first_mismatch(events, canonical, depth), CONTRACT, "tx_hash")
     block = F.col("block_number")
     above = F.coalesce(block >= F.col("first_bad"), F.lit(False))
     waiting = (F.col("confirmation_state") == "observed") & ~F.col("is_orphaned")
-    confirmed = waiting & ~above & (block <= F.col("head_block") - depth)
+    confirmed = waiting & ~above & F.coalesce(block <= F.col("head_block") - depth, F.lit(False))
     return (
         joined.withColumn("was_confirmed", F.col("confirmation_state") == "confirmed")
         .withColumn("confirmation_state", F.when(confirmed, "confirmed").otherwise(F.col("confirmation_state")))
@@ -271,35 +279,41 @@ def as_observed(current: DataFrame) -> DataFrame:
 # --- derived state --------------------------------------------------------------------------------------------
 
 
-def derive_deals(events: DataFrame, pending: DataFrame, order: Sequence[str], facts: Sequence[str]) -> DataFrame:
+def derive_deals(
+    events: DataFrame, pending: DataFrame, order: Sequence[str], facts: Sequence[str], end_facts: Sequence[str] = ()
+) -> DataFrame:
     """Deal rows from confirmed events, merged with pending rows of the application.
 
-    Per quote the last Created wins; per deal the first terminal event after it decides the status. ``facts`` are the
-    Created columns that overwrite the pending row's columns of the same name. Pending rows without events stay.
+    Per quote the last Created wins; per deal of a contract the first terminal event after it decides the status.
+    ``facts`` are the Created columns that overwrite the pending row's columns of the same name, ``end_facts`` the
+    columns of the terminal event kept as ``terminal_<name>``. Pending rows without events stay.
     """
     place = F.struct(*order)
     created = (
         events.where(F.col("event_name") == "RiskEscrowCreated").groupBy("quote_id")
-        .agg(F.max_by(F.struct("deal_id", *facts, place.alias("_at")), place).alias("_c"))
-        .select("quote_id", F.col("_c.deal_id").alias("deal_id"), *[F.col("_c")[f].alias(f) for f in facts], F.col("_c._at").alias("_at"))
+        .agg(F.max_by(F.struct(*DEAL, *facts, place.alias("_at")), place).alias("_c"))
+        .select("quote_id", *[F.col("_c")[f].alias(f) for f in (*DEAL, *facts, "_at")])
+    )
+    terminal = events.where(F.col("event_name").isin(*TERMINAL_EVENTS)).select(
+        *DEAL, place.alias("_end_at"), F.struct("event_name", *end_facts).alias("_end")
     )
-    terminal = events.where(F.col("event_name").isin(*TERMINAL_EVENTS)).select("deal_id", F.col("event_name").alias("_end"), place.alias("_end_at"))
+    last_start = created.groupBy(*DEAL).agg(F.max("_at").alias("_at"))
     ended = (
-        terminal.join(created.select("deal_id", "_at"), "deal_id").where(F.col("_end_at") > F.col("_at"))
-        .groupBy("deal_id").agg(F.min(F.struct("_end_at", "_end")).alias("_t"))
-        .select("deal_id", F.col("_t._end").alias("terminal_event"))
+        terminal.join(last_start, list(DEAL)).where(F.col("_end_at") > F.col("_at"))
+        .groupBy(*DEAL).agg(F.min_by("_end", "_end_at").alias("_t"))
+        .select(*DEAL, F.col("_t.event_name").alias("terminal_event"), *[F.col("_t")[f].alias(f"terminal_{f}") for f in end_facts])
     )
     status = F.lit("active")
     for event, name in TERMINAL_EVENTS.items():
         status = F.when(F.col("terminal_event") == event, name).otherwise(status)
-    on_chain = created.drop("_at").join(ended, "deal_id", "left").withColumn("_status", status)
+    on_chain = created.drop("_at").join(ended, list(DEAL), "left").withColumn("_status", status)
     kept = pending.select(*[F.col(c).alias(f"_p_{c}") if c in (*facts, "status") else F.col(c) for c in pending.columns])
     merged = on_chain.join(kept, "quote_id", "full_outer")
     fallback = lambda f: F.coalesce(F.col(f), F.col(f"_p_{f}")) if f in pending.columns else F.col(f)
     extra = [c for c in pending.columns if c not in (*facts, "status", "quote_id")]
     return merged.select(
-        "quote_id", "deal_id", *[fallback(f).alias(f) for f in facts], *extra,
-        F.coalesce("_status", "_p_status").alias("status"), "terminal_event",
+        "quote_id", *DEAL, *[fallback(f).alias(f) for f in facts], *extra,
+        F.coalesce("_status", "_p_status").alias("status"), "terminal_event", *[f"terminal_{f}" for f in end_facts],
     )
 
 
@@ -344,7 +358,7 @@ def ingest_health(outcomes: DataFrame, confirmed: DataFrame, canonical: DataFram
         F.coalesce(F.max(F.when((F.col("confirmation_state") == "confirmed") & ~F.col("is_orphaned"), F.col("block_number"))), F.lit(0)).alias("last_confirmed_block")
     )
     return (
-        did.join(done, list(CONTRACT)).crossJoin(F.broadcast(chain_head(canonical)))
+        did.join(done, list(CONTRACT)).join(chain_head(canonical), "chain_id", "left")
         .withColumnRenamed("head_block", "chain_head")
         .withColumn("confirmation_depth", F.lit(depth))
         .withColumn("confirmed_lag_blocks", F.col("chain_head") - F.col("last_confirmed_block"))

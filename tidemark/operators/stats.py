@@ -184,20 +184,25 @@ def ljung_box(df: DataFrame, x: str, lags: Sequence[int] = (10, 20)) -> DataFram
 
 
 def histogram(df: DataFrame, x: str, bins: int) -> DataFrame:
-    """Equal-width density histogram per asset with the fitted normal density at each bin centre."""
-    whole = W.partitionBy("asset")
-    marked = df.select(
-        "asset", F.col(x).alias("_x"), F.min(x).over(whole).alias("lo"), F.max(x).over(whole).alias("hi"),
-        F.avg(x).over(whole).alias("_mean"), F.stddev_samp(x).over(whole).alias("_std"), F.count(x).over(whole).alias("n"),
-    ).withColumn("width", (F.col("hi") - F.col("lo")) / float(bins))
-    position = F.least(F.floor((F.col("_x") - F.col("lo")) / F.col("width")), F.lit(bins - 1)).cast("int")
-    grouped = marked.withColumn("bin", position).groupBy("asset", "bin").agg(
-        F.count(F.lit(1)).alias("rows"), *[F.first(c).alias(c) for c in ("lo", "width", "n", "_mean", "_std")]
+    """Equal-width density histogram per asset, every bin included, with the fitted normal density at each bin centre.
+
+    A constant series gets a range of 1 around its value; its normal density is null, as its deviation is zero.
+    """
+    known = df.where(F.col(x).isNotNull())
+    low, high = F.min(x), F.max(x)
+    flat = F.when(low == high, F.lit(0.5)).otherwise(F.lit(0.0))
+    shape = known.groupBy("asset").agg(
+        (low - flat).alias("lo"), ((high + flat - (low - flat)) / float(bins)).alias("width"),
+        F.avg(x).alias("_mean"), F.nullif(F.stddev_samp(x), F.lit(0.0)).alias("_std"), F.count(F.lit(1)).alias("n"),
     )
+    position = F.least(F.floor((F.col(x) - F.col("lo")) / F.col("width")), F.lit(bins - 1)).cast("int")
+    counted = known.join(shape, "asset").groupBy("asset", position.alias("bin")).agg(F.count(F.lit(1)).alias("_rows"))
+    every = shape.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    rows = F.coalesce("_rows", F.lit(0))
     centre = F.col("lo") + (F.col("bin") + 0.5) * F.col("width")
-    return grouped.select(
-        "asset", "bin", "rows",
-        (F.col("rows") / (F.col("n") * F.col("width"))).alias("density"),
+    return every.join(counted, ["asset", "bin"], "left").select(
+        "asset", "bin", rows.alias("rows"),
+        (rows / (F.col("n") * F.col("width"))).alias("density"),
         normal_pdf(centre, F.col("_mean"), F.col("_std")).alias("normal_density"),
     )
 

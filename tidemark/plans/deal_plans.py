@@ -165,7 +165,7 @@ def deal_display_status(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(_every(7), "pending").when(_every(11), "cancelled").when(_every(5), "active").otherwise(F.col("status")).alias("status"),
         _every(2).alias("has_submitted_tx"),
     )
-    return D.display_status(deals, _lifecycle_events(spark, sf_dir))
+    return D.display_status(X.per_contract(deals), X.per_contract(_lifecycle_events(spark, sf_dir)))
 
 
 def _unit_deals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -228,15 +228,15 @@ def settlement_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
         "deal_id", "event_name", (F.col("payout") + off(29)).alias("payout"), "platform_fee", "depositor_refund",
         (F.col("collateral_units") - off(31)).alias("amount"),
     )
-    diffs = D.reconcile_settlements(terminal, units)
-    return diffs.select("deal_id", "event_name", *[F.col(c).cast("bigint").alias(c) for c in ("payout_diff", "fee_diff", "refund_diff")])
+    diffs = D.reconcile_settlements(X.per_contract(terminal), X.per_contract(units))
+    return diffs.select("chain_id", "contract_address", "deal_id", "event_name", *[F.col(c).cast("bigint").alias(c) for c in ("payout_diff", "fee_diff", "refund_diff")])
 
 
 def risk_vs_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
     deals = X.deals(spark, sf_dir)
     quotes = X.risk_quotes(deals).withColumn("horizon_days", F.floor(F.col("settlement_horizon") / 86400).cast("int"))
     terminal = X.lifecycle(deals).where("event_name <> 'RiskEscrowCreated'")
-    return D.risk_vs_outcome(quotes, deals, terminal)
+    return D.risk_vs_outcome(quotes, X.per_contract(deals), X.per_contract(terminal))
 
 
 def legacy_migration(spark: SparkSession, sf_dir: str) -> DataFrame:

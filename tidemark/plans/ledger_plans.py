@@ -82,7 +82,7 @@ def _checkpoints(observed: DataFrame) -> DataFrame:
     fork = F.when(digit == 0, "a").otherwise("b")
     return spans.select(
         *L.CONTRACT, block.alias("last_scanned_block"),
-        F.when(digit == 2, F.lit("")).otherwise(F.concat(F.lit("0x"), F.md5(F.concat(block.cast("string"), fork)))).alias("last_scanned_block_hash"),
+        F.when(digit == 2, F.lit("")).otherwise(X.block_hash(block, fork)).alias("last_scanned_block_hash"),
         (block - 2).alias("last_confirmed_block"),
     )
 
@@ -120,12 +120,22 @@ def event_state_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def derive_deals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lifecycle events of all deals but every 13th, merged with pending rows of all but every 7th."""
-    deals = X.deals(spark, sf_dir)
-    events = X.lifecycle(deals.where("deal_id % 13 <> 0"))
+    deals, key = X.deals(spark, sf_dir), F.col("deal_id")
+    events = X.lifecycle(deals.where("deal_id % 13 <> 0"), ("depositor", "counterparty", "settlement_asset", "horizon_days")).select(
+        "*", F.datediff(F.to_date("event_ts"), F.lit("1995-01-01").cast("date")).cast("bigint").alias("block_number"),
+        F.concat(F.lit("0x"), F.md5(F.concat(F.lit("tx"), key.cast("string"), F.col("event_name")))).alias("tx_hash"),
+        (F.col("notional") * 2).cast("decimal(20,8)").alias("required_collateral"), F.lit("garch_1_1-v1").alias("model_version"),
+        F.concat(F.lit("0x"), F.md5(F.concat(F.lit("snap"), key.cast("string")))).alias("risk_snapshot_hash"),
+        (F.col("event_ts") + F.make_dt_interval(days=F.col("horizon_days"))).alias("settlement_deadline"),
+    )
     pending = deals.where("deal_id % 7 <> 0").select(
         "quote_id", "depositor", (F.col("notional") + 1).cast("decimal(20,8)").alias("notional"), F.lit("pending").alias("status")
     )
-    return L.derive_deals(events, pending, ["event_ts", "log_index"], ["notional"])
+    facts = [
+        "depositor", "counterparty", "settlement_asset", "notional", "required_collateral", "model_version", "risk_snapshot_hash",
+        "settlement_deadline", "block_number", "tx_hash",
+    ]
+    return L.derive_deals(X.per_contract(events), pending, ["block_number", "log_index"], facts, ["block_number", "tx_hash"])
 
 
 def config_state(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from tidemark.sources.stored import stored
 
 CONFIDENCES = (0.95, 0.99)
 METHODS = (S.HISTORICAL, S.FILTERED_HISTORICAL, S.GBM)
-N_SCENARIOS = 1000  # what the oracles simulate; the bench runs the default 50,000
+N_SCENARIOS = S.DEFAULT_SCENARIOS
 SEED = S.DEFAULT_SEED
 GRID = [(i, a, p - a) for i, (a, p) in enumerate((a, p) for p in (0.6, 0.9, 0.97) for a in (0.03, 0.08, 0.15))]
 
@@ -222,7 +222,7 @@ def collateral_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
         "deal_id", "notional",
         ((F.col("deal_id") % 97) / F.lit(100)).cast(R.LOSS).alias("es_loss"),
         ((F.col("deal_id") % 131) / F.lit(100)).cast(R.LOSS).alias("stress_loss"),
-    ).where("notional > 0")
+    )
     return R.collateral_decision(rows, policy)
 
 
@@ -237,7 +237,7 @@ def exposure_usd(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quote_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.deals(spark, sf_dir).where("notional > 0").select(
+    return X.deals(spark, sf_dir).select(
         F.col("deal_id").alias("request_id"), _asset_of_deal().alias("asset"), "notional", "horizon_days", "created_at"
     )
 

@@ -89,17 +89,24 @@ def horizons(spark: SparkSession, days: tuple[int, ...] = HORIZONS) -> DataFrame
     return literal_table(spark, [(d,) for d in days], "horizon_days int")
 
 
+# Chain 2 started later, so its block numbers lag those of chain 1 on the same day.
+CHAIN_2_LAG = 200
+
+
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = table(spark, sf_dir, "lineitem").withColumn(
-        "block_number", F.datediff(F.to_date("l_shipdate"), F.lit("1995-01-01").cast("date")).cast("bigint")
+    """Contracts c0 and c1 on chain 1, c2 on chain 2, whose hashes and head are its own."""
+    chain = F.when(F.col("l_orderkey") % 3 == 2, 2).otherwise(1)
+    day = F.datediff(F.to_date("l_shipdate"), F.lit("1995-01-01").cast("date")).cast("bigint")
+    line = table(spark, sf_dir, "lineitem").withColumn("chain_id", chain).withColumn(
+        "block_number", day - F.when(F.col("chain_id") == 2, CHAIN_2_LAG).otherwise(0)
     )
     block, number = F.col("block_number"), F.col("l_linenumber")
     fork = F.when((block % 17 == 0) & (F.col("l_linestatus") == "F"), "b").otherwise("a")
     return line.select(
-        F.lit(1).alias("chain_id"),
+        "chain_id",
         F.concat(F.lit("c"), (F.col("l_orderkey") % 3).cast("string")).alias("contract_address"),
         "block_number",
-        _hex_md5(F.concat(block.cast("string"), fork)).alias("block_hash"),
+        block_hash(block, fork).alias("block_hash"),
         _hex_md5(F.concat(F.lit("tx"), F.col("l_orderkey").cast("string"))).alias("tx_hash"),
         (F.col("l_orderkey") % 64).cast("int").alias("tx_index"),
         number.alias("log_index"),
@@ -115,9 +122,19 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def canonical_blocks(observed: DataFrame) -> DataFrame:
-    return observed.select("block_number").distinct().withColumn(
-        "block_hash", _hex_md5(F.concat(F.col("block_number").cast("string"), F.lit("a")))
-    )
+    return observed.select("chain_id", "block_number").distinct().withColumn("block_hash", block_hash(F.col("block_number"), F.lit("a")))
+
+
+def block_hash(block: Column, fork: Column) -> Column:
+    return _hex_md5(F.concat(block.cast("string"), fork, F.col("chain_id").cast("string")))
+
+
+def per_contract(df: DataFrame) -> DataFrame:
+    """Deals placed on contracts c0..c2, ids counted per contract: the same id names a deal of each."""
+    key = F.col("deal_id")
+    return df.withColumn("chain_id", F.when(key % 3 == 2, 2).otherwise(1)).withColumn(
+        "contract_address", F.concat(F.lit("c"), (key % 3).cast("string"))
+    ).withColumn("deal_id", F.floor(key / 3))
 
 
 def deals(spark: SparkSession, sf_dir: str) -> DataFrame:

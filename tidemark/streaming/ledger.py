@@ -74,7 +74,7 @@ def process_batch(batch: DataFrame, batch_id: int, folder: str, canonical: DataF
     resolved = f"{folder}/resolved/batch={batch_id}"
     resolve_batch(opened.unionByName(closed), batch).write.mode("overwrite").parquet(resolved)
     rows = spark.read.schema(schema).parquet(resolved)
-    bad = L.first_mismatch(rows, canonical, depth).where(F.col("first_bad").isNotNull())
+    bad = L.first_mismatch(rows, canonical, depth).where(F.col("first_bad").isNotNull()).drop("head_block")
     if not bad.isEmpty():
         # Orphaning reaches rows closed earlier at or above the mismatch, so those take part too.
         older = _closed_rows(spark, folder, batch_id - 1, schema).join(rows.select(*keys), keys, "left_anti")
