@@ -4,8 +4,8 @@ One dictionary is trained on ordinary, one on toxic text. A document is cut into
 compressed once behind the ordinary and once behind the toxic dictionary, and the bytes that the toxic one saves are the
 window's distance. A calibrated logistic on how many windows save at least 1, 2, ... bytes gives the score.
 
-Three things make short windows comparable. The toxic training text consists of the words that toxic documents use far
-more often than ordinary ones. The toxic side holds the ordinary dictionary too, at the same distance, so that ordinary
+Three things make short windows comparable. The toxic training text consists of the words and word beginnings that toxic
+documents use significantly more often than ordinary ones (log-likelihood ratio). The toxic side holds the ordinary dictionary too, at the same distance, so that ordinary
 words compress alike on both. And every window starts with a carrier that ends both dictionaries, so that the block is
 always compressed and one more match always shows in the length.
 """
@@ -13,7 +13,7 @@ always compressed and one more match always shows in the length.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -27,12 +27,15 @@ from tidemark.llm.common import held_out, learning_rows, text_of
 # Bound of the learning sample: rows per class.
 SAMPLE = 2_400
 FOLDS = 3
-WINDOW_WORDS = 4
+WINDOW_WORDS = 2
 ORDINARY_BYTES = 2_048
 TOXIC_BYTES = 1_024
 THRESHOLD = 0.5
-# A word marks toxic text when it is in this share of toxic documents and so many times as frequent as in ordinary ones.
-LEAST_SHARE, LEAST_RATIO = 0.005, 8.0
+# A word beginning marks toxic text when it is so many times as frequent there, with at least this log-likelihood ratio.
+LEAST_RATIO, LEAST_EVIDENCE = 4.0, 20.0
+MARK_LENGTHS = range(4, 17)
+# A mark gives way to a longer one that is in at least this share of its toxic documents.
+KEPT_BY_LONGER = 0.8
 STEPS = 8
 _POINTS = ".,;:!?"
 _CARRIER = bytes(range(1, 25))
@@ -107,20 +110,47 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return at
 
 
-def _dictionaries(sample: pd.DataFrame) -> tuple[bytes, bytes]:
-    """The ordinary dictionary, and the toxic one followed by it, from a labelled sample (text, label)."""
-    words = {c: [t.lower().split() for t in sample.loc[sample["label"] == c, "text"]] for c in (0, 1)}
-    share = {c: Counter(w for doc in words[c] for w in {x.strip(_POINTS) for x in doc}) for c in (0, 1)}
-    toxic_docs, plain_docs = len(words[1]), len(words[0])
-    marks = {
-        w for w, n in share[1].items()
-        if len(w) > 3 and n >= max(3, LEAST_SHARE * toxic_docs)
-        and (n + 0.5) / toxic_docs >= LEAST_RATIO * (share[0][w] + 0.5) / plain_docs
-    }
-    used = [w for doc in words[1] for w in (x.strip(_POINTS) for x in doc) if w in marks]
+def _evidence(toxic: int, plain: int, n_toxic: int, n_plain: int) -> float:
+    """Log-likelihood ratio of "in different shares of the two classes" against "in the same share"; 0 unless far more toxic."""
+    if toxic * n_plain < LEAST_RATIO * plain * n_toxic:
+        return 0.0
+    share = (toxic + plain) / (n_toxic + n_plain)
+    cells = ((toxic, n_toxic * share), (plain, n_plain * share), (n_toxic - toxic, n_toxic * (1 - share)), (n_plain - plain, n_plain * (1 - share)))
+    return 2 * sum(seen * np.log(seen / expected) for seen, expected in cells if seen)
+
+
+def _held(texts: Iterable[str]) -> Counter:
+    """In how many of ``texts`` each word beginning occurs."""
+    counts: Counter = Counter()
+    for text in texts:
+        words = {x.strip(_POINTS) for x in set(text.lower().split())}
+        counts.update({w[:k] for w in words for k in range(MARK_LENGTHS.start, min(len(w) + 1, MARK_LENGTHS.stop))})
+    return counts
+
+
+def _marks(held: dict[int, Counter], n: dict[int, int]) -> list[str]:
+    """Words and word beginnings that mark toxic documents, the strongest last, where a dictionary is cheapest to reach."""
+    proof = {h: _evidence(seen, held[0][h], n[1], n[0]) for h, seen in held[1].items() if seen > 2}
+    marks = {h for h, e in proof.items() if e >= LEAST_EVIDENCE}
+    replaced = {h[:k] for h in marks for k in MARK_LENGTHS if k < len(h) and held[1][h] >= KEPT_BY_LONGER * held[1][h[:k]]}
+    return sorted(marks - replaced, key=lambda h: (proof[h], h))
+
+
+def _dictionaries(sample: pd.DataFrame, held: dict[int, Counter]) -> tuple[bytes, bytes]:
+    """The ordinary dictionary, and the toxic one followed by it, from a labelled sample (text, label) and its counts."""
+    n = {c: int((sample["label"] == c).sum()) for c in (0, 1)}
+    plain, toxic = (sample.loc[sample["label"] == c, "text"] for c in (0, 1))
+    marks = _marks(held, n)
+    ordinary = _dictionary([w for text in plain for w in _windows(text.lower().split()[:60])], ORDINARY_BYTES)
+    known = set(marks)
+    words = (x.strip(_POINTS) for text in toxic for x in text.lower().split())
+    used = [head for w in words if (head := next((w[:k] for k in reversed(MARK_LENGTHS) if w[:k] in known), None))]
     order = np.random.default_rng(7).permutation(len(used))
-    ordinary = _dictionary([w for doc in words[0] for w in _windows(doc[:60])], ORDINARY_BYTES)
-    return ordinary, _dictionary(_windows([used[i] for i in order]), TOXIC_BYTES) + ordinary
+    trained = _dictionary(_windows([used[i] for i in order]), TOXIC_BYTES)
+    # The trainer prefers what repeats most; the marks it left out follow, the strongest last.
+    spelled = [f" {m}".encode("utf-8", "surrogatepass") for m in marks]
+    rest = b"".join(m for m in spelled if m not in trained)
+    return ordinary, trained + rest[-TOXIC_BYTES:] + ordinary
 
 
 def train(sample: pd.DataFrame, seen: tuple[int, int]) -> Model:
@@ -137,12 +167,14 @@ def train(sample: pd.DataFrame, seen: tuple[int, int]) -> Model:
     sample = sample.sort_values("doc_id", kind="stable").reset_index(drop=True)
     fold = sample.groupby("label").cumcount() % FOLDS
     x, y = np.zeros((len(sample), 2 * STEPS + 2)), sample["label"].to_numpy(float)
+    parts = {(k, c): _held(sample.loc[(fold == k) & (sample["label"] == c), "text"]) for k in range(FOLDS) for c in (0, 1)}
+    held = lambda folds: {c: sum((parts[k, c] for k in folds), Counter()) for c in (0, 1)}
     for k in range(FOLDS):
-        model = Model(*_dictionaries(sample[fold != k]), flat)
+        model = Model(*_dictionaries(sample[fold != k], held([j for j in range(FOLDS) if j != k])), flat)
         own = np.flatnonzero(fold == k)
         x[own] = _features(np.array([saved_bytes(sample["text"][i], model) for i in own]).reshape(-1, STEPS + 1))
     weight = np.where(y == 1, prior / y.mean(), (1 - prior) / (1 - y.mean()))
-    return Model(*_dictionaries(sample), tuple(_logistic(x, y, weight)))
+    return Model(*_dictionaries(sample, held(range(FOLDS))), tuple(_logistic(x, y, weight)))
 
 
 def _scorer(model: Model):
