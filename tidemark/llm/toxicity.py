@@ -119,12 +119,13 @@ def _evidence(toxic: int, plain: int, n_toxic: int, n_plain: int) -> float:
     return 2 * sum(seen * np.log(seen / expected) for seen, expected in cells if seen)
 
 
-def _held(texts: Iterable[str]) -> Counter:
-    """In how many of ``texts`` each word beginning occurs."""
+def _held(texts: Iterable[str], only: set[str] | None = None) -> Counter:
+    """In how many of ``texts`` each word beginning occurs, optionally only those in ``only``."""
     counts: Counter = Counter()
     for text in texts:
         words = {x.strip(_POINTS) for x in set(text.lower().split())}
-        counts.update({w[:k] for w in words for k in range(MARK_LENGTHS.start, min(len(w) + 1, MARK_LENGTHS.stop))})
+        heads = {w[:k] for w in words for k in range(MARK_LENGTHS.start, min(len(w) + 1, MARK_LENGTHS.stop))}
+        counts.update(heads if only is None else heads & only)
     return counts
 
 
@@ -167,7 +168,10 @@ def train(sample: pd.DataFrame, seen: tuple[int, int]) -> Model:
     sample = sample.sort_values("doc_id", kind="stable").reset_index(drop=True)
     fold = sample.groupby("label").cumcount() % FOLDS
     x, y = np.zeros((len(sample), 2 * STEPS + 2)), sample["label"].to_numpy(float)
-    parts = {(k, c): _held(sample.loc[(fold == k) & (sample["label"] == c), "text"]) for k in range(FOLDS) for c in (0, 1)}
+    texts = lambda k, c: sample.loc[(fold == k) & (sample["label"] == c), "text"]
+    # Only what recurs in toxic texts can become a mark, so nothing else is counted for long.
+    recurring = {h for h, n in sum((_held(texts(k, 1)) for k in range(FOLDS)), Counter()).items() if n > 2}
+    parts = {(k, c): _held(texts(k, c), recurring) for k in range(FOLDS) for c in (0, 1)}
     held = lambda folds: {c: sum((parts[k, c] for k in folds), Counter()) for c in (0, 1)}
     for k in range(FOLDS):
         model = Model(*_dictionaries(sample[fold != k], held([j for j in range(FOLDS) if j != k])), flat)
