@@ -179,8 +179,8 @@ SELECT quote_id, amount, CAST(w AS DECIMAL(38,0)) AS units, CAST((w + 3 * 100000
        CAST(CAST(w // 100000000000000000 AS DECIMAL(20,0)) * 0.1 AS DECIMAL(20,1)) AS tenths_down,
        CAST(CAST((w + 50000000000000000) // 100000000000000000 AS DECIMAL(20,0)) * 0.1 AS DECIMAL(20,1)) AS tenths_half_up,
        CAST(CAST((w + 99999999999999999) // 100000000000000000 AS DECIMAL(20,0)) * 0.1 AS DECIMAL(20,1)) AS tenths_up,
-       CAST(CAST((e8 * 1075 + 999999999) // 1000000000 AS DECIMAL(20,0)) * 0.01 AS DECIMAL(22,2)) AS marked_up, TRUE AS is_units, CAST(NULL AS DECIMAL(38,0)) AS signature_number,
-       CAST(settlement_horizon AS DECIMAL(38,0)) AS horizon_number, CAST(settlement_horizon AS BIGINT) AS horizon_seconds FROM c
+       CAST(CAST((e8 * 1075 + 999999999) // 1000000000 AS DECIMAL(20,0)) * 0.01 AS DECIMAL(22,2)) AS marked_up, TRUE AS is_units, CAST(NULL AS VARCHAR) AS signature_number,
+       CAST(CAST(settlement_horizon AS BIGINT) AS VARCHAR) AS horizon_number, CAST(settlement_horizon AS BIGINT) AS horizon_seconds FROM c
 """),
     "scalar_format": with_ctes("deals", f"""
 , f AS (SELECT *, deal_id * 37 % 400000 AS s, deal_id % 10007 AS p, CAST(epoch(created_at) - epoch(TIMESTAMP '2000-01-01 12:00:00') AS BIGINT) AS seconds_left FROM deals)

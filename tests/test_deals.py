@@ -156,3 +156,11 @@ def test_other_texts(frame):
     assert one(frame, K.conf_key(F.lit(0.99)), a="x") == "0.9900"
     now = dt.datetime(2024, 1, 1)
     assert one(frame, K.seconds_remaining(F.col("e"), F.lit(now)), e=now - dt.timedelta(milliseconds=1)) == -1
+
+
+def test_integers_of_any_length_stay_whole(frame):
+    wide = "1234567890" * 5
+    cases = {wide: wide, f" -00{wide} ": f"-{wide}", "0": "0", "-000": "0", "007": "7", "1.0": None, "0x1f": None, "": None, "-": None}
+    rows = frame([(text,) for text in cases] + [(None,)], "text string")
+    got = {r["text"]: r["n"] for r in rows.withColumn("n", K.coerce_integer(F.col("text"))).collect()}
+    assert got == {**cases, None: None}

@@ -150,9 +150,10 @@ def same_address(a: Column, b: Column) -> Column:
 
 
 def coerce_integer(text: Column) -> Column:
-    """An integer text as DECIMAL(38,0), null for anything that is not one."""
+    """An integer of any length as its shortest text, null for anything that is not one."""
     trimmed = F.trim(text)
-    return F.when(trimmed.rlike(INTEGER_TEXT), trimmed.try_cast("decimal(38,0)"))
+    shortest = F.regexp_replace(trimmed, "^(-?)0+(?=[0-9])", "$1")
+    return F.when(trimmed.rlike(INTEGER_TEXT), F.when(shortest == "-0", "0").otherwise(shortest))
 
 
 def conf_key(c: Column) -> Column:
