@@ -189,3 +189,33 @@ def test_embeddings_odd_vectors(spark):
     assert all(got[i] == (0, i, True) for i in (1, 2, 3, 4, 5, 6, 9))
     assert got[7] == (2, 7, True) and got[8] == (2, 7, False) and got[None] == (2, 7, False)
     assert embeddings.near_duplicates(frame.limit(0)).count() == 0
+
+
+def test_embeddings_roots_follow_chains():
+    rng = np.random.default_rng(8)
+    for n in (1, 2, 9, 60):
+        pairs = [tuple(sorted(p)) for p in rng.integers(0, n, (n // 2, 2)).tolist()] + [(i, n - 1) for i in range(0, n - 1, 5)]
+        a, b = np.array(pairs, np.int64).reshape(-1, 2).T
+        want = least_reachable(range(n), pairs)
+        assert embeddings._roots(n, a, b).tolist() == [want[i] for i in range(n)]
+
+
+def test_embeddings_links_of_one_group_are_all_followed():
+    """a-c and b-c are links, a-b is none: one component though the bridge has the largest id."""
+    import pandas as pd
+
+    def on_circle(*degrees):
+        return [[float(np.cos(np.radians(d))), float(np.sin(np.radians(d)))] for d in degrees]
+
+    def frame(vectors):
+        n = len(vectors)
+        return pd.DataFrame({
+            "id": range(n), "t": 0, "bucket": 5, "left": 0, "right": 0, "sub": 0, "embedding": vectors, "times": 1, "codes": [[5]] * n,
+        })
+
+    out = next(embeddings._compare(0.9, 1, 1)(iter([frame(on_circle(0, 40, 20))])))
+    assert dict(zip(out["id"], out["links"])) == {0: 1, 1: 1, 2: 2}
+    assert least_reachable(range(3), zip(out["id"], out["least"])) == {0: 0, 1: 0, 2: 0}
+    angles = np.random.default_rng(5).permutation(np.arange(0, 300, 15))
+    out = next(embeddings._compare(0.9, 1, 1)(iter([frame(on_circle(*angles))])))
+    assert set(least_reachable(range(20), zip(out["id"], out["least"])).values()) == {0}

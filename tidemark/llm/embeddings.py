@@ -8,7 +8,7 @@ other; a link is a candidate pair whose cosine in double precision reaches the t
 Equal vectors collapse into one class first. A bucket is compared by blocks: its members are dealt into sub-buckets of
 about ``BLOCK`` and each pair of sub-buckets is one group, so no task holds a whole large bucket. A pair is counted in the
 first table and bucket where it meets, so per-vector link numbers add up without a list of all pairs; for components a
-block emits one link per vector and centre.
+group links every vector to the least one it reaches by the group's pairs, so chains stay whole.
 """
 
 from __future__ import annotations
@@ -132,8 +132,22 @@ def _numbered(frame: pd.DataFrame) -> np.ndarray:
     return np.concatenate([[0], (key[1:] != key[:-1]).any(axis=1).cumsum()])
 
 
+def _roots(size: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For every row the least row it reaches by the pairs ``(a, b)``."""
+    root = np.arange(size)
+    while True:
+        low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        apart = low < high
+        if not apart.any():
+            return root
+        a, b = a[apart], b[apart]
+        np.minimum.at(root, high[apart], low[apart])
+        while (root[root] != root).any():
+            root = root[root]
+
+
 def _compare(threshold: float, tables: int, probes: int):
-    """Blocks of buckets, sorted by group: per vector the links counted here, and its link to a lesser vector."""
+    """Blocks of buckets, sorted by group: per vector the links counted here, and the least vector they lead to."""
 
     def links_of(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
         lengths = frame["embedding"].map(len).to_numpy()
@@ -147,15 +161,16 @@ def _compare(threshold: float, tables: int, probes: int):
             i, j = i[use], j[use]
             place = part[["t", "bucket"]].to_numpy()
             own = np.stack(part["codes"].to_numpy()).reshape(len(part), tables, probes)
-            links, least = np.zeros(len(ids), np.int64), ids.copy()
+            links, met = np.zeros(len(ids), np.int64), np.zeros(len(i), bool)
             for lo in range(0, len(i), 1 << 14):
                 a, b = i[lo : lo + (1 << 14)], j[lo : lo + (1 << 14)]
                 first = (_first_meeting(own[a], own[b]) == place[a]).all(axis=1)
+                met[lo : lo + (1 << 14)] = first
                 a, b = a[first], b[first]
                 np.add.at(links, a, times[b])
                 np.add.at(links, b, times[a])
-                np.minimum.at(least, b, ids[a])
-                np.minimum.at(least, a, ids[b])
+            # Rows of a group are sorted by id, so the least row is the least id.
+            least = ids[_roots(len(ids), i[met], j[met])]
             some = links > 0
             yield pd.DataFrame({"id": ids[some], "links": links[some], "least": least[some]})
 
