@@ -220,6 +220,42 @@ def test_plan_places_every_piece_without_gap(lengths):
     assert len(sequences) <= max(len(open_bins) + 1, 1.02 * len(open_bins))
 
 
+def best_fit(counts, capacity):
+    """Number of sequences when every piece, longest first, goes to the open one with the least room that fits."""
+    open_bins = Counter()
+    for length in sorted(counts, reverse=True):
+        for _ in range(counts[length]):
+            room = min((r for r, n in open_bins.items() if n and r >= length), default=None)
+            open_bins[capacity if room is None else room] -= room is not None
+            open_bins[(capacity if room is None else room) - length] += 1
+    return sum(open_bins.values())
+
+
+@pytest.mark.parametrize("counts", [
+    {500: 4}, {500: 401}, {1: 5000}, {700: 3, 600: 7, 500: 50}, {1500: 2, 250: 9}, {1100: 10, 300: 12}, {2000: 5, 300: 1000, 90: 77, 20: 3}, {1025: 3, 341: 100},
+])
+def test_plan_fills_sequences_with_equal_lengths(counts):
+    places = packing.plan(counts, packing.CAPACITY)
+    sequences = {sequence + k for _, _, times, sequence, _ in places for k in range(times)}
+    taken = Counter()
+    for length, _, times, _, _ in places:
+        taken[length] += times
+    assert taken == counts and sequences == set(range(len(sequences)))
+    assert -(-sum(k * n for k, n in counts.items()) // packing.CAPACITY) <= len(sequences) <= best_fit(counts, packing.CAPACITY)
+    assert len(packing.blocks(counts, packing.CAPACITY)) <= 8 * len(counts)
+
+
+def test_packing_of_many_equal_texts(docs):
+    rows = packing.packed(docs(*["one two three four five " * 40] * 50, "word"), PACKING_TOKENIZER).collect()
+    places, most = {}, packing.CAPACITY // max(r.length for r in rows)
+    for r in rows:
+        places.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert most > 1 and len(places) == -(-50 // most)
+    for own in places.values():
+        own.sort()
+        assert [o for o, _ in own] == np.cumsum([0, *(n for _, n in own[:-1])]).tolist() and sum(n for _, n in own) <= packing.CAPACITY
+
+
 def test_packing_of_documents(spark, library):
     docs = table(spark, SF, "documents")
     texts = {r.doc_id: r.text or "" for r in docs.collect()}

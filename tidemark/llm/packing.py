@@ -6,7 +6,7 @@ the available lengths, their pair sums and their triple sums; a combination that
 often as the availability counts allow. What finds no exact complement goes, longest first, into the open sequence with
 the least room that still fits.
 
-The plan is a list of rank ranges: pieces of one length, ranked, go to consecutive sequences at one place. Ranks are
+The plan is a list of rank ranges: pieces of one length, ranked, go to consecutive sequences, in each as many as fit. Ranks are
 counted per (length, slice) and shifted by the slices before, so a length that a third of all pieces share is ranked by
 many tasks; the ranges are joined by a broadcast whose size is bounded by the capacity.
 """
@@ -175,9 +175,10 @@ class _Stock:
         return (total - int(low[at[0]]), int(low[at[0]])) if len(at) else None
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
-    """Rank ranges ``(length, first_rank, count, first_sequence, offset)`` for ``counts`` pieces of each length.
+def blocks(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:
+    """Rank ranges ``(length, first_rank, count, first_sequence, offset, across)`` for ``counts`` pieces of each length.
 
+    A range fills ``across`` consecutive sequences, one piece in each and then, ``length`` further on, one more in each.
     The number of ranges depends on the number of distinct lengths, not on the number of pieces: every step uses up a
     length or a kind of open sequence.
     """
@@ -191,7 +192,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
             combination = (length, *mates)
             times, offset = stock.most(combination), 0
             for part in combination:
-                out.append((part, stock.take(part, times), times, sequences, offset))
+                out.append((part, stock.take(part, times), times, sequences, offset, times))
                 offset += part
             sequences += times
         if stock.left[length]:
@@ -201,22 +202,33 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
     open_runs: dict[int, list[tuple[int, int]]] = defaultdict(list)
     for length, count in rest:
         while count:
-            room = next((r for r in range(length, capacity) if open_runs[r]), None)
-            if room is None:
-                first, times, room = sequences, count, capacity
-                sequences += count
-            else:
+            room = next((r for r in range(length, capacity) if open_runs[r]), capacity)
+            each = room // length
+            if room < capacity:
                 first, runs = open_runs[room].pop()
-                times = min(count, runs)
-                if runs > times:
-                    open_runs[room].append((first + times, runs - times))
-            out.append((length, stock.take(length, times), times, first, capacity - room))
-            # A long piece may come again for the same sequence, so the run goes back with the room it now has.
-            open_runs[room - length].append((first, times))
-            count -= times
+            else:
+                first, runs = sequences, -(-count // each)
+                sequences += runs
+            # Best fit puts the next piece of the length where the last one went while there is room.
+            full = min(runs, count // each)
+            for times, pieces in ((full, each), (1 if full < runs else 0, count - full * each)):
+                if times and pieces:
+                    out.append((length, stock.take(length, times * pieces), times * pieces, first, capacity - room, times))
+                    open_runs[room - pieces * length].append((first, times))
+                    first, runs, count = first + times, runs - times, count - times * pieces
+            if runs:
+                open_runs[room].append((first, runs))
     return out
 
 
+def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
+    """``blocks`` place by place: rank ranges ``(length, first_rank, count, first_sequence, offset)`` of one piece per sequence."""
+    return [
+        (length, first + place * across, across, sequence, offset + place * length)
+        for length, first, count, sequence, offset, across in blocks(counts, capacity) for place in range(count // across)
+    ]
+
+
 def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``cut`` (rows with doc_id, piece and length, best a written table) with ``sequence_id`` and ``offset``."""
     slices = max(1, -(-cut.count() // SLICE_ROWS))
@@ -228,11 +240,13 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     own = Window.partitionBy("length", "_slice").orderBy("doc_id", "piece", "ids_crc32")
     ranked = sliced.withColumn("_rank", F.row_number().over(own) - 1).join(shift, ["length", "_slice"])
     ranked = ranked.withColumn("_rank", F.col("_rank") + F.col("_shift"))
-    schema = "_length bigint, _first bigint, _count bigint, _sequence bigint, offset bigint"
-    ranges = cut.sparkSession.createDataFrame(plan(counts, capacity), schema)
+    schema = "_length bigint, _first bigint, _count bigint, _sequence bigint, _offset bigint, _across bigint"
+    ranges = cut.sparkSession.createDataFrame(blocks(counts, capacity), schema)
     here = (F.col("length") == F.col("_length")) & (F.col("_rank") >= F.col("_first")) & (F.col("_rank") < F.col("_first") + F.col("_count"))
     placed = ranked.join(F.broadcast(ranges), here)
-    return placed.select(*cut.columns, (F.col("_sequence") + F.col("_rank") - F.col("_first")).alias("sequence_id"), "offset")
+    sequence = F.col("_sequence") + (F.col("_rank") - F.col("_first")) % F.col("_across")
+    offset = F.col("_offset") + F.expr("(_rank - _first) div _across") * F.col("length")
+    return placed.select(*cut.columns, sequence.alias("sequence_id"), offset.alias("offset"))
 
 
 def packed(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
