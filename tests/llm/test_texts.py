@@ -59,6 +59,19 @@ def test_language_odd_rows(odd, none):
     assert language.predict(none, found).count() == 0
 
 
+def test_language_of_a_single_letter(docs, monkeypatch):
+    found = language.fit(docs("some words here", "einige Worte hier", ids=[2, 4], langs=["en", "de"]))
+    assert len(found.languages) == 2
+    for text in ("A.", "é", "1a1", "漢", "𐐀", " x "):
+        lang, score = language.identify(text, found)
+        assert lang in found.languages and 0 < score <= 1
+    assert {language.identify(t, found) for t in ("", " ", "12.", "🙂")} == {("und", 0.0)}
+    whole = np.concatenate(list(language.grams("word a")))
+    monkeypatch.setattr(language, "_CHUNK", 8)
+    assert language.identify("1" * 30 + "a" + "1" * 30, found)[0] in found.languages
+    assert np.array_equal(np.concatenate(list(language.grams("word a"))), whole)
+
+
 def test_bloom_filter_holds_every_gram():
     import pandas as pd
 

@@ -57,17 +57,27 @@ def _codes(text: str) -> np.ndarray:
 
 
 def grams(text: str) -> Iterator[np.ndarray]:
-    """Hashes of all n-grams of the whole text, in bounded blocks."""
-    step = _CHUNK
+    """Hashes of all n-grams of the whole text, in bounded blocks; a text with a single letter has one, padded by spaces."""
+    step, single, some = _CHUNK, None, False
     for at in range(0, max(1, len(text)), step):
         codes = _codes(text[at : at + step + GRAM]).astype(np.uint64)
-        if len(codes) < GRAM or not (codes != 32).any():
+        if not (codes != 32).any():
             continue
-        value = np.zeros(len(codes) - GRAM + 1, np.uint64)
-        for i in range(GRAM):
-            value = (value ^ codes[i : len(codes) - GRAM + 1 + i]) * np.uint64(0x9FB21C651E98DF25)
-            value ^= value >> np.uint64(32)
-        yield value
+        if len(codes) < GRAM:
+            single = codes
+            continue
+        some = True
+        yield _hashes(codes)
+    if single is not None and not some:
+        yield _hashes(np.append(single, np.full(GRAM - len(single), 32, np.uint64)))
+
+
+def _hashes(codes: np.ndarray) -> np.ndarray:
+    value = np.zeros(len(codes) - GRAM + 1, np.uint64)
+    for i in range(GRAM):
+        value = (value ^ codes[i : len(codes) - GRAM + 1 + i]) * np.uint64(0x9FB21C651E98DF25)
+        value ^= value >> np.uint64(32)
+    return value
 
 
 def _positions(hashes: np.ndarray, size: int) -> list[np.ndarray]:
