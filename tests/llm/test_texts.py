@@ -103,6 +103,21 @@ def test_scores_of_odd_rows_and_without_labels(spark, odd, none, operator):
         assert operator.score(none, model).count() == 0
 
 
+def test_every_toxic_mark_is_in_the_dictionary():
+    import pandas as pd
+
+    code = np.random.default_rng(6).choice(list("abcdefghijklmnopqrstuvwxyz"), (1200, 10))
+    words = ["".join(w) for w in code]
+    toxic = [" ".join(words[i % 40 :: 40]) for i in range(1200)]
+    sample = pd.DataFrame({"text": toxic + ["plain words only"] * 1200, "label": [1] * 1200 + [0] * 1200})
+    held = {c: toxicity._held(sample.loc[sample["label"] == c, "text"]) for c in (0, 1)}
+    marks = toxicity._marks(held, {0: 1200, 1: 1200})
+    ordinary, both = toxicity._dictionaries(sample, held)
+    assert len(marks) >= 1000 and all(m.encode() in both for m in marks)
+    model = toxicity.Model(ordinary, both, ())
+    assert np.mean([toxicity.saved_bytes(m, model)[0] for m in marks]) >= 0.9
+
+
 def base_spans(text):
     out = [(m.start(), m.end(), "email") for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
     for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):

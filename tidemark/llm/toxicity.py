@@ -66,8 +66,10 @@ def _windows(words: list[str]) -> list[bytes]:
 
 @lru_cache(maxsize=4)
 def _compressors(ordinary: bytes, toxic: bytes) -> tuple:
+    # Window and chains reach the whole of a large dictionary.
+    bits = max(12, (len(toxic) - 1).bit_length())
     params = zstandard.ZstdCompressionParameters(
-        strategy=zstandard.STRATEGY_LAZY2, min_match=4, target_length=16, window_log=13, hash_log=12, chain_log=12,
+        strategy=zstandard.STRATEGY_LAZY2, min_match=4, target_length=16, window_log=bits + 1, hash_log=bits, chain_log=bits,
         search_log=3, write_content_size=False, write_checksum=False, write_dict_id=False, format=zstandard.FORMAT_ZSTD1_MAGICLESS,
     )
     made = []
@@ -151,7 +153,7 @@ def _dictionaries(sample: pd.DataFrame, held: dict[int, Counter]) -> tuple[bytes
     # The trainer prefers what repeats most; the marks it left out follow, the strongest last.
     spelled = [f" {m}".encode("utf-8", "surrogatepass") for m in marks]
     rest = b"".join(m for m in spelled if m not in trained)
-    return ordinary, trained + rest[-TOXIC_BYTES:] + ordinary
+    return ordinary, trained + rest + ordinary
 
 
 def train(sample: pd.DataFrame, seen: tuple[int, int]) -> Model:
