@@ -118,6 +118,16 @@ def test_every_toxic_mark_is_in_the_dictionary():
     assert np.mean([toxicity.saved_bytes(m, model)[0] for m in marks]) >= 0.9
 
 
+def test_ordinary_dictionary_learns_from_whole_texts():
+    import pandas as pd
+
+    rng = np.random.default_rng(2)
+    head = [f"start{i}" for i in range(40)]
+    texts = [" ".join([*rng.choice(head, 60), *["lateword follows"] * 400]) for _ in range(30)]
+    sample = pd.DataFrame({"doc_id": range(60), "text": texts + ["start1 start2"] * 30, "label": [0] * 30 + [1] * 30})
+    assert b"lateword" in toxicity.train(sample, (30, 30)).ordinary
+
+
 def base_spans(text):
     out = [(m.start(), m.end(), "email") for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
     for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):

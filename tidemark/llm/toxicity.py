@@ -144,7 +144,7 @@ def _dictionaries(sample: pd.DataFrame, held: dict[int, Counter]) -> tuple[bytes
     n = {c: int((sample["label"] == c).sum()) for c in (0, 1)}
     plain, toxic = (sample.loc[sample["label"] == c, "text"] for c in (0, 1))
     marks = _marks(held, n)
-    ordinary = _dictionary([w for text in plain for w in _windows(text.lower().split()[:60])], ORDINARY_BYTES)
+    ordinary = _dictionary([w for text in plain for w in _windows(text.lower().split())], ORDINARY_BYTES)
     known = set(marks)
     words = (x.strip(_POINTS) for text in toxic for x in text.lower().split())
     used = [head for w in words if (head := next((w[:k] for k in reversed(MARK_LENGTHS) if w[:k] in known), None))]
