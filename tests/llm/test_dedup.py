@@ -219,3 +219,23 @@ def test_embeddings_links_of_one_group_are_all_followed():
     angles = np.random.default_rng(5).permutation(np.arange(0, 300, 15))
     out = next(embeddings._compare(0.9, 1, 1)(iter([frame(on_circle(*angles))])))
     assert set(least_reachable(range(20), zip(out["id"], out["least"])).values()) == {0}
+
+
+def test_embeddings_that_meet_as_probes_only(spark):
+    """Pairs close to the threshold: every pair that shares any bucket of any table is a link."""
+    a, b = np.array([[[1, 2]], [[1, 2]], [[7, 4]]]), np.array([[[3, 2]], [[2, 1]], [[8, 9]]])
+    assert embeddings._first_meeting(a, b).tolist() == [[0, 2], [0, 1], [-1, -1]]
+    rng = np.random.default_rng(11)
+    x = rng.standard_normal((600, 384))
+    y = rng.standard_normal((600, 384))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (x * y).sum(1, keepdims=True) * x
+    y = 0.901 * x + np.sqrt(1 - 0.901**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    x, y = x.astype("f4"), y.astype("f4")
+    cx, cy = embeddings.codes(embeddings._matrix(list(x))), embeddings.codes(embeddings._matrix(list(y)))
+    meet = (cx[:, :, :, None] == cy[:, :, None, :]).any(axis=(1, 2, 3))
+    one_own = ((cx[:, :, :1] == cy).any(axis=2) | (cy[:, :, :1] == cx).any(axis=2)).any(axis=1)
+    assert meet.sum() > one_own.sum()
+    rows = [(2 * i + k, [float(v) for v in side[i]]) for i in range(600) for k, side in enumerate((x, y))]
+    got = {r.vec_id: r.n_links for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")).collect()}
+    assert [got[2 * i] for i in range(600)] == meet.astype(int).tolist()

@@ -2,8 +2,8 @@
 
 A table hashes a unit vector by ``ROTATIONS`` fast pseudo-rotations (three rounds of random signs and a Hadamard transform);
 each gives the signed axis the rotated vector is closest to, and the axes together are the bucket. Besides its own bucket
-a vector probes the buckets of its next closest axes. Two vectors are candidates where one's own bucket is probed by the
-other; a link is a candidate pair whose cosine in double precision reaches the threshold.
+a vector probes the buckets of its next closest axes. Two vectors are candidates where they share a bucket, own or
+probed; a link is a candidate pair whose cosine in double precision reaches the threshold.
 
 Equal vectors collapse into one class first. A bucket is compared by blocks: its members are dealt into sub-buckets of
 about ``BLOCK`` and each pair of sub-buckets is one group, so no task holds a whole large bucket. A pair is counted in the
@@ -91,9 +91,8 @@ def _first_meeting(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """For pairs of code rows (pairs, tables, probes): number of the first shared place, coded as table and bucket."""
     table, bucket = np.full(len(a), -1), np.full(len(a), -1, np.int64)
     for t in range(a.shape[1]):
-        of_a = np.where((a[:, t, :1] == b[:, t]).any(axis=1), a[:, t, 0], np.iinfo("i8").max)
-        of_b = np.where((b[:, t, :1] == a[:, t]).any(axis=1), b[:, t, 0], np.iinfo("i8").max)
-        here = np.minimum(of_a, of_b)
+        shared = (a[:, t, :, None] == b[:, t, None, :]).any(axis=2)
+        here = np.where(shared, a[:, t], np.iinfo("i8").max).min(axis=1)
         new = (table < 0) & (here < np.iinfo("i8").max)
         table[new], bucket[new] = t, here[new]
     return np.stack([table, bucket], axis=1)
@@ -203,12 +202,10 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     classes = settle(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
     hashed = settle(classes.select("id", "embedding").mapInPandas(_hash, "id bigint, codes array<bigint>"), "codes")
     places = F.posexplode("codes").alias("place", "bucket")
-    spread = hashed.select("id", places).select(
-        "id", (F.col("place") / PROBES).cast("int").alias("t"), "bucket", (F.col("place") % PROBES == 0).alias("home")
-    ).groupBy("t", "bucket", "id").agg(F.max("home").alias("home"))
+    spread = hashed.select("id", places).select("id", (F.col("place") / PROBES).cast("int").alias("t"), "bucket").distinct()
     spread = settle(spread.withColumn("at", F.struct("t", "bucket")), "places")
-    sizes = spread.groupBy("at").agg(F.count("*").alias("members"), F.max("home").alias("any_home"))
-    sizes = settle(sizes.where("members > 1 and any_home"), "buckets")
+    sizes = spread.groupBy("at").agg(F.count("*").alias("members"))
+    sizes = settle(sizes.where("members > 1"), "buckets")
     met = attach(spread, sizes, "at", "members", "inner")
     parts = F.ceil(F.col("members") / BLOCK).cast("int")
     met = met.withColumn("parts", parts).withColumn("sub", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
