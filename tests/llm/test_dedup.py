@@ -239,3 +239,14 @@ def test_embeddings_that_meet_as_probes_only(spark):
     rows = [(2 * i + k, [float(v) for v in side[i]]) for i in range(600) for k, side in enumerate((x, y))]
     got = {r.vec_id: r.n_links for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")).collect()}
     assert [got[2 * i] for i in range(600)] == meet.astype(int).tolist()
+
+
+def test_embeddings_in_double_precision(spark):
+    rows = [
+        (1, [1e200, 0.0]), (2, [1e200, 1e190]), (3, [0.0, 5e-324, 0.0]), (4, [0.0, 1e-300, 1e-310]), (5, [1e308, 1e308, 1e308, 1e308]), (6, [1e-30] * 4),
+        (7, [1.0, 0.0, 0.0, 0.0, 0.0]), (8, [0.9, 0.43588989434, 0.0, 0.0, 0.0]),
+    ]
+    assert rows[7][1][0] / np.linalg.norm(rows[7][1]) >= 0.9 > float(np.float64(np.float32(0.9)) / np.linalg.norm(np.array(rows[7][1], "f4").astype("f8")))
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(frame).collect()}
+    assert got == {i: (1, (i - 1) // 2 * 2 + 1) for i in range(1, 9)}

@@ -77,6 +77,8 @@ def codes(x: np.ndarray, tables: int = TABLES, rotations: int = ROTATIONS, probe
 
 def _matrix(vectors: pd.Series) -> np.ndarray:
     x = np.stack([np.asarray(v, np.float64) for v in vectors])
+    # Scaled by a power of two, which is exact, so that no square overflows and no row vanishes.
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -195,7 +197,10 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     length are not compared. Equal vectors link with each other. Repeated rows count as vectors of their own. A row
     without id takes part, but only an id can name a component; it is kept where its component has none.
     """
-    rows = settle(vectors.select(F.col(vec_id).cast("bigint").alias("vec_id"), F.col(embedding).cast("array<float>").alias("embedding")), "vectors")
+    # Single precision stays as it is, which is exact and half as large; all else is read as double.
+    single = vectors.select(embedding).schema[0].dataType.simpleString() == "array<float>"
+    kind = "array<float>" if single else "array<double>"
+    rows = settle(vectors.select(F.col(vec_id).cast("bigint").alias("vec_id"), F.col(embedding).cast(kind).alias("embedding")), "vectors")
     finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
     usable = F.coalesce(finite & F.exists("embedding", lambda v: v != 0), F.lit(False))
     classes = rows.where(usable).groupBy("embedding").agg(F.min("vec_id").alias("least_id"), F.count("*").alias("times"))
