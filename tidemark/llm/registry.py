@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, embeddings, exact_dedup, language, packing, pii, quality, simhash, toxicity, url_rules
+from tidemark.llm import bpe, divergence, embeddings, exact_dedup, language, packing, pii, quality, simhash, toxicity, url_rules
 from tidemark.llm.common import table
 
 PACKING_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -61,6 +61,10 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, language.fit(docs))
 
 
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -71,7 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     fn.__name__: fn
     for fn in (
         op1_quality, op2_packing, op3_toxicity, op4_exact_dedup, op5_bpe, op6_url_filter, op7_embeddings, op8_pii, op9_simhash,
-        op10_language, pipeline,
+        op10_language, op12_divergence, pipeline,
     )
 }
 
@@ -104,4 +108,44 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/')
 FROM judged
 """
 
-ORACLES: dict[str, str] = {"op4_exact_dedup": _OP4, "op6_url_filter": _OP6}
+_OP12 = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+  FROM documents
+), terms AS (
+  SELECT id, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs
+), kept AS (
+  SELECT lang, term FROM terms GROUP BY lang, term HAVING count(DISTINCT id) >= 3
+), sources AS (
+  SELECT DISTINCT lang, source FROM docs
+), counted AS (
+  SELECT lang, source, term, count(*) AS n FROM terms SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term
+), every AS (
+  SELECT s.lang, s.source, k.term, CAST(coalesce(c.n, 0) AS HUGEINT) AS n
+  FROM sources s JOIN kept k USING (lang) LEFT JOIN counted c USING (lang, source, term)
+), of_source AS (
+  SELECT lang, source, term, n, 1 + 1000000000 * (n + 1) // (sum(n) OVER same + count(*) OVER same) AS p
+  FROM every WINDOW same AS (PARTITION BY lang, source)
+), summed AS (
+  SELECT lang, term, CAST(sum(n) AS HUGEINT) AS n FROM every GROUP BY lang, term
+), of_lang AS (
+  SELECT lang, term, 1 + 1000000000 * (n + 1) // (sum(n) OVER same + count(*) OVER same) AS q
+  FROM summed WINDOW same AS (PARTITION BY lang)
+), pair_values AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM of_source a JOIN of_source b USING (lang, term) WHERE a.source <> b.source GROUP BY a.lang, a.source, b.source
+), found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(v.value, 0) AS BIGINT) AS value
+  FROM sources a JOIN sources b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pair_values v ON v.lang = a.lang AND v.source = a.source AND v.item = b.source
+  UNION ALL
+  SELECT s.lang, s.source, 'term', s.term, CAST((s.p - l.q) * (s.p - l.q) // l.q AS BIGINT)
+  FROM of_source s JOIN of_lang l USING (lang, term) WHERE s.n > 0 AND s.p > l.q
+), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM found
+)
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
+ORACLES: dict[str, str] = {"op12_divergence": _OP12, "op4_exact_dedup": _OP4, "op6_url_filter": _OP6}
