@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, divergence, embeddings, exact_dedup, language, packing, pii, quality, simhash, toxicity, url_rules
+from tidemark.llm import bpe, conversation, divergence, embeddings, exact_dedup, language, packing, pii, quality, simhash, toxicity, url_rules
 from tidemark.llm.common import table
 
 PACKING_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -65,6 +65,10 @@ def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
+def op13_conversation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation.repair(conversation.damaged(table(spark, sf_dir, "conversations")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -75,7 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     fn.__name__: fn
     for fn in (
         op1_quality, op2_packing, op3_toxicity, op4_exact_dedup, op5_bpe, op6_url_filter, op7_embeddings, op8_pii, op9_simhash,
-        op10_language, op12_divergence, pipeline,
+        op10_language, op12_divergence, op13_conversation, pipeline,
     )
 }
 
