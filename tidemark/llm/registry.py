@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, conversation, divergence, embeddings, exact_dedup, language, packing, pii, quality, simhash, toxicity, url_rules
+from tidemark.llm import bpe, conversation, divergence, embeddings, exact_dedup, language, packing, pii, quality, retrieval, simhash, toxicity, url_rules
 from tidemark.llm.common import table
 
 PACKING_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -61,6 +61,10 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, language.fit(docs))
 
 
+def op11_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.packed(table(spark, sf_dir, "documents"), WORD_TOKENIZER)
+
+
 def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
@@ -79,7 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     fn.__name__: fn
     for fn in (
         op1_quality, op2_packing, op3_toxicity, op4_exact_dedup, op5_bpe, op6_url_filter, op7_embeddings, op8_pii, op9_simhash,
-        op10_language, op12_divergence, op13_conversation, pipeline,
+        op10_language, op11_retrieval_packing, op12_divergence, op13_conversation, pipeline,
     )
 }
 
