@@ -14,12 +14,14 @@ import hashlib
 import json
 import mmap
 import re
+import string
 import struct
 import tempfile
 import unicodedata
 from collections import Counter
-from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from collections.abc import Iterable, Iterator, Mapping, Sequence
+from functools import cached_property, lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -30,9 +32,15 @@ from tidemark.llm.common import text_of
 
 # Bound of the lexicon: the most frequent words of the corpus.
 LEXICON = 100_000
-# Words a worker remembers with their ids before it starts anew.
-REMEMBERED = 150_000
+# Words outside the lexicon that a worker remembers with their ids before it forgets them.
+REMEMBERED = 300_000
+# Distinct words a task counts before it passes them on.
+_COUNTED = 1_000_000
 _LONGEST = 48
+# Matrix widths for merging, in bytes, and the rows of one matrix.
+_WIDTHS = (4, 8, 12, 16, 24, 48)
+_ROWS = 1 << 14
+_MARKS = string.punctuation
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 _BLANKS = regex.compile(r"\p{White_Space}+")
 
@@ -77,36 +85,167 @@ class Vocabulary:
         # str.split also cuts at four control characters that are not blanks.
         return [w for w in _BLANKS.split(text) if w] if _SEPARATORS.search(text) else text.split()
 
+    def parts_of(self, word: str) -> list[str]:
+        """The parts of a word that merge on their own; a special token is one part."""
+        if word.isalpha() or word in self.special:
+            return [word]
+        core = word.rstrip(_MARKS)  # letters with marks behind them, the usual case, are two parts
+        return [core, word[len(core) :]] if core.isalpha() else self.parts.findall(word)
+
+    @cached_property
+    def merger(self) -> Merger:
+        return Merger(self)
+
+    def merge_parts(self, parts: Iterable[str]) -> dict[str, bytes]:
+        """Ids of distinct parts, all merged together, as little-endian 32-bit numbers."""
+        parts = list(parts)
+        special = {p: struct.pack("<I", self.special[p]) for p in parts if p in self.special}
+        return self.merger.merge([p for p in parts if p not in special]) | special
+
     def merge(self, word: str) -> tuple[int, ...]:
-        """Ids of one word: its parts, each merged pair by pair in order of rank."""
-        if word in self.special:
-            return (self.special[word],)
-        if word.isalpha():
-            return self._merge_part(word)
-        return tuple([i for part in self.parts.findall(word) for i in self._merge_part(part)])
-
-    def _merge_part(self, part: str) -> tuple[int, ...]:
-        """Merge one part; each step takes the leftmost pair of least rank and ranks its two new neighbours."""
-        rank_of, none = self.ranks.get, 1 << 30
-        symbols = [self.symbols[b] for b in part.encode("utf-8", "surrogatepass")]
-        symbols[-1] += self.suffix
-        ranks = [rank_of(pair, none) for pair in zip(symbols, symbols[1:])]
-        while ranks:
-            least = min(ranks)
-            if least == none:
-                break
-            at = ranks.index(least)
-            symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
-            del ranks[at]
-            if at:
-                ranks[at - 1] = rank_of((symbols[at - 1], symbols[at]), none)
-            if at < len(ranks):
-                ranks[at] = rank_of((symbols[at], symbols[at + 1]), none)
-        return tuple([self.ids[s] for s in symbols])
+        """Ids of one word."""
+        parts = self.parts_of(word)
+        ids = self.merge_parts(set(parts))
+        return tuple(memoryview(b"".join([ids[p] for p in parts])).cast("I"))
 
     def decode(self, ids: Iterable[int]) -> str:
         """Names of the ids joined by spaces, which is what a tokenizer file without decoder asks for."""
-        return " ".join([self.names[i] for i in ids])
+        return " ".join(map(self.names.__getitem__, ids))
+
+
+class Merger:
+    """Exact merging of many parts at once on arrays of symbol ids.
+
+    The merges are an open-addressing table from a pair of ids to its rank. Parts of similar length form a matrix; every
+    step merges, in each row, the leftmost pair of least rank and looks up its two new neighbours. Parts longer than
+    the widest matrix take the same steps one by one through a heap.
+    """
+
+    _BITS = 19
+
+    def __init__(self, vocabulary: Vocabulary):
+        ids, suffix, symbols = vocabulary.ids, vocabulary.suffix, vocabulary.symbols
+        self.inner = np.array([ids[c] for c in symbols], np.int64)
+        self.last = np.array([ids[c + suffix] for c in symbols], np.int64)
+        pairs = sorted(vocabulary.ranks, key=vocabulary.ranks.get)
+        self.none = len(pairs)
+        self.merged = np.array([ids[a + b] for a, b in pairs] + [-1], np.int64)
+        wanted = np.array([ids[a] << 20 | ids[b] for a, b in pairs], np.int64)
+        self.keys = np.full(1 << self._BITS, -1, np.int64)
+        self.ranks = np.full(1 << self._BITS, self.none, np.int64)
+        at, todo = self._slot(wanted), np.arange(len(pairs))
+        while len(todo):  # the first of those that want a free slot gets it, the others go one further
+            free = self.keys[at[todo]] < 0
+            slots, first = np.unique(at[todo[free]], return_index=True)
+            placed = todo[free][first]
+            self.keys[slots], self.ranks[slots] = wanted[placed], placed
+            todo = np.setdiff1d(todo, placed, assume_unique=True)
+            at[todo] = (at[todo] + 1) & ((1 << self._BITS) - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self._BITS)).astype(np.int64)
+
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each pair of ids, ``none`` where it does not merge or an id is negative."""
+        keys = left << 20 | right
+        at = self._slot(keys)
+        out = np.full(keys.shape, self.none, np.int64)
+        found = self.keys[at]
+        hit = found == keys
+        out[hit] = self.ranks[at[hit]]
+        todo = np.flatnonzero(~hit & (found >= 0) & (left >= 0) & (right >= 0))
+        while len(todo):
+            at[todo] = (at[todo] + 1) & ((1 << self._BITS) - 1)
+            found = self.keys[at[todo]]
+            hit = found == keys[todo]
+            out[todo[hit]] = self.ranks[at[todo[hit]]]
+            todo = todo[~hit & (found >= 0)]
+        return out
+
+    def merge(self, parts: list[str]) -> dict[str, bytes]:
+        coded = [p.encode("utf-8", "surrogatepass") for p in parts]
+        lengths = np.fromiter(map(len, coded), np.int64, len(coded))
+        out: dict[str, bytes] = {}
+        low = 0
+        for high in _WIDTHS:
+            rows = np.flatnonzero((lengths > low) & (lengths <= high))
+            for some in np.array_split(rows, len(rows) // _ROWS + 1):
+                if len(some):
+                    listed = some.tolist()
+                    out |= zip([parts[r] for r in listed], self._matrix([coded[r] for r in listed], lengths[some], high))
+            low = high
+        for r in np.flatnonzero(lengths > low).tolist():
+            out[parts[r]] = self._one(coded[r])
+        return out
+
+    def _matrix(self, coded: list[bytes], lengths: np.ndarray, width: int) -> list[bytes]:
+        raw = np.frombuffer(b"".join([c.ljust(width, b"\0") for c in coded]), np.uint8).reshape(-1, width)
+        symbols = np.where(np.arange(width) < lengths[:, None], self.inner[raw], -1)
+        ends = np.arange(len(coded)), lengths - 1
+        symbols[ends] = self.last[raw[ends]]
+        ranks = np.full(symbols.shape, self.none, np.int64)
+        ranks[:, :-1] = self.rank(symbols[:, :-1].ravel(), symbols[:, 1:].ravel()).reshape(-1, width - 1)
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        rows, column = np.arange(len(coded)), np.arange(width)
+        while len(rows):
+            at = ranks.argmin(axis=1)
+            least = ranks[np.arange(len(rows)), at]
+            going = least < self.none
+            done.append((rows[~going], symbols[~going]))
+            rows, symbols, ranks, at, least = (a[going] for a in (rows, symbols, ranks, at, least))
+            if not len(rows):
+                break
+            # Everything behind the merged pair moves one place to the left.
+            every = np.arange(len(rows))
+            symbols[every, at] = self.merged[least]
+            ahead = np.minimum(column + (column > at[:, None]), width - 1)
+            symbols = np.take_along_axis(symbols, ahead, 1)
+            symbols[:, -1] = -1
+            ranks = np.take_along_axis(ranks, np.minimum(column + (column >= at[:, None]), width - 1), 1)
+            ranks[:, -1] = self.none
+            before = np.maximum(at - 1, 0)
+            fresh = self.rank(symbols[every, before], symbols[every, at])
+            ranks[every[at > 0], before[at > 0]] = fresh[at > 0]
+            ranks[every, at] = self.rank(symbols[every, at], symbols[every, np.minimum(at + 1, width - 1)])
+        order = np.concatenate([some for some, _ in done])
+        final = np.concatenate([ids for _, ids in done])[np.argsort(order)]
+        ends = (4 * (final >= 0).sum(axis=1) + 4 * width * np.arange(len(coded))).tolist()
+        block = final.astype("<u4").tobytes()
+        return [block[4 * width * i : end] for i, end in enumerate(ends)]
+
+    def _one(self, part: bytes) -> bytes:
+        symbols = self.inner[np.frombuffer(part, np.uint8)].tolist()
+        symbols[-1] = int(self.last[part[-1]])
+        size, array = len(symbols), np.array(symbols, np.int64)
+        after, before = list(range(1, size + 1)), list(range(-1, size - 1))
+        heap = [(r, i) for i, r in enumerate(self.rank(array[:-1], array[1:]).tolist()) if r < self.none]
+        heapify(heap)
+
+        def offer(i: int) -> None:
+            if i >= 0 and after[i] < size:
+                r = self._known(symbols[i], symbols[after[i]])
+                if r < self.none:
+                    heappush(heap, (r, i))
+
+        while heap:
+            r, i = heappop(heap)
+            j = after[i]
+            if symbols[i] < 0 or j >= size or self._known(symbols[i], symbols[j]) != r:
+                continue
+            symbols[i], symbols[j], after[i] = int(self.merged[r]), -1, after[j]
+            if after[i] < size:
+                before[after[i]] = i
+            offer(before[i])
+            offer(i)
+        return np.array([s for s in symbols if s >= 0], "<u4").tobytes()
+
+    @cached_property
+    def _table(self) -> dict[int, int]:
+        used = self.keys >= 0
+        return dict(zip(self.keys[used].tolist(), self.ranks[used].tolist()))
+
+    def _known(self, left: int, right: int) -> int:
+        return self._table.get(left << 20 | right, self.none)
 
 
 @lru_cache(maxsize=2)
@@ -114,7 +253,7 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def compile_lexicon(entries: dict[str, tuple[int, ...]]) -> bytes:
+def compile_lexicon(entries: Mapping[str, Sequence[int]]) -> bytes:
     """The automaton of ``entries`` as one block: five lengths, then the arrays.
 
     States are merged as soon as no later word can reach below them: a state with the same finality and edges as an
@@ -229,47 +368,92 @@ class Lexicon:
     def output(self, number: int) -> tuple[int, ...]:
         return tuple(self.ids[self.starts[number] : self.starts[number + 1]].tolist())
 
+    def outputs(self, numbers: np.ndarray) -> list[bytes]:
+        """Ids of the words with these numbers, as little-endian 32-bit numbers."""
+        block = self._block
+        return [block[4 * a : 4 * b] for a, b in zip(self.starts[numbers].tolist(), self.starts[numbers + 1].tolist())]
+
+    @cached_property
+    def _block(self) -> bytes:
+        return self.ids.astype("<u4").tobytes()
+
 
 class Codec:
-    """Encodes and decodes texts with a lexicon in front of exact merging."""
+    """Encodes and decodes texts with a lexicon in front of exact merging.
+
+    A worker keeps what it has learnt of the lexicon's words for good; of all other words and parts it forgets
+    everything once there are ``REMEMBERED`` of them.
+    """
 
     def __init__(self, path: str, block: bytes):
         self.vocabulary, self.lexicon = vocabulary(path), Lexicon(block)
         self.coded: dict[str, bytes] = {}
+        self.frequent: dict[str, bytes] = {}
         self.named: dict[str, str] = {}
 
-    def _learn(self, words: list[str]) -> None:
-        for word, number in zip(words, self.lexicon.find(words).tolist()):
-            ids = self.lexicon.output(number) if number >= 0 else self.vocabulary.merge(word)
-            self.coded[word] = struct.pack(f"<{len(ids)}I", *ids)
-            self.named[word] = self.vocabulary.decode(ids)
+    def _find(self, words: list[str]) -> list[str]:
+        """Take over the ids of those words the lexicon has; the others are returned."""
+        numbers = self.lexicon.find(words)
+        found = np.flatnonzero(numbers >= 0)
+        known = dict(zip([words[i] for i in found.tolist()], self.lexicon.outputs(numbers[found])))
+        self.frequent |= known
+        self.coded |= known
+        return [words[i] for i in np.flatnonzero(numbers < 0).tolist()]
+
+    def learn(self, words: Iterable[str]) -> None:
+        """Make ``coded`` hold all of ``words``."""
+        if len(self.coded) - len(self.frequent) > REMEMBERED:
+            self.coded, self.named = dict(self.frequent), {}
+        coded = self.coded
+        split = {w: self.vocabulary.parts_of(w) for w in self._find([w for w in words if w not in coded])}
+        fresh = self._find(list({p for w, parts in split.items() for p in parts if p not in coded}))
+        coded |= self.vocabulary.merge_parts(fresh)
+        coded |= {w: b"".join([coded[p] for p in parts]) for w, parts in split.items()}
+
+    def encode(self, texts: list[str]) -> tuple[list[list[str]], list[bytes]]:
+        """The words and the ids, as little-endian 32-bit numbers, of each text."""
+        docs = [self.vocabulary.words(t) for t in texts]
+        self.learn(set().union(*docs))
+        coded = self.coded
+        return docs, [b"".join([coded[w] for w in words]) for words in docs]
 
     def __call__(self, texts: list[str]) -> Iterator[tuple[bytes, str]]:
-        """``(ids as little-endian 32-bit, decoded text)`` of each text."""
-        docs = [self.vocabulary.words(t) for t in texts]
-        if len(self.coded) > REMEMBERED:
-            self.coded, self.named = {}, {}
-        self._learn([w for w in set().union(*docs) if w not in self.coded])
-        coded, named = self.coded, self.named
-        for words in docs:
-            yield b"".join([coded[w] for w in words]), " ".join([named[w] for w in words])
+        """``(ids as little-endian 32-bit numbers, decoded text)`` of each text."""
+        docs, blocks = self.encode(texts)
+        coded, named, decode = self.coded, self.named, self.vocabulary.decode
+        named |= {w: decode(memoryview(coded[w]).cast("I")) for w in set().union(*docs) if w not in named}
+        for words, block in zip(docs, blocks):
+            yield block, " ".join([named[w] for w in words])
+
+
+@lru_cache(maxsize=1)
+def codec(path: str, block: bytes) -> Codec:
+    """One codec per worker, kept for all its tasks."""
+    return Codec(path, block)
 
 
 def frequent_words(docs: DataFrame, path: str, most: int = LEXICON) -> list[str]:
-    """The most frequent words over all rows of ``docs``.
+    """The most frequent words over all rows of ``docs``, up to ``_LONGEST`` bytes; of equally frequent ones the lesser.
 
-    Every task counts its batches whole and passes on what occurs more than once in a batch; a word that never does is
-    not frequent. Only ``most`` words reach the driver.
+    Every task counts on until ``_COUNTED`` distinct words are in memory; no count is dropped. Only ``most`` words reach
+    the driver.
     """
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = vocabulary(path).words
+        found: Counter = Counter()
+
+        def counted() -> pd.DataFrame:
+            short = [(w, n) for w, n in found.items() if len(w.encode("utf-8", "surrogatepass")) <= _LONGEST]
+            found.clear()
+            return pd.DataFrame(short, columns=["word", "n"])
+
         for frame in frames:
-            found: Counter = Counter()
             for text in frame["text"]:
                 found.update(words(text))
-            often = [(w, n) for w, n in found.items() if n > 1 and len(w) <= _LONGEST]
-            yield pd.DataFrame(often, columns=["word", "n"])
+                if len(found) > _COUNTED:
+                    yield counted()
+        yield counted()
 
     counted = docs.select(text_of().alias("text")).mapInPandas(count, "word string, n bigint")
     top = counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(most)
@@ -277,8 +461,10 @@ def frequent_words(docs: DataFrame, path: str, most: int = LEXICON) -> list[str]
 
 
 def lexicon_of(docs: DataFrame, path: str, most: int = LEXICON) -> bytes:
-    merge = vocabulary(path).merge
-    return compile_lexicon({w: merge(w) for w in frequent_words(docs, path, most)})
+    known = vocabulary(path)
+    words = {w: known.parts_of(w) for w in frequent_words(docs, path, most)}
+    ids = known.merge_parts({p for parts in words.values() for p in parts})
+    return compile_lexicon({w: memoryview(b"".join([ids[p] for p in parts])).cast("I") for w, parts in words.items()})
 
 
 def encode(docs: DataFrame, path: str, block: bytes, with_ids: bool = False) -> DataFrame:
@@ -290,10 +476,10 @@ def encode(docs: DataFrame, path: str, block: bytes, with_ids: bool = False) ->
     schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (", ids binary, decoded string" if with_ids else "")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codec = Codec(path, shared.value)
+        translate = codec(path, shared.value)
         for frame in frames:
             rows = []
-            for ids, decoded in codec(frame["text"].tolist()):
+            for ids, decoded in translate(frame["text"].tolist()):
                 text = decoded.encode("utf-8", "surrogatepass")
                 digests = hashlib.sha256(ids).hexdigest(), hashlib.sha256(text).hexdigest()
                 rows.append((len(ids) // 4, *digests, *((ids, decoded) if with_ids else ())))
