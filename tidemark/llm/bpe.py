@@ -28,7 +28,7 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.common import text_of
+from tidemark.llm.common import settle, text_of
 
 # Bound of the lexicon: the most frequent words of the corpus.
 LEXICON = 100_000
@@ -433,10 +433,10 @@ def codec(path: str, block: bytes) -> Codec:
 
 
 def frequent_words(docs: DataFrame, path: str, most: int = LEXICON) -> list[str]:
-    """The most frequent words over all rows of ``docs``, up to ``_LONGEST`` bytes; of equally frequent ones the lesser.
+    """The most frequent words over all rows of ``docs``, up to ``_LONGEST`` bytes each and ``most`` in all.
 
-    Every task counts on until ``_COUNTED`` distinct words are in memory; no count is dropped. Only ``most`` words reach
-    the driver.
+    Every task counts on until ``_COUNTED`` distinct words are in memory; no count is dropped. Words whose counts differ by
+    less than a 64th are taken together or not at all. Only the words taken reach the driver.
     """
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -456,8 +456,16 @@ def frequent_words(docs: DataFrame, path: str, most: int = LEXICON) -> list[str]
         yield counted()
 
     counted = docs.select(text_of().alias("text")).mapInPandas(count, "word string, n bigint")
-    top = counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(most)
-    return [r["word"] for r in top.collect()]
+    words = settle(counted.groupBy("word").agg(F.sum("n").alias("n")), "words")
+    # Counts by their highest power of two and 64 steps in it; whole steps are taken from the top while they fit.
+    power = F.floor(F.log2(F.col("n")))
+    step = (power * 64 + F.floor((F.col("n") / F.pow(F.lit(2.0), power) - 1) * 64)).cast("bigint")
+    steps = sorted((r["step"], r["words"]) for r in words.groupBy(step.alias("step")).agg(F.count("*").alias("words")).collect())
+    least, held = None, 0
+    while steps and held + steps[-1][1] <= most:
+        least, more = steps.pop()
+        held += more
+    return sorted(r["word"] for r in words.where(step >= least).select("word").collect()) if held else []
 
 
 def lexicon_of(docs: DataFrame, path: str, most: int = LEXICON) -> bytes:
