@@ -20,7 +20,7 @@ def duck():
 def test_registry_is_consistent():
     assert set(ORACLES) <= set(QUERIES)
     without = set(QUERIES) - set(ORACLES)
-    assert without == {"garch_fit", "garch_view", "garch_walk_forward_fitted", "validation_report_json", "stream_confirm"}
+    assert without == {"garch_fit", "garch_view", "garch_walk_forward_fitted", "validation_report_json"}
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import BooleanType, IntegerType, StructField, StructType
@@ -22,25 +23,26 @@ from tidemark.operators import ledger as L
 _STATE = ("confirmation_state", "is_orphaned")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+def _read(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The table at ``path``; empty where nothing is written yet."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
 
 
 def _open_rows(spark: SparkSession, folder: str, batch_id: int, schema: StructType) -> DataFrame:
-    path = f"{folder}/rows/batch={batch_id}/done=false"
-    return spark.read.schema(schema).parquet(path) if _exists(spark, path) else spark.createDataFrame([], schema)
+    return _read(spark, f"{folder}/rows/batch={batch_id}/done=false", schema)
 
 
 def _closed_rows(spark: SparkSession, folder: str, upto: int, schema: StructType, only: DataFrame | None = None) -> DataFrame:
     """The latest version of the rows closed in batches 0..upto, optionally only of the identities in ``only``."""
-    path = f"{folder}/rows"
-    if not _exists(spark, path):
-        return spark.createDataFrame([], schema)
     names = [f.name for f in schema.fields]
     rest = [n for n in names if n not in L.IDENTITY]
     versioned = StructType([*schema.fields, StructField("batch", IntegerType()), StructField("done", BooleanType())])
-    versions = spark.read.schema(versioned).parquet(path).where((F.col("batch") <= upto) & F.col("done"))
+    versions = _read(spark, f"{folder}/rows", versioned).where((F.col("batch") <= upto) & F.col("done"))
     if only is not None:
         versions = versions.join(only, list(L.IDENTITY), "left_semi")
     last = versions.groupBy(*L.IDENTITY).agg(F.max_by(F.struct(*rest), "batch").alias("_r"))
@@ -94,9 +96,7 @@ def ledger_view(spark: SparkSession, folder: str, batch_id: int, schema: StructT
 
 def last_batch(spark: SparkSession, folder: str) -> int:
     """The id of the newest version written."""
-    rows = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/rows")
-    listed = rows.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(rows)
-    return max(int(status.getPath().getName().partition("=")[2]) for status in listed)
+    return spark.read.parquet(f"{folder}/rows").agg(F.max("batch")).first()[0]
 
 
 def intake_stream(
