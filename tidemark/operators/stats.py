@@ -7,7 +7,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from tidemark.functions.joins import spread_lookup
+from tidemark.functions.selection import quantiles
 from tidemark.functions.tails import CHI2_1_AT_5PCT, chi2_sf_1, chi2_sf_2, chi2_sf_even, normal_pdf, normal_quantile
+from tidemark.sources.stored import stored
 
 PERCENTILES = (1, 5, 25, 50, 75, 95, 99)
 
@@ -21,51 +24,45 @@ def value_at_risk(df: DataFrame, keys: Sequence[str], x: str, confidences: Seque
     """max(-quantile(x, 1-c), 0) with linear interpolation, one row per group and confidence."""
     for c in confidences:
         _check_confidence(c)
-    levels = F.array(*[F.lit(1 - c) for c in confidences])
-    quantiles = df.groupBy(*keys).agg(F.percentile(x, levels).alias("_q"))
+    _, found = quantiles(df, keys, x, {f"_q{i}": 1 - c for i, c in enumerate(confidences)})
     named = F.array(*[
-        F.struct(F.lit(c).alias("confidence"), F.greatest(-F.get("_q", F.lit(i)), F.lit(0.0)).alias("value_at_risk"))
+        F.struct(F.lit(c).alias("confidence"), F.greatest(-F.col(f"_q{i}"), F.lit(0.0)).alias("value_at_risk"))
         for i, c in enumerate(confidences)
     ])
-    return quantiles.select(*keys, F.inline(named))
+    return found.select(*keys, F.inline(named))
 
 
 def tail_measures(
     df: DataFrame, keys: Sequence[str], x: str, confidences: Sequence[float], carry: Sequence[str] = ()
 ) -> DataFrame:
-    """VaR, ES and the percentile vector of ``x`` per group, in one shuffle and one pass over the input.
+    """VaR, ES and the percentile vector of ``x`` per group.
 
-    A group is a scenario set: at most the configured scenario count or, for historical windows, the calendar. Its
-    values are collected into one sorted array, from which every order statistic and tail mean is read, so an
-    expensive input (a simulation) is computed once and nothing is joined back. ``carry`` columns are constant within
-    a group.
+    The values are written once, so an expensive input (a simulation) is computed once. Order statistics are selected by
+    bucket counts and tail means are conditional sums; no task holds a group. ``carry`` columns are constant within a
+    group. A group without values has null measures.
     """
     for c in confidences:
         _check_confidence(c)
+    keys = list(keys)
     levels = {f"_q{i}": 1 - c for i, c in enumerate(confidences)} | {f"p{p}": p / 100 for p in PERCENTILES}
-    sets = df.groupBy(*keys).agg(F.array_sort(F.collect_list(x)).alias("_xs"), *[F.first(c).alias(c) for c in carry])
-    sized = sets.withColumn("n_scenarios", F.size("_xs").cast("bigint"))
-
-    def quantile(p: float) -> Column:
-        position = (F.col("n_scenarios") - 1) * F.lit(p)
-        low = F.get("_xs", F.floor(position).cast("int"))
-        return low + (F.get("_xs", F.ceil(position).cast("int")) - low) * (position - F.floor(position))
-
-    measured = sized.select("*", *[quantile(p).alias(name) for name, p in levels.items()])
-
-    def tail_mean(i: int) -> Column:
-        tail = F.filter("_xs", lambda v: v <= F.col(f"_q{i}"))
-        return F.aggregate(tail, F.lit(0.0), lambda total, v: total + v) / F.nullif(F.size(tail), F.lit(0))
-
+    values, measured = quantiles(df, keys, x, levels, carry)
+    measured = stored(measured, "quantiles")
+    bounds = [f"_q{i}" for i in range(len(confidences))]
+    beside = spread_lookup(values, measured.select(*keys, *bounds), keys, "_x", how="inner")
+    tails = beside.groupBy(*keys).agg(*[
+        (F.sum(F.when(F.col("_x") <= F.col(q), F.col("_x"))) / F.nullif(F.count(F.when(F.col("_x") <= F.col(q), 1)), F.lit(0))).alias(f"{q}_mean")
+        for q in bounds
+    ])
     per_confidence = F.array(*[
         F.struct(
             F.lit(c).alias("confidence"),
-            F.greatest(-F.col(f"_q{i}"), F.lit(0.0)).alias("value_at_risk"),
-            F.greatest(-F.coalesce(tail_mean(i), F.col(f"_q{i}")), F.lit(0.0)).alias("expected_shortfall"),
+            F.greatest(-F.col(q), F.lit(0.0)).alias("value_at_risk"),
+            F.greatest(-F.coalesce(f"{q}_mean", q), F.lit(0.0)).alias("expected_shortfall"),
         )
-        for i, c in enumerate(confidences)
+        for c, q in zip(confidences, bounds)
     ])
-    return measured.select(*keys, "n_scenarios", *carry, *[f"p{p}" for p in PERCENTILES], F.inline(per_confidence))
+    joined = measured.join(tails, keys, "left")
+    return joined.select(*keys, "n_scenarios", *carry, *[f"p{p}" for p in PERCENTILES], F.inline(per_confidence))
 
 
 def expected_shortfall(df: DataFrame, keys: Sequence[str], x: str, confidences: Sequence[float]) -> DataFrame:
@@ -74,12 +71,9 @@ def expected_shortfall(df: DataFrame, keys: Sequence[str], x: str, confidences:
 
 
 def return_percentiles(df: DataFrame, keys: Sequence[str], x: str, percentiles: Sequence[int] = PERCENTILES) -> DataFrame:
-    levels = F.array(*[F.lit(p / 100) for p in percentiles])
-    named = F.arrays_zip(F.array(*[F.lit(p) for p in percentiles]).alias("percentile"), F.col("_q").alias("value"))
-    return (
-        df.groupBy(*keys).agg(F.percentile(x, levels).alias("_q"))
-        .select(*keys, F.inline(named)).toDF(*keys, "percentile", "value")
-    )
+    _, found = quantiles(df, keys, x, {f"_p{p}": p / 100 for p in percentiles})
+    named = F.array(*[F.struct(F.lit(p).alias("percentile"), F.col(f"_p{p}").alias("value")) for p in percentiles])
+    return found.select(*keys, F.inline(named))
 
 
 def rmse(proxy: Column, forecast: Column) -> Column:
