@@ -250,3 +250,35 @@ def test_embeddings_in_double_precision(spark):
     frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
     got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(frame).collect()}
     assert got == {i: (1, (i - 1) // 2 * 2 + 1) for i in range(1, 9)}
+
+
+def test_kept_rows_with_clashing_columns_and_repeated_ids(spark, docs):
+    """Extra columns named like the ones used inside; one id with two texts; a list too long to broadcast."""
+    from tidemark.llm import common
+
+    plain = docs("a b c d", "a b c d", "other words here now", "a b c d", None, "", ids=[1, 2, 1, 2, 5, 5])
+    clash = plain
+    for name in ("_id", "_sha", "_listed_id", "_listed_digest", "kept", "fp", "component", "n", "_nth"):
+        clash = clash.withColumn(name, plain["doc_id"])
+    for limit in (common.LISTED_ROWS, 0):
+        before, common.LISTED_ROWS = common.LISTED_ROWS, limit
+        try:
+            exact, near = exact_dedup.keep_first(clash), simhash.keep_one(clash)
+            assert exact.columns == near.columns == clash.columns
+            kept = sorted((r.doc_id, r.text or "") for r in exact.collect())
+            assert kept == [(1, "other words here now"), (2, "a b c d"), (5, "")]
+            kept = sorted((r.doc_id, r.text or "") for r in near.collect())
+            assert kept == [(1, "a b c d"), (1, "other words here now"), (5, "")]
+        finally:
+            common.LISTED_ROWS = before
+
+
+def test_one_row_of_a_group_stays_though_its_id_repeats(docs):
+    text = "one two three four five six seven eight nine ten " * 20
+    near = docs(text, text + "eleven", ids=[3, 3])
+    prints = {r.fp for r in simhash.fingerprints(near).collect()}
+    ids = {r.component_id for r in simhash.near_duplicates(near).collect()}
+    assert ids == {3} and len(prints) <= 2
+    bits = [p & (1 << 64) - 1 for p in prints]
+    linked = len(bits) == 1 or (bits[0] ^ bits[1]).bit_count() <= 2
+    assert simhash.keep_one(near).count() == (1 if linked else 2)

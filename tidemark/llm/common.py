@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tidemark.session import configure
 from tidemark.sources.stored import stored
@@ -11,6 +11,8 @@ from tidemark.sources.stored import stored
 HOT_SHARES = 256
 # Rows a Python worker holds at once; whole texts may be long, so batches are short.
 BATCH_ROWS = 512
+# Entries of a list of rows that may be broadcast: an id and a digest each, so some 100 MB at most.
+LISTED_ROWS = 1_000_000
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -74,5 +76,44 @@ def learning_rows(docs: DataFrame, labels: DataFrame, column: str, per_class: in
     few = [known.where(F.col("label") == c).orderBy(*order).limit(per_class) for c in (0, 1)]
     picked = settle(few[0].unionByName(few[1]), "picked")
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text"), *more)
-    rows = texts.join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"])
+    # Of rows with one id, the text of the least digest.
+    first = Window.partitionBy("doc_id").orderBy(F.sha2("text", 256), *more)
+    rows = texts.join(F.broadcast(picked), "doc_id").withColumn("_nth", F.row_number().over(first)).where("_nth = 1").drop("_nth")
     return rows, (seen.get(0, 0), seen.get(1, 0))
+
+
+def digest_of(text: str = "text") -> Column:
+    """SHA-256 of the whole text in UTF-8, null as empty."""
+    return F.unhex(F.sha2(text_of(text), 256))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name`` with as many underscores in front as make it no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
+def keep_marked(docs: DataFrame, marked: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``marked`` (doc_id, digest, kept; one row per row of ``docs``) keeps, with all columns.
+
+    Only ids and digests are shuffled, not texts: what goes, and what is there twice, is listed, and the list is sent to
+    the rows while it has at most ``LISTED_ROWS`` entries; a longer one is joined by a shuffle. Of rows that repeat id and
+    text one stays.
+    """
+    per_text = marked.groupBy("doc_id", "digest").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
+    listed = settle(per_text.where("not kept or n > 1").select("doc_id", "digest", "kept"), "listed")
+    few = listed.count() <= LISTED_ROWS
+    names = [free_name(docs, n) for n in ("_listed_id", "_listed_digest")]
+
+    def match(entries: DataFrame, how: str) -> DataFrame:
+        entries = entries.select(*[F.col(c).alias(n) for c, n in zip(("doc_id", "digest"), names)])
+        same = F.col("doc_id").cast("bigint").eqNullSafe(F.col(names[0])) & (digest_of() == F.col(names[1]))
+        return docs.join(F.broadcast(entries) if few else entries, same, how)
+
+    rest = match(listed, "left_anti")
+    if listed.where("kept").isEmpty():
+        return rest
+    twice = match(listed.where("kept"), "left_semi").withColumn(names[1], text_of())
+    return rest.unionByName(twice.dropDuplicates(["doc_id", names[1]]).drop(names[1]))

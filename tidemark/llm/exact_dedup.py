@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.common import attach, settle, text_of
+from tidemark.llm.common import attach, digest_of, keep_marked, settle
 
 SHARD_DIGESTS = 16_384
 _INDEX = "shard int, n bigint, pilots binary, digests binary, winners binary, sizes binary"
@@ -24,8 +24,8 @@ _FOUND = "digest binary, winner bigint, size bigint, member boolean"
 
 
 def digest_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc_id, digest, bytes)`` per row: SHA-256 of the whole text in UTF-8, null text as empty."""
-    return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.unhex(F.sha2(text_of(text), 256)).alias("digest"))
+    """``(doc_id, digest)`` per row: SHA-256 of the whole text in UTF-8, null text as empty."""
+    return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), digest_of(text).alias("digest"))
 
 
 def distinct_digests(digests: DataFrame) -> DataFrame:
@@ -149,11 +149,11 @@ def groups(history: DataFrame, fresh: DataFrame) -> DataFrame:
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, first_copy.
+    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
-    The ids up to the middle of the id range act as history, the rest as newly arrived. Of equal texts the row with the
-    largest id stays. Null text equals empty text. Rows that repeat id and text are all marked kept (they cannot be told
-    apart) and carry ``id_rows``, their number. A null id is kept only where no row of the group has an id. An empty
+    The ids up to the middle of the id range act as history, the rest as newly arrived. Arrivals with one digest are
+    collapsed before the look-up, so nonmembers come grouped out of it. Of equal texts the row with the largest id stays.
+    Null text equals empty text. Rows that repeat id and text are all marked kept, as they cannot be told apart. A null id is kept only where no row of the group has an id. An empty
     table gives an empty result.
     """
     rows = settle(digest_table(docs, doc_id, text), "digests")
@@ -170,9 +170,4 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that ``dedup`` keeps, with all their columns; of rows repeating id and text, one."""
-    marked = dedup(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    marked = settle(marked.groupBy("_id", "_sha").agg(F.count("*").alias("_copies")), "kept")
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.sha2(text_of(), 256) == F.col("_sha"))
-    once = docs.join(marked.where("_copies = 1"), same, "left_semi")
-    many = docs.join(marked.where("_copies > 1"), same, "left_semi").dropDuplicates(["doc_id", "text"])
-    return once.unionByName(many)
+    return keep_marked(docs, dedup(docs).select("doc_id", F.unhex("text_sha256").alias("digest"), "kept"))

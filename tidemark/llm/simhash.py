@@ -22,7 +22,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.common import attach, settle, text_of
+from tidemark.llm.common import attach, digest_of, keep_marked, settle, text_of
 from tidemark.llm.components import components
 
 BITS = 64
@@ -63,14 +63,15 @@ def fingerprint(text: str, size: int = SHINGLE, seed: int = SEED) -> int:
 def _fingerprints(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         prints = np.fromiter((fingerprint(t) for t in frame["text"]), "<u8", len(frame))
-        yield pd.DataFrame({"doc_id": frame["doc_id"], "fp": prints.view("<i8")})
+        yield frame.drop(columns="text").assign(fp=prints.view("<i8"))
 
 
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc_id, fp)`` per row, the fingerprint as a signed long; null text reads as empty."""
-    return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), text_of(text).alias("text")).mapInPandas(
-        _fingerprints, "doc_id bigint, fp bigint"
+def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", with_digest: bool = False) -> DataFrame:
+    """``(doc_id, fp)`` per row, the fingerprint as a signed long; null text reads as empty. ``digest`` where asked for."""
+    rows = docs.select(
+        F.col(doc_id).cast("bigint").alias("doc_id"), *([digest_of(text).alias("digest")] if with_digest else []), text_of(text).alias("text")
     )
+    return rows.mapInPandas(_fingerprints, "doc_id bigint, " + ("digest binary, " if with_digest else "") + "fp bigint")
 
 
 def bucket_links(prints: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
@@ -125,6 +126,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     the group has an id. An empty table gives an empty result.
     """
     rows = settle(fingerprints(docs, doc_id, text), "fingerprints")
+    named = _with_groups(rows)
+    return named.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _with_groups(rows: DataFrame) -> DataFrame:
+    """``rows`` (a written table with doc_id and fp) with ``component``, a fingerprint that names it, and ``component_id``."""
     classes = settle(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "classes")
     # Component of each linked fingerprint, then the least id over all fingerprints of the component.
     member = settle(components(links(classes.select("fp"))), "members")
@@ -133,15 +140,17 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     )
     member = settle(member, "labelled")
     ids = settle(member.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("parts")), "ids")
-    final = attach(member, ids, "component", "parts").select("fp", "n", "component_id")
-    named = attach(rows, settle(final, "final"), "fp", "n")
-    return named.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    final = attach(member, ids, "component", "parts").select("fp", "n", "component", "component_id")
+    return attach(rows, settle(final, "final"), "fp", "n")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The document with the least id of every near-duplicate component, with all columns; a repeated id stays once."""
-    kept = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = settle(kept.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_rows")), "kept")
-    same = F.col("doc_id").eqNullSafe(F.col("_id"))
-    once = docs.join(kept.where("_rows = 1"), same, "left_semi")
-    return once.unionByName(docs.join(kept.where("_rows > 1"), same, "left_semi").dropDuplicates(["doc_id"]))
+    """The document with the least id of every near-duplicate component, with all columns.
+
+    Where several rows of a component have that id, the one whose text has the least digest stays; a repeated row once.
+    """
+    named = settle(_with_groups(settle(fingerprints(docs, with_digest=True), "fingerprints")), "grouped")
+    least = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    first = named.where(least).groupBy("component").agg(F.min("digest").alias("first"))
+    stays = named.where(least).join(first, "component").select("doc_id", "digest", (F.col("digest") == F.col("first")).alias("kept"))
+    return keep_marked(docs, stays.unionByName(named.where(~least).select("doc_id", "digest", F.lit(False).alias("kept"))))
