@@ -339,3 +339,15 @@ def test_rules_in_parts_and_ties(spark):
     for most in (1, 1 << 20):
         assert {r.page_id: (r.rule, r.verdict) for r in url_rules.judge(pages, rules, most=most).collect()} == want
     assert url_rules.judge(pages.limit(0), rules).count() == 0
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.dictionaries(st.integers(1, 64), st.integers(1, 9), max_size=14))
+def test_plan_never_needs_more_sequences_than_best_fit(counts):
+    used = {sequence + i for _, _, _, sequence, _, across in packing.blocks(counts, 64) for i in range(across)}
+    assert used == set(range(len(used)))
+    assert -(-sum(n * c for n, c in counts.items()) // 64) <= len(used) <= best_fit(counts, 64)
+
+
+def test_plan_finds_complements_that_leave_a_little_room():
+    assert max(sequence + across for _, _, _, sequence, _, across in packing.blocks({700: 30, 674: 30, 672: 30, 50: 60})) == 32

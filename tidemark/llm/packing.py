@@ -1,10 +1,14 @@
 """Best-fit packing of token sequences by exact-complement hashing.
 
 Documents become pieces of at most ``CAPACITY`` tokens. Planning sees only how many pieces there are of each length, at
-most ``CAPACITY`` numbers whatever the corpus. Working down from the longest length, the gap it leaves is looked up among
-the available lengths, their pair sums and their triple sums; a combination that fills the gap exactly is consumed as
-often as the availability counts allow. What finds no exact complement goes, longest first, into the open sequence with
-the least room that still fits.
+most ``CAPACITY`` numbers whatever the corpus. The sums of one and of two available lengths are indexed under their value;
+triples are one length and an indexed pair. Working down from the longest length, the gap it leaves is looked up in the
+index; a combination that fills the gap is consumed as often as the availability counts allow. What finds no complement
+goes, longest first, into the open sequence with the least room that still fits.
+
+Several plans are made: with exact complements only or with ones that leave a few tokens open, with all lengths in them or
+with the short ones spared for the last gaps, behind all lengths or behind long ones only; and with best fit alone. The first
+with the fewest sequences is taken, so there are never more of them than best fit needs.
 
 The plan is a list of rank ranges: pieces of one length, ranked, go to consecutive sequences, in each as many as fit. Ranks are
 counted per (length, slice) and shifted by the slices before, so a length that a third of all pieces share is ranked by
@@ -25,8 +29,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tidemark.llm.common import settle, text_of
 
 CAPACITY = 2_048
-# Complements are sought among lengths of at least this share of the capacity; shorter ones serve the last gaps better.
-LEAST_SHARE = 32
+# The plans that compete, by shares of the capacity and tokens: the least length in a complement, the tokens a complement
+# may leave open, the least length whose gap is filled. None is best fit alone, which is taken only where it needs fewer sequences.
+PLANS = ((2048, 0, 2), (2048, 0, 2048), (32, 0, 4), (2048, 8, 2), (2048, 8, 2048), None)
 # Pieces ranked by one task.
 SLICE_ROWS = 1 << 16
 END_ID = 0
@@ -123,14 +128,22 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool
 
 
 class _Stock:
-    """How many pieces of each length are left, and which of them have been handed out."""
+    """How many pieces of each length are left and handed out, and which available lengths add up to a sum."""
 
-    def __init__(self, counts: dict[int, int], capacity: int):
+    def __init__(self, counts: dict[int, int], capacity: int, least: int, slack: int):
         self.left = np.zeros(capacity + 1, np.int64)
         for length, count in counts.items():
             self.left[length] = count
         self.used = np.zeros(capacity + 1, np.int64)
-        self.least = max(1, capacity // LEAST_SHARE)
+        self.slack = slack
+        lengths = np.flatnonzero(self.left)
+        self.single = lengths[lengths >= least]
+        # Pair sums in one array, ordered by sum and then by the larger part from above; ``at`` is where a sum begins.
+        i, j = np.tril_indices(len(self.single))
+        large, sums = self.single[i], self.single[i] + self.single[j]
+        large, sums = large[sums < capacity], sums[sums < capacity]
+        order = np.lexsort((-large, sums))
+        self.large, self.at = large[order], np.searchsorted(sums[order], np.arange(capacity + 2))
 
     def most(self, lengths: tuple[int, ...]) -> int:
         """How often this combination can be taken."""
@@ -144,35 +157,42 @@ class _Stock:
         return first
 
     def complement(self, length: int) -> tuple[int, ...] | None:
-        """Up to three available lengths that fill the gap behind ``length`` exactly; fewest pieces first, then longest."""
+        """Up to three available lengths that fill the gap behind ``length`` but for the slack; the fullest first, then
+        fewest pieces, then longest."""
         gap = len(self.left) - 1 - length
+        if gap <= self.slack:
+            return ()
         self.left[length] -= 1
         try:
-            if gap <= 0:
-                return () if gap == 0 else None
-            if gap >= self.least and self.left[gap]:
-                return (gap,)
-            pair = self._pair(gap, gap)
-            if pair:
-                return pair
-            for first in np.flatnonzero(self.left[: gap - 1])[::-1]:
-                if 3 * first < gap:
-                    break
-                self.left[first] -= 1
-                pair = self._pair(gap - int(first), int(first))
-                self.left[first] += 1
-                if pair:
-                    return (int(first), *pair)
+            for total in range(gap, max(gap - self.slack, 1) - 1, -1):
+                found = self._one(total) or self._pair(total, total) or self._triple(total)
+                if found:
+                    return found
             return None
         finally:
             self.left[length] += 1
 
+    def _one(self, total: int) -> tuple[int] | None:
+        at = np.searchsorted(self.single, total)
+        return (total,) if at < len(self.single) and self.single[at] == total and self.left[total] else None
+
     def _pair(self, total: int, most: int) -> tuple[int, int] | None:
-        """The pair of available lengths with this sum whose larger part is largest, at most ``most``."""
-        low = np.arange(max(self.least, total - most), total // 2 + 1)
-        fits = (self.left[low] > 0) & (self.left[total - low] > np.where(2 * low == total, 1, 0))
-        at = np.flatnonzero(fits)
-        return (total - int(low[at[0]]), int(low[at[0]])) if len(at) else None
+        """The pair with this sum whose larger part is largest, at most ``most``."""
+        large = self.large[self.at[total] : self.at[total + 1]]
+        large = large[large <= most]
+        fits = np.flatnonzero((self.left[large] > 0) & (self.left[total - large] > np.where(2 * large == total, 1, 0)))
+        return (int(large[fits[0]]), total - int(large[fits[0]])) if len(fits) else None
+
+    def _triple(self, total: int) -> tuple[int, int, int] | None:
+        first = self.single[(3 * self.single >= total) & (self.single < total)]
+        first = first[(self.left[first] > 0) & (self.at[total - first] < self.at[total - first + 1])]
+        for longest in first[::-1].tolist():
+            self.left[longest] -= 1
+            pair = self._pair(total - longest, longest)
+            self.left[longest] += 1
+            if pair:
+                return (longest, *pair)
+        return None
 
 
 def blocks(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:
@@ -180,12 +200,26 @@ def blocks(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
 
     A range fills ``across`` consecutive sequences, one piece in each and then, ``length`` further on, one more in each.
     The number of ranges depends on the number of distinct lengths, not on the number of pieces: every step uses up a
-    length or a kind of open sequence.
+    length or a kind of open sequence. Of ``PLANS`` the first with the fewest sequences is taken.
     """
-    stock, out, sequences = _Stock(counts, capacity), [], 0
+    bound = -(-sum(length * count for length, count in counts.items()) // capacity)
+    best, fewest = [], None
+    for kind in PLANS:
+        ranges, sequences = _blocks(counts, capacity, kind)
+        if fewest is None or sequences < fewest:
+            best, fewest = ranges, sequences
+        if fewest == bound:
+            break
+    return best
+
+
+def _blocks(counts: dict[int, int], capacity: int, kind: tuple[int, int, int] | None) -> tuple[list[tuple[int, int, int, int, int, int]], int]:
+    """One plan and its number of sequences."""
+    stock = _Stock(counts, capacity, max(1, capacity // kind[0]) if kind else capacity + 1, kind[1] if kind else 0)
+    out, sequences = [], 0
     rest: list[tuple[int, int]] = []
     for length in range(capacity, 0, -1):
-        while stock.left[length]:
+        while kind and length >= capacity // kind[2] and stock.left[length]:
             mates = stock.complement(length)
             if mates is None:
                 break
@@ -218,7 +252,7 @@ def blocks(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
                     first, runs, count = first + times, runs - times, count - times * pieces
             if runs:
                 open_runs[room].append((first, runs))
-    return out
+    return out, sequences
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
