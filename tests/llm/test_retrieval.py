@@ -127,3 +127,23 @@ def test_shards_are_bounded(tokens):
         for i in range(int(count[t])):
             held[int(first[t]) + i] += n / int(count[t])
     assert all(n <= 100 for n in held.values())
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from("ab'sdtrevlmSΣ .,!12½é漢\n\t\x1c\x85\0🙂"), max_size=40), max_size=5))
+def test_array_encoder_equals_the_library(tokenizer, texts):
+    from tidemark.llm.tokens import array_encoder
+
+    got = array_encoder(WORD_TOKENIZER)(texts)
+    assert [g.tolist() for g in got] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_array_encoder_starts_anew_when_full(tokenizer, monkeypatch):
+    from tidemark.llm import tokens
+    from tidemark.llm.bpe import vocabulary
+
+    monkeypatch.setattr(tokens, "_MOST", 50)
+    encode = tokens.ArrayEncoder(vocabulary(WORD_TOKENIZER))
+    for n in range(4):
+        texts = [f"word{'abcdefghij'[i % 10] * n}{chr(97 + i)} <|endoftext|> {'y' * 40}" for i in range(26)]
+        assert [g.tolist() for g in encode(texts)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]

@@ -78,10 +78,13 @@ class Vocabulary:
             out += [piece] if piece in self.special else self._plain(piece)
         return out
 
-    def _plain(self, text: str) -> list[str]:
+    def normalised(self, text: str) -> str:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        text = text.lower()
+        return text.lower()
+
+    def _plain(self, text: str) -> list[str]:
+        text = self.normalised(text)
         # str.split also cuts at four control characters that are not blanks.
         return [w for w in _BLANKS.split(text) if w] if _SEPARATORS.search(text) else text.split()
 
@@ -180,13 +183,21 @@ class Merger:
 
     def _matrix(self, coded: list[bytes], lengths: np.ndarray, width: int) -> list[bytes]:
         raw = np.frombuffer(b"".join([c.ljust(width, b"\0") for c in coded]), np.uint8).reshape(-1, width)
+        final = self.merge_matrix(raw, lengths)
+        ends = (4 * (final >= 0).sum(axis=1) + 4 * width * np.arange(len(coded))).tolist()
+        block = final.astype("<u4").tobytes()
+        return [block[4 * width * i : end] for i, end in enumerate(ends)]
+
+    def merge_matrix(self, raw: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Ids of the parts in the rows of ``raw``, of these many bytes each; -1 behind the last id of a row."""
+        rows_in, width = raw.shape
         symbols = np.where(np.arange(width) < lengths[:, None], self.inner[raw], -1)
-        ends = np.arange(len(coded)), lengths - 1
+        ends = np.arange(rows_in), lengths - 1
         symbols[ends] = self.last[raw[ends]]
         ranks = np.full(symbols.shape, self.none, np.int64)
         ranks[:, :-1] = self.rank(symbols[:, :-1].ravel(), symbols[:, 1:].ravel()).reshape(-1, width - 1)
         done: list[tuple[np.ndarray, np.ndarray]] = []
-        rows, column = np.arange(len(coded)), np.arange(width)
+        rows, column = np.arange(rows_in), np.arange(width)
         while len(rows):
             at = ranks.argmin(axis=1)
             least = ranks[np.arange(len(rows)), at]
@@ -208,10 +219,7 @@ class Merger:
             ranks[every[at > 0], before[at > 0]] = fresh[at > 0]
             ranks[every, at] = self.rank(symbols[every, at], symbols[every, np.minimum(at + 1, width - 1)])
         order = np.concatenate([some for some, _ in done])
-        final = np.concatenate([ids for _, ids in done])[np.argsort(order)]
-        ends = (4 * (final >= 0).sum(axis=1) + 4 * width * np.arange(len(coded))).tolist()
-        block = final.astype("<u4").tobytes()
-        return [block[4 * width * i : end] for i, end in enumerate(ends)]
+        return np.concatenate([ids for _, ids in done])[np.argsort(order)]
 
     def _one(self, part: bytes) -> bytes:
         symbols = self.inner[np.frombuffer(part, np.uint8)].tolist()

@@ -1,8 +1,9 @@
 """Lexical retrieval packing: every window is filled with the documents that BM25 finds nearest to its first one.
 
 Terms are token ids, so the statistics of the whole corpus (documents per term, mean length) are tables bounded by the
-vocabulary. Documents are dealt into shards by their heaviest term, the one with the largest BM25 weight: documents about
-the same thing meet, light terms share a shard, and a term that is the heaviest of very many documents has several shards.
+vocabulary. Documents are dealt into shards by their heaviest term, with a term's rank in the vocabulary standing for its
+rarity (ids follow the order of merging), so that dealing needs no statistics: documents about the same thing meet, light
+terms share a shard, and a term that is the heaviest of very many documents has several shards.
 A shard holds about ``SHARD_TOKENS`` tokens whatever the corpus. It builds an inverted index of its documents and packs
 them: a seed document opens a window, the index returns the unused documents by falling score, and they fill the window
 greedily: those that fit whole go in, and the nearest that does not fit is cut once no whole one of at least
@@ -21,16 +22,19 @@ import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.bpe import codec, compile_lexicon, vocabulary
+from tidemark.llm.bpe import vocabulary
 from tidemark.llm.common import settle, text_of
+from tidemark.llm.tokens import array_encoder
 
 CAPACITY = 4_096
 SHARD_TOKENS = 1 << 21
 END_ID = 2
 WHOLE_SHARE = 0.5
 K1, B = 1.2, 0.75
+# Terms that more than this share of a shard's documents hold are scored by dense rows instead of lists.
+DENSE_SHARE = 1 / 8
 # Ids travel as text through pandas, which would turn long nullable numbers into floating point.
-_ENCODED = "doc_id string, ids binary, doc_tokens bigint"
+_ENCODED = "doc_id string, ids binary, doc_tokens bigint, term int"
 _PIECES = "doc_id string, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
@@ -44,16 +48,36 @@ def expanded(block: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
+def term_counts(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(document, term, occurrences)`` of the distinct terms of each document, in this order."""
+    lengths = [len(d) for d in docs]
+    if not sum(lengths):
+        return (np.zeros(0, np.int64),) * 3
+    keys = np.sort(np.repeat(np.arange(len(docs), dtype=np.uint64) << np.uint64(32), lengths) | np.concatenate(docs).astype(np.uint64))
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    counts = np.diff(np.append(first, len(keys)))
+    return (keys[first] >> np.uint64(32)).astype(np.int64), (keys[first] & np.uint64(0xFFFFFFFF)).astype(np.int64), counts
+
+
+def heaviest_terms(docs: list[np.ndarray]) -> np.ndarray:
+    """The term of each document (none is empty) with the largest weight by rank and occurrences, the least of equal ones."""
+    doc, term, tf = term_counts(docs)
+    weight = np.log1p(term) * tf / (tf + K1)
+    order = np.lexsort((-term, weight, doc))
+    return term[order[np.append(np.flatnonzero(np.diff(doc)), len(doc) - 1)]] if len(doc) else term
+
+
 def encoded(docs: DataFrame, path: str) -> DataFrame:
-    """``(doc_id, ids, doc_tokens)`` per row: the text's ids and the end id, squeezed."""
-    block, end = compile_lexicon({}), END_ID.to_bytes(4, "little")
+    """``(doc_id, ids, doc_tokens, term)`` per row: the text's ids and the end id, squeezed, and the heaviest term."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        translate, squeezer = codec(path, block), zstandard.ZstdCompressor(level=1)
+        encode, squeezer = array_encoder(path), zstandard.ZstdCompressor(level=1)
         for frame in frames:
-            _, found = translate.encode(frame["text"].tolist())
-            ids = [squeezed(f + end, squeezer) for f in found]
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "ids": ids, "doc_tokens": [len(f) // 4 + 1 for f in found]})
+            found = [np.append(ids, np.uint32(END_ID)) for ids in encode(frame["text"].tolist())]
+            yield pd.DataFrame({
+                "doc_id": frame["doc_id"], "ids": [squeezed(f.astype("<u4").tobytes(), squeezer) for f in found],
+                "doc_tokens": [len(f) for f in found], "term": heaviest_terms(found),
+            })
 
     rows = docs.select(F.col("doc_id").cast("bigint").cast("string").alias("doc_id"), text_of().alias("text"))
     return rows.mapInPandas(run, _ENCODED)
@@ -65,8 +89,7 @@ def document_counts(coded: DataFrame, size: int) -> np.ndarray:
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = np.zeros(size, np.int64)
         for frame in frames:
-            for ids in frame["ids"]:
-                held[np.unique(expanded(ids))] += 1
+            held += np.bincount(term_counts([expanded(i) for i in frame["ids"]])[1], minlength=size)
         term = np.flatnonzero(held)
         yield pd.DataFrame({"term": term, "n": held[term]})
 
@@ -82,12 +105,6 @@ def inverse_frequency(held: np.ndarray, documents: int) -> np.ndarray:
     return np.log1p((documents - held + 0.5) / (held + 0.5))
 
 
-def weights(ids: np.ndarray, idf: np.ndarray, mean: float) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct terms of a document and what each adds to the score of a query that holds it."""
-    terms, tf = np.unique(ids, return_counts=True)
-    return terms, idf[terms] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(ids) / mean))
-
-
 def shards_of(tokens: np.ndarray, size: int = SHARD_TOKENS) -> tuple[np.ndarray, np.ndarray]:
     """First shard and number of shards of every heaviest term, from the tokens of its documents.
 
@@ -113,22 +130,29 @@ class Index:
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float):
         self.size = len(docs)
-        scored = [weights(ids, idf, mean) for ids in docs]
-        self.terms = [terms for terms, _ in scored]
-        lengths = [len(terms) for terms in self.terms]
-        term = np.concatenate(self.terms) if docs else np.zeros(0, np.int64)
-        order = np.argsort(term, kind="stable")
-        self.docs = np.repeat(np.arange(len(docs)), lengths)[order]
-        self.weights = np.concatenate([w for _, w in scored])[order] if docs else np.zeros(0)
-        self.bounds = np.searchsorted(term[order], np.arange(len(idf) + 1))
+        doc, term, tf = term_counts(docs)
+        length = np.array([len(d) for d in docs])[doc] if len(doc) else doc
+        weights = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
+        self.terms = np.split(term, np.searchsorted(doc, np.arange(1, len(docs))))
+        held = np.bincount(term, minlength=len(idf))
+        self.row = np.where(held > max(8, DENSE_SHARE * len(docs)), np.cumsum(held > max(8, DENSE_SHARE * len(docs))) - 1, -1)
+        self.dense = np.zeros((int(self.row.max(initial=-1)) + 1, len(docs)))
+        often = self.row[term] >= 0
+        self.dense[self.row[term[often]], doc[often]] = weights[often]
+        rare = np.flatnonzero(~often)
+        rare = rare[np.argsort(term[rare], kind="stable")]
+        self.docs, self.weights = doc[rare], weights[rare]
+        self.bounds = np.searchsorted(term[rare], np.arange(len(idf) + 1))
         self.used = np.zeros(len(docs), bool)
 
     def scores(self, doc: int) -> np.ndarray:
         """BM25 score of every document for the terms of ``doc``."""
-        lows, highs = self.bounds[self.terms[doc]], self.bounds[self.terms[doc] + 1]
+        terms = self.terms[doc]
+        rows = self.row[terms]
+        lows, highs = self.bounds[terms], self.bounds[terms + 1]
         lengths = highs - lows
-        at = np.arange(int(lengths.sum())) + np.repeat(lows - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths)
-        return np.bincount(self.docs[at], self.weights[at], self.size)
+        at = np.arange(int(lengths.sum())) + np.repeat(lows - (np.cumsum(lengths) - lengths), lengths)
+        return np.bincount(self.docs[at], self.weights[at], self.size) + self.dense[rows[rows >= 0]].sum(axis=0)
 
     def neighbours(self, scores: np.ndarray) -> np.ndarray:
         """All unused documents by falling score; ties by position."""
@@ -201,28 +225,13 @@ def packed(docs: DataFrame, path: str, capacity: int = CAPACITY, shard_tokens: i
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(idf)  # one number per id of the vocabulary
 
-    def heaviest(ids: bytes) -> int:
-        terms, weight = weights(expanded(ids), shared.value, mean)
-        return int(terms[weight.argmax()])
-
-    def tokens(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = np.zeros(size, np.int64)
-        for frame in frames:
-            np.add.at(held, [heaviest(ids) for ids in frame["ids"]], frame["doc_tokens"].to_numpy())
-        term = np.flatnonzero(held)
-        yield pd.DataFrame({"term": term, "n": held[term]})
-
     per_term = np.zeros(size, np.int64)
-    for row in coded.select("ids", "doc_tokens").mapInPandas(tokens, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect():
+    for row in coded.groupBy("term").agg(F.sum("doc_tokens").alias("n")).collect():
         per_term[row["term"]] = row["n"]
-    dealt = spark.sparkContext.broadcast(shards_of(per_term, shard_tokens))  # two numbers per id of the vocabulary
-
-    def route(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        first, count = dealt.value
-        for frame in frames:
-            term = np.array([heaviest(ids) for ids in frame["ids"]], np.int64)
-            shard = first[term] + frame["place"].to_numpy(np.int64) % count[term]
-            yield frame.assign(shard=shard)[["shard", "place", "doc_id", "ids", "doc_tokens"]]
+    first, count = shards_of(per_term, shard_tokens)
+    terms = np.flatnonzero(per_term)
+    # One row per id of the vocabulary at most.
+    dealt = spark.createDataFrame(pd.DataFrame({"term": terms.astype(np.int32), "first": first[terms], "count": count[terms]}), "term int, first bigint, count bigint")
 
     def pack(key: tuple[int], frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("place", kind="stable", ignore_index=True)
@@ -236,9 +245,9 @@ def packed(docs: DataFrame, path: str, capacity: int = CAPACITY, shard_tokens: i
         })
 
     # The place of a row in the written table tells repeated ids apart, so they too are dealt to several shards.
-    placed = coded.withColumn("place", F.xxhash64(F.monotonically_increasing_id(), "doc_id").bitwiseAND(F.lit((1 << 62) - 1)))
-    routed = placed.select("place", "doc_id", "ids", "doc_tokens").mapInPandas(
-        route, "shard bigint, place bigint, doc_id string, ids binary, doc_tokens bigint"
+    placed = coded.withColumn("place", F.xxhash64(F.monotonically_increasing_id(), "doc_id"))
+    routed = placed.join(F.broadcast(dealt), "term").select(
+        (F.col("first") + F.pmod("place", "count")).alias("shard"), "place", "doc_id", "ids", "doc_tokens"
     )
     # Packing costs much more time than its few bytes suggest, so the number of tasks is stated.
     tasks = max(2 * spark.sparkContext.defaultParallelism, total // shard_tokens // 16) if documents else 1
