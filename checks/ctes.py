@@ -110,13 +110,19 @@ SELECT quote_id, 1 AS chain_id, 'c' || CAST(deal_id % 3 AS VARCHAR) AS verifying
        horizon_days * 86400 AS settlement_horizon, 'garch_1_1-v1' AS model_version,
        '0x' || md5('snap' || CAST(deal_id AS VARCHAR)) AS risk_snapshot_hash, '0x' || md5('sig' || quote_id) AS signature,
        created_at AS issued_at, created_at + INTERVAL 5 MINUTE AS quote_expiration
-FROM deals WHERE deal_id % 50 <> 3
+FROM deals
 """, "deals")
-cte("submissions", """
+_ZERO = "'0x" + "0" * 40 + "'"
+cte("submissions", f"""
 SELECT quote_id, depositor, CASE WHEN deal_id % 41 = 0 THEN depositor ELSE counterparty END AS counterparty,
+       CASE WHEN deal_id % 43 = 1 THEN '0xtoken' ELSE coalesce(settlement_asset, {_ZERO}) END AS settlement_asset,
        CAST(CAST(notional * 100 AS DECIMAL(38,0)) AS VARCHAR) || CASE WHEN deal_id % 37 = 0 THEN '0000000000000001' ELSE '0000000000000000' END AS notional_wei,
-       horizon_days * 86400 AS settlement_horizon,
-       CASE WHEN deal_id % 29 = 0 THEN 'bad' ELSE '0x' || md5('sig' || quote_id) END AS signature,
+       CASE WHEN deal_id % 47 = 1 THEN '1' ELSE CAST(CAST(notional * 200 AS DECIMAL(38,0)) AS VARCHAR) || '0000000000000000' END AS required_collateral,
+       CAST(epoch(created_at) AS BIGINT) + 300 + CASE WHEN deal_id % 53 = 1 THEN 60 ELSE 0 END AS quote_expiration,
+       CASE WHEN deal_id % 59 = 1 THEN 172800 ELSE horizon_days * 86400 END AS settlement_horizon,
+       CASE WHEN deal_id % 61 <> 1 THEN 'garch_1_1-v1' WHEN deal_id % 2 = 0 THEN 'garch_1_1-v2' END AS model_version,
+       CASE WHEN deal_id % 67 = 1 THEN '0x00' ELSE '0x' || md5('snap' || deal_id) END AS risk_snapshot_hash,
+       CASE WHEN deal_id % 71 = 1 THEN NULL WHEN deal_id % 29 = 0 THEN 'bad' ELSE '0x' || md5('sig' || quote_id) END AS signature,
        created_at + CASE WHEN deal_id % 23 = 0 THEN INTERVAL 6 MINUTE ELSE INTERVAL 1 MINUTE END AS submitted_at
 FROM deals
 """, "deals")

@@ -15,20 +15,32 @@ SELECT 1 AS chain_id, 'c' || (deal_id % 3) AS contract_address, deal_id, quote_i
        CASE WHEN event_ts < TIMESTAMP '2001-01-01' THEN 'confirmed' ELSE 'observed' END AS confirmation_state, deal_id % 17 = 0 AND log_index > 0 AS is_orphaned
 FROM lifecycle
 """, "lifecycle")
-cte("audited", """
+def _differs(name: str) -> str:
+    return f"'Quote field \"{name}\" does not match the quote this server issued'"
+
+
+cte("audited", f"""
 SELECT s.*, CASE
+    WHEN signature IS NULL THEN 'Missing required fields: quote, signature'
     WHEN depositor = '' THEN 'Incomplete RiskQuote: missing depositor'
-    WHEN i_signature IS NULL THEN 'Unknown quote: no matching quote was issued by this server'
-    WHEN counterparty <> i_counterparty THEN 'Quote field "counterparty" does not match the quote this server issued'
-    WHEN notional_wei <> i_notional THEN 'Quote field "notional_wei" does not match the quote this server issued'
-    WHEN signature <> i_signature THEN 'Signature does not match the issued quote'
-    WHEN contract NOT IN ('c0', 'c1') THEN 'This quote was issued for a different chain or contract'
-    WHEN submitted_at >= expires THEN 'Quote has expired; request a new one'
+    WHEN model_version IS NULL THEN 'Incomplete RiskQuote: missing modelVersion'
+    WHEN unknown THEN 'Unknown quote: no matching quote was issued by this server'
+    WHEN counterparty <> i_counterparty THEN {_differs('counterparty')}
+    WHEN key % 43 = 1 THEN {_differs('settlementAsset')}
+    WHEN key % 37 = 0 THEN {_differs('notional')}
+    WHEN key % 47 = 1 THEN {_differs('requiredCollateral')}
+    WHEN key % 53 = 1 THEN {_differs('quoteExpiration')}
+    WHEN key % 59 = 1 THEN {_differs('settlementHorizon')}
+    WHEN key % 61 = 1 THEN {_differs('modelVersion')}
+    WHEN key % 67 = 1 THEN {_differs('riskSnapshotHash')}
+    WHEN key % 29 = 0 THEN 'Signature does not match the issued quote'
+    WHEN key % 3 = 2 THEN 'This quote was issued for a different chain or contract'
+    WHEN key % 23 = 0 THEN 'Quote has expired; request a new one'
     WHEN used THEN 'This quote has already been used to create an escrow' END AS reject_reason
-FROM (SELECT s.* REPLACE (CASE WHEN substr(s.quote_id, 3, 2) = '0f' THEN '' ELSE s.depositor END AS depositor), q.signature AS i_signature, q.counterparty AS i_counterparty,
-             q.notional_wei AS i_notional, verifying_contract AS contract, quote_expiration AS expires, d.status = 'settled' AND d.deal_id % 5 = 0 AS used
-      FROM submissions s LEFT JOIN risk_quotes q USING (quote_id) JOIN deals d USING (quote_id)) s
-""", "submissions", "risk_quotes", "deals")
+FROM (SELECT s.* REPLACE (CASE WHEN substr(s.quote_id, 3, 2) = '0f' THEN '' ELSE s.depositor END AS depositor), d.counterparty AS i_counterparty,
+             d.deal_id AS key, d.deal_id % 50 = 3 AS unknown, d.status = 'settled' AND d.deal_id % 5 = 0 AS used
+      FROM submissions s JOIN deals d USING (quote_id)) s
+""", "submissions", "deals")
 cte("amounts", f"""
 SELECT deal_id, n AS notional_units, n + deal_id AS collateral_units, deal_id % 1000 AS fee_bps, (n * (deal_id % 1000)) // 10000 AS platform_fee,
        n - (n * (deal_id % 1000)) // 10000 AS payout, CAST(deal_id AS HUGEINT) AS depositor_refund
@@ -97,6 +109,11 @@ SELECT quote_id, depositor, counterparty, left(notional_wei, length(notional_wei
        'pending' AS status, 'pending' AS payment_status, CASE WHEN substr(quote_id, 4, 1) < '8' THEN 'ERC20' ELSE 'POL' END AS crypto_currency, notional_wei AS notional,
        CASE WHEN substr(quote_id, 4, 1) < '8' THEN '0xtoken' END AS settlement_asset, settlement_horizon AS settlement_horizon_seconds, depositor AS payment_from,
        CASE WHEN substr(quote_id, 3, 1) < '8' THEN 1 ELSE 0 END AS n_rejected_repeats FROM audited WHERE reject_reason IS NULL
+"""),
+    "payment_records": with_ctes("audited", """
+SELECT quote_id AS escrow_id, left(notional_wei, length(notional_wei) - 18) || '.' || substr(notional_wei, length(notional_wei) - 17, 2) AS amount,
+       CASE WHEN substr(quote_id, 4, 1) < '8' THEN 'ERC20' ELSE 'POL' END AS crypto_currency, 'crypto' AS payment_method, 'USD' AS currency, 'pending' AS status,
+       depositor AS from_address, counterparty AS to_address FROM audited WHERE reject_reason IS NULL
 """),
     "tx_verification": with_ctes("deals", """
 , r AS (SELECT deal_id AS escrow_id, CASE WHEN deal_id % 43 <> 0 THEN quote_id END AS quote_id, '0x' || md5('tx' || deal_id) AS tx_hash, CASE

@@ -39,13 +39,23 @@ def _bucket(x: Column, low: Column, high: Column, buckets: int) -> Column:
 def ranked_values(values: DataFrame, stats: DataFrame, keys: Sequence[str], ranks: Column, buckets: int = BUCKETS, small: int = SMALL) -> DataFrame:
     """``(keys, _rank, _value)``: the value at each wanted zero-based rank.
 
-    ``values`` (keys, _x; no null) and ``stats`` (keys, _n, _low, _high of the finite values) are written tables; ``ranks``
+    ``values`` (keys, _x; no null) and ``stats`` (keys, n_scenarios, _low, _high of the finite values) are written tables; ``ranks``
     is an array column over ``stats``.
     """
     keys = list(keys)
-    wanted = stored(stats.select(*keys, F.explode(F.array_distinct(ranks)).alias("_rank")).where("_rank >= 0"), "ranks")
-    parts = stats.select(*keys, F.lit("").alias("_part"), F.lit(0).cast("bigint").alias("_before"), "_low", "_high")
-    rows, found = values.withColumn("_part", F.lit("")), []
+    wanted = stats.select(*keys, F.explode(F.array_distinct(ranks)).alias("_rank")).where("_rank >= 0")
+    least, most = stats.agg(F.min("n_scenarios"), F.max("n_scenarios")).first()
+    found = []
+    if least is None or least <= small:
+        # Groups that are small as a whole.
+        whole = stats.where(F.col("n_scenarios") <= small).select(*keys)
+        lists = spread_lookup(values, whole, keys, "_x", how="inner").groupBy(*keys).agg(F.array_sort(F.collect_list("_x")).alias("_xs"))
+        found.append(wanted.join(lists, keys).select(*keys, "_rank", F.get("_xs", F.col("_rank").cast("int")).alias("_value")))
+        if most is None or most <= small:
+            return found[0]
+    large = stats.where(F.col("n_scenarios") > small)
+    parts = large.select(*keys, F.lit("").alias("_part"), F.lit(0).cast("bigint").alias("_before"), "_low", "_high")
+    rows = values.withColumn("_part", F.lit(""))
     cell = [*keys, "_part", "_bucket"]
     while True:
         bounds = parts.select(*keys, "_part", "_low", "_high")

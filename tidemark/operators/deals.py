@@ -82,30 +82,48 @@ def insert_ignore(existing: DataFrame, new: DataFrame, key: str, order: Sequence
     return existing.select(key, *rest).unionByName(fresh)
 
 
-def audit_submissions(
-    submitted: DataFrame, issued: DataFrame, used: DataFrame, fields: Sequence[str], deployments: Sequence[tuple[int, str]]
-) -> DataFrame:
+# The ten signed fields of a quote by their column, in the order in which they are signed.
+SIGNED_FIELDS = {
+    "quote_id": "quoteId",
+    "depositor": "depositor",
+    "counterparty": "counterparty",
+    "settlement_asset": "settlementAsset",
+    "notional_wei": "notional",
+    "required_collateral": "requiredCollateral",
+    "quote_expiration": "quoteExpiration",
+    "settlement_horizon": "settlementHorizon",
+    "model_version": "modelVersion",
+    "risk_snapshot_hash": "riskSnapshotHash",
+}
+
+
+def audit_submissions(submitted: DataFrame, issued: DataFrame, used: DataFrame, deployments: Sequence[tuple[int, str]]) -> DataFrame:
     """Adds ``reject_reason`` to submitted quotes: the first rule they break against what was issued.
 
-    Completeness, known quote, field by field equality, signature, chain and contract, expiry (at ``submitted_at``),
-    single use. ``used`` holds the quote ids already taken by a deal.
+    A signature, all ten signed fields present, known quote, field by field equality as text, signature, chain and
+    contract, expiry (at ``submitted_at``, by the issued quote's ``expires_at``), single use. ``used`` holds the quote ids
+    already taken by a deal.
     """
     held = issued.select("quote_id", *[F.col(c).alias(f"_i_{c}") for c in issued.columns if c != "quote_id"])
     taken = used.select("quote_id").distinct().withColumn("_used", F.lit(True))
     joined = submitted.join(held, "quote_id", "left").join(taken, "quote_id", "left")
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    incomplete = [_said(text(f) == "", f"Incomplete RiskQuote: missing {f}") for f in ("quote_id", *fields)]
-    different = [_said(text(f) != text(f"_i_{f}"), f'Quote field "{f}" does not match the quote this server issued') for f in fields]
+    incomplete = [_said(text(f) == "", f"Incomplete RiskQuote: missing {name}") for f, name in SIGNED_FIELDS.items()]
+    different = [
+        _said(text(f) != text(f"_i_{f}"), f'Quote field "{name}" does not match the quote this server issued')
+        for f, name in SIGNED_FIELDS.items() if f != "quote_id"
+    ]
     place = F.lit(False)
     for chain, contract in deployments:
         place = place | ((F.col("_i_chain_id") == chain) & (F.lower("_i_verifying_contract") == contract.lower()))
     reason = _first_reason(
+        _said(text("signature") == "", "Missing required fields: quote, signature"),
         *incomplete,
         _said(F.col("_i_signature").isNull(), "Unknown quote: no matching quote was issued by this server"),
         *different,
         _said(~F.col("signature").eqNullSafe(F.col("_i_signature")), "Signature does not match the issued quote"),
         _said(~place, "This quote was issued for a different chain or contract"),
-        _said(F.col("submitted_at") >= F.col("_i_quote_expiration"), "Quote has expired; request a new one"),
+        _said(F.col("submitted_at") >= F.col("_i_expires_at"), "Quote has expired; request a new one"),
         _said(F.col("_used"), "This quote has already been used to create an escrow"),
     )
     return joined.withColumn("reject_reason", reason).drop("_used", *[c for c in held.columns if c != "quote_id"])

@@ -112,30 +112,35 @@ def quotes_insert_ignore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.insert_ignore(stored_half, twice, "quote_id", ["issued_at"])
 
 
-AUDIT_FIELDS = ("depositor", "counterparty", "notional_wei", "settlement_horizon")
-
-
 def _audited(spark: SparkSession, sf_dir: str) -> DataFrame:
     deals = X.deals(spark, sf_dir)
     submitted = X.submissions(deals).withColumn(
         "depositor", F.when(F.substring("quote_id", 3, 2) == "0f", F.lit("")).otherwise(F.col("depositor"))
     )
     used = deals.where((F.col("status") == "settled") & _every(5))
-    return D.audit_submissions(submitted, X.risk_quotes(deals), used, AUDIT_FIELDS, DEPLOYMENTS)
+    return D.audit_submissions(submitted, X.issued_quotes(deals), used, DEPLOYMENTS)
 
 
 def quote_submission_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _audited(spark, sf_dir).select("quote_id", "submitted_at", "reject_reason")
 
 
-def pending_deals(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _pending(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accepted submissions, every quote starting with 0..7 handed in twice."""
     accepted = _audited(spark, sf_dir).where(F.col("reject_reason").isNull()).drop("reject_reason").withColumn(
         "settlement_asset", F.when(F.substring("quote_id", 4, 1) < "8", F.lit("0xtoken"))
     )
     again = accepted.where(F.substring("quote_id", 3, 1) < "8").withColumn("submitted_at", F.col("submitted_at") + F.expr("INTERVAL 30 SECOND"))
-    pending = D.create_pending(accepted.unionByName(again), ["submitted_at"])
-    return pending.withColumn("payment_from", F.col("payment.from_address")).drop("payment")
+    return D.create_pending(accepted.unionByName(again), ["submitted_at"])
+
+
+def pending_deals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pending(spark, sf_dir).withColumn("payment_from", F.col("payment.from_address")).drop("payment")
+
+
+def payment_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The payment row of every pending deal."""
+    return D.payment_records(_pending(spark, sf_dir))
 
 
 def tx_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -326,7 +331,7 @@ QUERIES: dict[str, Query] = {
     fn.__name__: query(fn)
     for fn in (
         quote_request_validation, settlement_asset_normalize, allowed_assets, deal_lookup, deal_timeline, escrows_recent,
-        escrows_recent_party, quotes_insert_ignore, quote_submission_audit, pending_deals, tx_verification, deal_detail,
+        escrows_recent_party, quotes_insert_ignore, quote_submission_audit, pending_deals, payment_records, tx_verification, deal_detail,
         deal_display_status, settlement_amounts, total_locked, asset_surplus, deal_rule_audit, deal_refundable,
         settlement_reconciliation, risk_vs_outcome, legacy_migration, constraint_violations, scalar_fixed_point, scalar_format,
     )

@@ -184,7 +184,7 @@ def _wei_text(notional: Column, tail: str | Column) -> Column:
 
 def risk_quotes(all_deals: DataFrame) -> DataFrame:
     key = F.col("deal_id")
-    return all_deals.where(key % 50 != 3).select(
+    return all_deals.select(
         "quote_id",
         F.lit(1).alias("chain_id"),
         F.concat(F.lit("c"), (key % 3).cast("string")).alias("verifying_contract"),
@@ -199,17 +199,44 @@ def risk_quotes(all_deals: DataFrame) -> DataFrame:
     )
 
 
+ZERO_ADDRESS = "0x" + "0" * 40
+
+
+def _signed_terms() -> list[Column]:
+    """The signed fields of a quote that do not take part in pricing."""
+    return [
+        F.coalesce("settlement_asset", F.lit(ZERO_ADDRESS)).alias("settlement_asset"),
+        _wei_text(F.col("notional") * 2, "0000000000000000").alias("required_collateral"),
+        F.unix_seconds((F.col("created_at") + F.expr("INTERVAL 5 MINUTE")).cast("timestamp")).alias("quote_expiration"),
+    ]
+
+
+def issued_quotes(all_deals: DataFrame) -> DataFrame:
+    """The quotes a server issued, with all signed fields; every 50th is not among them."""
+    issued = all_deals.where(F.col("deal_id") % 50 != 3)
+    signed = issued.select("quote_id", *_signed_terms())
+    quotes = risk_quotes(issued).withColumnRenamed("quote_expiration", "expires_at").drop("settlement_asset")
+    return quotes.join(signed, "quote_id")
+
+
 def submissions(all_deals: DataFrame) -> DataFrame:
-    """What clients hand in, with planted defects."""
+    """What clients hand in, with planted defects in every signed field."""
     key = F.col("deal_id")
+    asset, collateral, expiration = _signed_terms()
+    bad = lambda n, rest, column, wrong: F.when(key % n == rest, wrong).otherwise(column)
     return all_deals.select(
         "quote_id", "depositor",
-        F.when(key % 41 == 0, F.col("depositor")).otherwise(F.col("counterparty")).alias("counterparty"),
+        bad(41, 0, F.col("counterparty"), F.col("depositor")).alias("counterparty"),
+        bad(43, 1, asset, F.lit("0xtoken")).alias("settlement_asset"),
         _wei_text(
             F.col("notional"), F.when(key % 37 == 0, "0000000000000001").otherwise("0000000000000000")
         ).alias("notional_wei"),
-        (F.col("horizon_days") * 86400).alias("settlement_horizon"),
-        F.when(key % 29 == 0, "bad").otherwise(_hex_md5(F.concat(F.lit("sig"), F.col("quote_id")))).alias("signature"),
+        bad(47, 1, collateral, F.lit("1")).alias("required_collateral"),
+        bad(53, 1, expiration, expiration + 60).alias("quote_expiration"),
+        bad(59, 1, F.col("horizon_days") * 86400, F.lit(2 * 86400)).alias("settlement_horizon"),
+        bad(61, 1, F.lit("garch_1_1-v1"), F.when(key % 2 == 0, "garch_1_1-v2")).alias("model_version"),
+        bad(67, 1, _hex_md5(F.concat(F.lit("snap"), key.cast("string"))), F.lit("0x00")).alias("risk_snapshot_hash"),
+        F.when(key % 71 != 1, F.when(key % 29 == 0, "bad").otherwise(_hex_md5(F.concat(F.lit("sig"), F.col("quote_id"))))).alias("signature"),
         (
             F.col("created_at")
             + F.when(key % 23 == 0, F.expr("INTERVAL 6 MINUTE")).otherwise(F.expr("INTERVAL 1 MINUTE"))
