@@ -12,6 +12,7 @@ always compressed and one more match always shows in the length.
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -41,6 +42,8 @@ _POINTS = ".,;:!?"
 _CARRIER = bytes(range(1, 25))
 # Words compressed at a time; a long text needs no more memory than this.
 _CHUNK = 1 << 14
+# Least hashes under which near copies of learning texts meet.
+_SKETCH = 12
 
 
 @dataclass(frozen=True)
@@ -156,11 +159,37 @@ def _dictionaries(sample: pd.DataFrame, held: dict[int, Counter]) -> tuple[bytes
     return ordinary, trained + rest + ordinary
 
 
+def _without_copies(texts: Iterable[str]) -> list[int]:
+    """Positions of texts that share less than half of their distinct words with every text taken before.
+
+    Copies of one text would prove all its words at once. Candidates meet under any of ``_SKETCH`` least hashes; what
+    they share is counted.
+    """
+    rng = np.random.default_rng(3)
+    factors = rng.integers(0, 1 << 63, (_SKETCH, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    taken: list[int] = []
+    held: dict[int, set[str]] = {}
+    met: dict[tuple[int, int], list[int]] = {}
+    for i, text in enumerate(texts):
+        words = set(text.lower().split())
+        hashes = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words))
+        keys = list(enumerate((hashes * factors).min(axis=1).tolist())) if words else [(-1, 0)]
+        others = {j for key in keys for j in met.get(key, ())}
+        if any(3 * len(words & held[j]) >= len(words) + len(held[j]) for j in others):  # as much as a half of the union
+            continue
+        taken.append(i)
+        held[i] = words
+        for key in keys:
+            met.setdefault(key, []).append(i)
+    return taken
+
+
 def train(sample: pd.DataFrame, seen: tuple[int, int]) -> Model:
     """Dictionaries and calibration from a labelled sample (doc_id, text, label).
 
     Every document is calibrated with dictionaries from the other folds, as a new document would be; the final
-    dictionaries use the whole sample. ``seen`` are the numbers of labelled rows per class the sample stands for.
+    dictionaries use the whole sample. ``seen`` are the numbers of labelled rows per class the sample stands for. Of near
+    copies one is learnt from.
     Without two rows of both classes no window saves anything, and the score is the smoothed share of toxic labels.
     """
     prior = (seen[1] + 0.5) / (sum(seen) + 1)
@@ -168,6 +197,10 @@ def train(sample: pd.DataFrame, seen: tuple[int, int]) -> Model:
     if sample["label"].nunique() < 2 or sample["label"].value_counts().min() < 2:
         return Model(b"", b"", flat)
     sample = sample.sort_values("doc_id", kind="stable").reset_index(drop=True)
+    sample = pd.concat([own.iloc[_without_copies(own["text"])] for _, own in sample.groupby("label")])
+    sample = sample.sort_values("doc_id", kind="stable").reset_index(drop=True)
+    if sample["label"].value_counts().min() < 2:
+        return Model(b"", b"", flat)
     fold = sample.groupby("label").cumcount() % FOLDS
     x, y = np.zeros((len(sample), 2 * STEPS + 2)), sample["label"].to_numpy(float)
     texts = lambda k, c: sample.loc[(fold == k) & (sample["label"] == c), "text"]
