@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings, strategies as st
 
@@ -351,3 +352,33 @@ def test_plan_never_needs_more_sequences_than_best_fit(counts):
 
 def test_plan_finds_complements_that_leave_a_little_room():
     assert max(sequence + across for _, _, _, sequence, _, across in packing.blocks({700: 30, 674: 30, 672: 30, 50: 60})) == 32
+
+
+def test_one_of_near_copies_is_learnt_from():
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(3000)]
+    first = [" ".join(rng.sample(words, 80)) for _ in range(40)]
+    texts = []
+    for text in first:
+        copy = text.split()
+        copy[rng.randrange(80)] = "changed"
+        texts += [text, " ".join(copy), text] if rng.random() < 0.5 else [text]
+    kept = [texts[i] for i in toxicity._without_copies(texts)]
+    assert kept == first
+    assert toxicity._without_copies(["", "", "a", "A"]) == [0, 2]
+
+
+def test_copied_toxic_texts_do_not_make_all_their_words_marks():
+    rng = random.Random(9)
+    words = [f"{a}{b}{c}" for a in "bdfg" for b in ("ar", "en", "il", "os") for c in ("tem", "lor", "vin", "pas", "ruk")]
+    plain = [" ".join(rng.choices(words, k=60)) for _ in range(120)]
+    rare = [f"zu{i}qar" for i in range(30)]
+    copied = " ".join([*rng.choices(words, k=30), *rare])
+    toxic = [" ".join([*rng.choices(words, k=50), "moronix", *rng.choices(words, k=5)]) for _ in range(60)] + [f"{copied} x{i}" for i in range(60)]
+    sample = pd.DataFrame({"doc_id": range(240), "text": plain + toxic, "label": [0] * 120 + [1] * 120})
+    model = toxicity.train(sample, (1000, 100))
+    fresh = [" ".join(rng.choices(words, k=60)) for _ in range(20)]
+    cases = [*fresh, *(f"{t} {' '.join(rng.sample(rare, 2))}" for t in fresh), *(f"{t} moronix" for t in fresh)]
+    frame = pd.DataFrame({"doc_id": range(60), "held_out": True, "text": cases})
+    toxic_at = next(toxicity._scorer(model)(iter([frame])))["score"].to_numpy() >= toxicity.THRESHOLD
+    assert toxic_at[40:].mean() >= 0.9 and toxic_at[:40].mean() <= 0.1
