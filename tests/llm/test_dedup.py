@@ -10,9 +10,10 @@ import numpy as np
 import pytest
 import xxhash
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 
 from tidemark.llm import embeddings, exact_dedup, simhash
-from tidemark.llm.common import table
+from tidemark.llm.common import settle, table
 from tidemark.llm.components import components
 
 SF = "/root/testdata/sf0.001"
@@ -253,15 +254,15 @@ def test_embeddings_in_double_precision(spark):
 
 
 def test_kept_rows_with_clashing_columns_and_repeated_ids(spark, docs):
-    """Extra columns named like the ones used inside; one id with two texts; a list too long to broadcast."""
+    """Extra columns named like the ones used inside; one id with two texts; a sieve so full that it suspects every row."""
     from tidemark.llm import common
 
     plain = docs("a b c d", "a b c d", "other words here now", "a b c d", None, "", ids=[1, 2, 1, 2, 5, 5])
     clash = plain
-    for name in ("_id", "_sha", "_listed_id", "_listed_digest", "kept", "fp", "component", "n", "_nth"):
+    for name in ("_id", "_sha", "_row_key", "key", "kept", "fp", "component", "n", "_nth"):
         clash = clash.withColumn(name, plain["doc_id"])
-    for limit in (common.LISTED_ROWS, 0):
-        before, common.LISTED_ROWS = common.LISTED_ROWS, limit
+    for bits in (common.SIEVE_BITS, 1):
+        before, common.SIEVE_BITS = common.SIEVE_BITS, bits
         try:
             exact, near = exact_dedup.keep_first(clash), simhash.keep_one(clash)
             assert exact.columns == near.columns == clash.columns
@@ -270,7 +271,21 @@ def test_kept_rows_with_clashing_columns_and_repeated_ids(spark, docs):
             kept = sorted((r.doc_id, r.text or "") for r in near.collect())
             assert kept == [(1, "a b c d"), (1, "other words here now"), (5, "")]
         finally:
-            common.LISTED_ROWS = before
+            common.SIEVE_BITS = before
+
+
+@pytest.mark.parametrize("room", [1, 32])
+def test_the_sieve_suspects_every_entry_and_few_others(spark, room, monkeypatch):
+    from tidemark.llm import common
+
+    monkeypatch.setattr(common, "SIEVE_ROOM", room)
+    inside = settle(spark.range(0, 20_000).select(F.xxhash64("id").alias("h")), "inside")
+    suspected = common.sieve(inside)
+    assert inside.where(~suspected("h")).isEmpty()
+    others = spark.range(20_000, 60_000).where(suspected(F.xxhash64("id"))).count()
+    assert others <= (40_000 if room == 1 else 400)
+    empty = common.sieve(settle(inside.limit(0), "none"))
+    assert inside.where(empty("h")).isEmpty()
 
 
 def test_one_row_of_a_group_stays_though_its_id_repeats(docs):

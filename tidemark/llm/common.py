@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tidemark.session import configure
@@ -11,8 +13,9 @@ from tidemark.sources.stored import stored
 HOT_SHARES = 256
 # Rows a Python worker holds at once; whole texts may be long, so batches are short.
 BATCH_ROWS = 512
-# Entries of a list of rows that may be broadcast: an id and a digest each, so some 100 MB at most.
-LISTED_ROWS = 1_000_000
+# A sieve has this many bits per entry, and at most so many bits (32 MB).
+SIEVE_ROOM = 32
+SIEVE_BITS = 1 << 28
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -95,25 +98,53 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def sieve(hashes: DataFrame):
+    """A Bloom filter over the only column of ``hashes`` (bigint, a written table), as a column function.
+
+    False says surely not among them. Two bits per entry in at most ``SIEVE_BITS`` bits: what the driver gathers and sends
+    is bounded whatever the number of entries. With more entries than that holds well, more rows are suspected; none is
+    missed.
+    """
+    bits = max(64, min(SIEVE_BITS, 1 << (SIEVE_ROOM * hashes.count()).bit_length()))
+    both = hashes.toDF("h").select(F.explode(F.array("h", F.shiftrightunsigned("h", 32))).alias("h"))
+    slots = both.select(F.col("h").bitwiseAND(F.lit(bits - 1)).alias("slot"))
+    one = F.expr("shiftleft(1L, cast(slot & 63 as int))")
+    filled = slots.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(one).alias("bits")).toArrow()
+    words = np.zeros(bits // 64, np.uint64)
+    words[filled["word"].to_numpy()] = filled["bits"].to_numpy().view(np.uint64)
+    shared = hashes.sparkSession.sparkContext.broadcast(words)
+
+    @F.pandas_udf("boolean")
+    def suspected(h: pd.Series) -> pd.Series:
+        hashed = h.to_numpy("i8").view(np.uint64)
+        seen = np.ones(len(h), bool)
+        for part in (hashed, hashed >> np.uint64(32)):
+            slot = part & np.uint64(bits - 1)
+            seen &= (shared.value[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
+        return pd.Series(seen)
+
+    return suspected
+
+
+def row_key(doc_id: Column, digest: Column) -> Column:
+    """Id and digest of a row as one text; a null id has its own."""
+    return F.concat(F.hex(digest), F.coalesce(doc_id.cast("bigint").cast("string"), F.lit("")))
+
+
 def keep_marked(docs: DataFrame, marked: DataFrame) -> DataFrame:
     """The rows of ``docs`` that ``marked`` (doc_id, digest, kept; one row per row of ``docs``) keeps, with all columns.
 
-    Only ids and digests are shuffled, not texts: what goes, and what is there twice, is listed, and the list is sent to
-    the rows while it has at most ``LISTED_ROWS`` entries; a longer one is joined by a shuffle. Of rows that repeat id and
-    text one stays.
+    What goes, and what is there twice, is listed. A row that the sieve over the list does not suspect stays where it is;
+    only suspects, the rows that go and a few more, are shuffled with their texts and compared with the list itself. Of
+    rows that repeat id and text one stays; they collapse before they meet the list, so no key is hot.
     """
     per_text = marked.groupBy("doc_id", "digest").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
-    listed = settle(per_text.where("not kept or n > 1").select("doc_id", "digest", "kept"), "listed")
-    few = listed.count() <= LISTED_ROWS
-    names = [free_name(docs, n) for n in ("_listed_id", "_listed_digest")]
-
-    def match(entries: DataFrame, how: str) -> DataFrame:
-        entries = entries.select(*[F.col(c).alias(n) for c, n in zip(("doc_id", "digest"), names)])
-        same = F.col("doc_id").cast("bigint").eqNullSafe(F.col(names[0])) & (digest_of() == F.col(names[1]))
-        return docs.join(F.broadcast(entries) if few else entries, same, how)
-
-    rest = match(listed, "left_anti")
-    if listed.where("kept").isEmpty():
-        return rest
-    twice = match(listed.where("kept"), "left_semi").withColumn(names[1], text_of())
-    return rest.unionByName(twice.dropDuplicates(["doc_id", names[1]]).drop(names[1]))
+    listed = per_text.where("not kept or n > 1").select(row_key(F.col("doc_id"), F.col("digest")).alias("key"), "kept")
+    listed = settle(listed, "listed")
+    suspected = sieve(listed.select(F.xxhash64("key")))
+    key = free_name(docs, "_row_key")
+    keyed = docs.withColumn(key, row_key(F.col("doc_id"), digest_of()))
+    hit = suspected(F.xxhash64(key))
+    goes = listed.where("not kept").select(F.col("key").alias(key))
+    few = keyed.where(hit).dropDuplicates([key]).join(goes, key, "left_anti")
+    return keyed.where(~hit).unionByName(few).drop(key)
