@@ -135,8 +135,9 @@ def keep_marked(docs: DataFrame, marked: DataFrame) -> DataFrame:
     """The rows of ``docs`` that ``marked`` (doc_id, digest, kept; one row per row of ``docs``) keeps, with all columns.
 
     What goes, and what is there twice, is listed. A row that the sieve over the list does not suspect stays where it is;
-    only suspects, the rows that go and a few more, are shuffled with their texts and compared with the list itself. Of
-    rows that repeat id and text one stays; they collapse before they meet the list, so no key is hot.
+    only suspects, the rows that go and a few more, are compared with the list itself and may be shuffled with their texts.
+    Of rows that repeat id and text one stays, by an aggregate that collapses them on the map side. The planner compares
+    with the list in front of it: by broadcast while the list is small, else by a join whose skewed parts it splits.
     """
     per_text = marked.groupBy("doc_id", "digest").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
     listed = per_text.where("not kept or n > 1").select(row_key(F.col("doc_id"), F.col("digest")).alias("key"), "kept")
