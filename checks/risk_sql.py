@@ -332,6 +332,13 @@ FROM (SELECT deal_id, notional, CASE deal_id % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'N'
 """),
     "price_quotes": with_ctes("quotes", f"""
 SELECT * REPLACE ({r8('value_at_risk', 'expected_shortfall', 'forecast_volatility_annualized')}), CAST(required_collateral - notional AS DECIMAL(38,18)) AS collateral_buffer FROM quotes
+"""),
+    "unpriced_requests": with_ctes("requests spots horizons", """
+, asked AS (SELECT * REPLACE (CASE WHEN request_id % 19 = 0 THEN 'X' ELSE asset END AS asset,
+                              CASE WHEN request_id % 23 = 0 THEN 21 ELSE horizon_days END AS horizon_days) FROM requests)
+SELECT a.*, CASE WHEN s.asset IS NULL THEN 'no spot price' ELSE 'no terms for the horizon' END AS reason
+FROM asked a LEFT JOIN spots s ON a.asset = s.asset LEFT JOIN horizons h ON a.horizon_days = h.horizon_days
+WHERE s.asset IS NULL OR h.horizon_days IS NULL
 """),
     "quote_onchain_fields": with_ctes("quotes", """
 SELECT quote_id, CAST(replace(CAST(CAST(notional AS DECIMAL(38,18)) AS VARCHAR), '.', '') AS DECIMAL(38,0)) AS notional_units,

@@ -152,3 +152,12 @@ def test_residual_pool_spans_the_history_unless_told(frame):
     params = frame([("A", 1.5e-5, 0.08, 0.88, 0.0)], "asset string, omega double, alpha double, beta double, mu double")
     assert len(S.scenario_model(returns, params).first()["pool"]) == 800
     assert len(S.scenario_model(returns, params, residual_pool_window=100).first()["pool"]) == 100
+
+
+def test_requests_without_price_or_terms_come_out_with_a_reason(frame):
+    requests = frame([(1, "A", 7), (2, "A", 9), (3, "B", 7), (4, None, 7), (5, "C", 7), (5, "C", 7)], "request_id int, asset string, horizon_days int")
+    snapshot = frame([("A", 7), ("A", 7), ("B", 7)], "asset string, horizon_days int")
+    spots = frame([("A", 1.0), ("C", 2.0)], "asset string, spot_price_usd double")
+    got = sorted((r.request_id, r.reason) for r in R.unpriced_requests(requests, snapshot, spots).collect())
+    no_terms = "no terms for the horizon"
+    assert got == [(2, no_terms), (3, "no spot price"), (4, "no spot price"), (5, no_terms), (5, no_terms)]

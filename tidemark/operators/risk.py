@@ -242,6 +242,15 @@ def price_quotes(requests: DataFrame, snapshot: DataFrame, spots: DataFrame, pol
     )
 
 
+def unpriced_requests(requests: DataFrame, snapshot: DataFrame, spots: DataFrame) -> DataFrame:
+    """The requests that ``price_quotes`` cannot price, with ``reason``: the asset has no spot price, or no terms for the horizon."""
+    terms = snapshot.select("asset", "horizon_days").distinct().withColumn("_terms", F.lit(True))
+    priced = spots.select("asset").distinct().withColumn("_spot", F.lit(True))
+    asked = spread_lookup(spread_lookup(requests, terms, ["asset", "horizon_days"], "request_id"), priced, ["asset"], "request_id")
+    reason = F.when(F.col("_spot").isNull(), "no spot price").when(F.col("_terms").isNull(), "no terms for the horizon")
+    return asked.withColumn("reason", reason).where(F.col("reason").isNotNull()).select(*requests.columns, "reason")
+
+
 def to_onchain_fields(quotes: DataFrame, decimals: int = 18) -> DataFrame:
     """Integer fields of a quote: notional half-up, collateral rounded up, expiry in epoch seconds."""
     return quotes.select(

@@ -251,6 +251,17 @@ def price_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _quotes(spark, sf_dir)
 
 
+def unpriced_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some requests name an asset without prices, some a horizon that the snapshot does not hold."""
+    snapshot = stored(snapshot_of(spark, sf_dir).select("asset", "horizon_days"), "snapshot-keys")
+    requests = quote_requests(spark, sf_dir)
+    rest = lambda n: F.col("request_id") % n == 0
+    requests = requests.withColumn("asset", F.when(rest(19), "X").otherwise(F.col("asset"))).withColumn(
+        "horizon_days", F.when(rest(23), 21).otherwise(F.col("horizon_days"))
+    )
+    return R.unpriced_requests(requests, snapshot, R.spot_prices(X.prices(spark, sf_dir)))
+
+
 def quote_onchain_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.to_onchain_fields(_quotes(spark, sf_dir))
 
@@ -337,7 +348,7 @@ QUERIES: dict[str, Query] = {
         garch_forecast, vol_term_structure, garch_update_replay, refit_due, result_fingerprint, garch_view, current_vol_table,
         tail_risk_fhs, tail_risk_gbm, risk_results, tail_comparison, tail_comparison_pivot, stress_vol_shock, stress_gap_down,
         stress_extended_horizon, stress_summary, worst_stress, risk_snapshot, collateral_policy, exposure_usd, price_quotes,
-        quote_onchain_fields, snapshot_hash, garch_walk_forward, garch_walk_forward_fitted, volatility_metrics, volatility_series,
+        unpriced_requests, quote_onchain_fields, snapshot_hash, garch_walk_forward, garch_walk_forward_fitted, volatility_metrics, volatility_series,
         metrics_ranked, var_multiplier, var_backtest_series, var_backtest, kupiec_pof, es_backtest, validation_report_json,
     )
 }
