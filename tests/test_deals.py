@@ -164,3 +164,19 @@ def test_integers_of_any_length_stay_whole(frame):
     rows = frame([(text,) for text in cases] + [(None,)], "text string")
     got = {r["text"]: r["n"] for r in rows.withColumn("n", K.coerce_integer(F.col("text"))).collect()}
     assert got == {**cases, None: None}
+
+
+def test_a_timeline_keeps_each_deal_together_and_in_chain_order(spark):
+    events = spark.range(0, 600).select(
+        F.lit(1).alias("chain_id"), F.lit("c").alias("contract_address"), (F.col("id") % 60).alias("deal_id"),
+        (F.lit(1000) - F.col("id")).alias("block_number"), F.lit(0).alias("log_index"), F.concat(F.lit("0x"), F.hex("id")).alias("tx_hash"),
+        F.lit("RiskEscrowCreated").alias("event_name"), F.lit("2020-01-01").cast("timestamp_ntz").alias("observed_at"),
+        F.lit("observed").alias("confirmation_state"), (F.col("id") % 7 == 0).alias("is_orphaned"),
+    )
+    rows = D.deal_timeline(events.repartition(11)).select("*", F.spark_partition_id().alias("part")).collect()
+    places, blocks = {}, {}
+    for r in rows:
+        places.setdefault(r.deal_id, set()).add(r.part)
+        blocks.setdefault(r.deal_id, []).append(r.block_number)
+    assert len(rows) == 600 and all(len(p) == 1 for p in places.values())
+    assert all(b == sorted(b) and len(b) == 10 for b in blocks.values())

@@ -200,7 +200,11 @@ def deal_lookup(keys: DataFrame, deals: DataFrame) -> DataFrame:
 
 
 def deal_timeline(events: DataFrame) -> DataFrame:
-    """Events in chain order with title, tone and badge; orphaned rows stay and are tagged."""
+    """Every deal's events in chain order with title, tone and badge; orphaned rows stay and are tagged.
+
+    A deal lies in one partition and is sorted there; there is no order among deals that do not share one.
+    """
+    deal = ("chain_id", "contract_address", "deal_id")
     title = F.col("event_name")
     for name, label in EVENT_TITLES.items():
         title = F.when(F.col("event_name") == name, label).otherwise(title)
@@ -211,7 +215,7 @@ def deal_timeline(events: DataFrame) -> DataFrame:
         F.when(orphaned, "critical").when(F.col("confirmation_state") == "confirmed", "positive").otherwise("info").alias("tone"),
         F.when(orphaned, "orphaned (reorg)").otherwise(F.col("confirmation_state")).alias("badge"),
         F.concat(F.lit("block "), F.col("block_number").cast("string"), F.lit(" · "), short_hex(F.col("tx_hash"))).alias("detail"),
-    ).orderBy("chain_id", "contract_address", "deal_id", "block_number", "log_index", "tx_hash")
+    ).repartition(*deal).sortWithinPartitions(*deal, "block_number", "log_index", "tx_hash")
 
 
 def in_scope(deals: DataFrame, chain_id: int, contract: str) -> DataFrame:
