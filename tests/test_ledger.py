@@ -46,6 +46,43 @@ def test_identity_is_chain_transaction_and_log(frame):
     assert [o for o, _ in got] == ["inserted"] * 3
 
 
+def held_by_identity(df):
+    return sorted(map(str, df.collect()))
+
+
+def test_busy_identities_have_the_same_outcomes(frame):
+    rows = [seen(b, h, tx=tx, at=at, order=b) for tx in ("t1", "t2", None) for at, b, h in (
+        (0, 1, "a"), (0, 1, "a"), (30, 1, "a"), (40, 2, "b"), (41, 3, None), (41, 3, None), (90, 1, "a"), (95, 1, "a"),
+    )] + [seen(4, "a", tx="t3")]
+    usual, busy = L.observation_outcomes(frame(rows, OBS)), L.observation_outcomes(frame(rows, OBS), 2)
+    assert held_by_identity(usual) == held_by_identity(busy)
+    assert sum(r["n_observations"] for r in busy.collect()) == len(rows)
+    assert held_by_identity(L.observation_current(usual)) == held_by_identity(L.observation_current(busy))
+
+
+def shuffles(df):
+    """The exchanges of the plan that run-time re-planning starts from."""
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_observations_travel_once(frame):
+    out = L.observation_outcomes(frame([seen(5, "a"), seen(6, "b", tx="t2")], OBS))
+    assert shuffles(out) == 1
+    assert shuffles(L.observation_current(out)) == 1
+    assert shuffles(L.mark_current(out)) == 1
+
+
+def test_a_written_mismatch_is_met_without_a_shuffle(spark, frame, tmp_path):
+    frame([seen(b, "h" if b != 4 else "x", tx=f"t{b}", at=b) for b in range(9)], OBS).write.parquet(str(tmp_path / "rows"))
+    events = L.as_observed(spark.read.parquet(str(tmp_path / "rows")))
+    canonical = frame([(1, b, "h") for b in range(9)], CANONICAL)
+    mismatch = L.first_mismatch(events, canonical, 2)
+    mismatch.write.parquet(str(tmp_path / "mismatch"))
+    written = L.confirm_blocks(events, canonical, 2, spark.read.parquet(str(tmp_path / "mismatch")))
+    assert shuffles(written) == 0
+    assert held_by_identity(written) == held_by_identity(L.confirm_blocks(events, canonical, 2))
+
+
 def test_previous_value_across_buckets(frame):
     rows = [("k", i, f"v{i}") for i in range(50)] + [("z", 3, "only")]
     df = frame(rows, "k string, i int, v string")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from tidemark.functions.literal import literal_table
 from tidemark.functions.joins import spread_lookup
@@ -23,6 +23,9 @@ BLOCK = ("chain_id", "block_number")
 DEAL = (*CONTRACT, "deal_id")
 ARRIVAL = ("observed_at", "ord1", "ord2", "block_hash")
 BLOCK_ORDER = ("block_number", "tx_index", "log_index", "tx_hash")
+# Identities are counted in so many groups by hash; those of a group with more rows than one task should hold are busy.
+IDENTITY_GROUPS = 1 << 20
+BUSY_ROWS = 1_000_000
 
 # The six indexed events, their fields in order, each field's kind and where the log keeps it
 # ("t1" = first indexed topic, "d0" = first data word, "s5" = text whose offset is data word 5).
@@ -146,14 +149,32 @@ def valid_events(events: DataFrame) -> DataFrame:
 # --- identity -------------------------------------------------------------------------------------------------
 
 
-def observation_outcomes(observations: DataFrame) -> DataFrame:
+def observation_outcomes(observations: DataFrame, busy_rows: int = BUSY_ROWS) -> DataFrame:
     """What each observation did, in arrival order per identity: inserted, updated_reorg or duplicate_ignored.
 
     A different block hash than the row held before replaces it. Exact copies of an observation collapse first and
-    are reported as one row with ``n_observations``, so a flood of copies never travels.
+    are reported as one row with ``n_observations``.
+
+    Rows travel once, to their identity, and all that follows per identity finds them there. Identities of groups with more
+    than ``busy_rows`` rows are left out of that: their copies collapse before they travel, and they are ordered by day.
     """
-    copies = observations.groupBy(*observations.columns).agg(F.count(F.lit(1)).alias("_n"))
-    stepped = with_previous(copies, IDENTITY, F.to_date("observed_at"), ARRIVAL, "block_hash", "_held")
+    columns = observations.columns
+    group = F.pmod(F.xxhash64(*IDENTITY), F.lit(IDENTITY_GROUPS))
+    # At most one number per ``busy_rows`` rows.
+    sizes = observations.groupBy(group.alias("_group")).agg(F.count(F.lit(1)).alias("_n"))
+    busy = [r["_group"] for r in sizes.where(F.col("_n") > busy_rows).collect()]
+    copies = lambda rows: rows.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"))
+    arrival = W.partitionBy(*IDENTITY).orderBy(*ARRIVAL)
+    usual = observations.where(~group.isin(busy)) if busy else observations
+    outcomes = _outcomes(copies(usual.repartition(*IDENTITY)).withColumn("_held", F.lag("block_hash").over(arrival)), columns)
+    if not busy:
+        return outcomes
+    by_day = with_previous(copies(observations.where(group.isin(busy))), IDENTITY, F.to_date("observed_at"), ARRIVAL, "block_hash", "_held")
+    return outcomes.unionByName(_outcomes(by_day, columns))
+
+
+def _outcomes(stepped: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Outcomes of distinct observations with their number ``_n`` and the hash ``_held`` before them."""
     first = (
         F.when(F.col("_held").isNull(), "inserted")
         .when(F.col("_held") != F.col("block_hash"), "updated_reorg")
@@ -170,15 +191,25 @@ def observation_outcomes(observations: DataFrame) -> DataFrame:
         ),
         lambda x: x.isNotNull(),
     )
-    return stepped.select(*observations.columns, F.inline(split))
+    return stepped.select(*columns, F.inline(split))
+
+
+def mark_current(outcomes: DataFrame) -> DataFrame:
+    """``outcomes`` with ``is_current``: the last accepted observation of its identity."""
+    accepted = F.col("outcome") != "duplicate_ignored"
+    newest = W.partitionBy(*IDENTITY).orderBy(accepted.desc(), *[F.desc(c) for c in ARRIVAL])
+    return outcomes.withColumn("is_current", accepted & (F.row_number().over(newest) == 1))
+
+
+def current_rows(marked: DataFrame) -> DataFrame:
+    """The marked rows without what they did."""
+    rest = [c for c in marked.columns if c not in (*IDENTITY, "outcome", "n_observations", "is_current")]
+    return marked.where("is_current").select(*IDENTITY, *rest)
 
 
 def observation_current(outcomes: DataFrame) -> DataFrame:
     """The row each identity holds now: its last accepted observation."""
-    rest = [c for c in outcomes.columns if c not in (*IDENTITY, "outcome", "n_observations")]
-    accepted = outcomes.where(F.col("outcome") != "duplicate_ignored")
-    last = accepted.groupBy(*IDENTITY).agg(F.max_by(F.struct(*rest), F.struct(*ARRIVAL)).alias("_r"))
-    return last.select(*IDENTITY, *[F.col("_r")[c].alias(c) for c in rest])
+    return current_rows(mark_current(outcomes))
 
 
 # --- scanning and re-organisations ----------------------------------------------------------------------------
@@ -252,13 +283,15 @@ def first_mismatch(events: DataFrame, canonical: DataFrame, depth: int) -> DataF
     )
 
 
-def confirm_blocks(events: DataFrame, canonical: DataFrame, depth: int) -> DataFrame:
+def confirm_blocks(events: DataFrame, canonical: DataFrame, depth: int, mismatch: DataFrame | None = None) -> DataFrame:
     """Confirm pending rows up to their chain's head - depth, stopping at a contract's first mismatching block.
 
     That block and everything above it is orphaned, rows confirmed earlier included (``was_confirmed`` tells). A
-    contract without due blocks has nothing to confirm.
+    contract without due blocks has nothing to confirm. ``mismatch`` is the ``first_mismatch`` of the same arguments where
+    the caller has written it: its size is then known beforehand, and the events are not shuffled to meet a few rows.
     """
-    joined = spread_lookup(events, first_mismatch(events, canonical, depth), CONTRACT, "tx_hash")
+    mismatch = first_mismatch(events, canonical, depth) if mismatch is None else mismatch
+    joined = spread_lookup(events, mismatch, CONTRACT, "tx_hash")
     block = F.col("block_number")
     above = F.coalesce(block >= F.col("first_bad"), F.lit(False))
     waiting = (F.col("confirmation_state") == "observed") & ~F.col("is_orphaned")
