@@ -96,7 +96,12 @@ def _confirmation_input(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Da
     """Resolved events, oracle rotations already confirmed, and the canonical chain."""
     events = L.as_observed(stored(_current(spark, sf_dir), "current"))
     events = events.withColumn("confirmation_state", F.when(F.col("log_index") == 4, "confirmed").otherwise("observed"))
-    return events, X.canonical_blocks(X.observations(spark, sf_dir))
+    return events, stored(X.canonical_blocks(X.observations(spark, sf_dir)), "canonical")
+
+
+def _confirm(events: DataFrame, canonical: DataFrame) -> DataFrame:
+    mismatch = stored(L.first_mismatch(events, canonical, DEPTH), "mismatch")
+    return L.confirm_blocks(events, canonical, DEPTH, mismatch)
 
 
 def pending_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,7 +110,7 @@ def pending_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _confirmed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.confirm_blocks(*_confirmation_input(spark, sf_dir), DEPTH)
+    return _confirm(*_confirmation_input(spark, sf_dir))
 
 
 def confirm_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
