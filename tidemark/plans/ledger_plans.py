@@ -161,10 +161,12 @@ def checkpoint_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ingest_health(spark: SparkSession, sf_dir: str) -> DataFrame:
-    outcomes = stored(L.observation_outcomes(X.observations(spark, sf_dir)), "outcomes")
-    events = L.as_observed(L.observation_current(outcomes))
-    canonical = X.canonical_blocks(X.observations(spark, sf_dir))
-    return L.ingest_health(outcomes, L.confirm_blocks(events, canonical, DEPTH), canonical, DEPTH)
+    observed = X.observations(spark, sf_dir)
+    # Marked before it is written: the rows held now are read off instead of being sought again.
+    outcomes = stored(L.mark_current(L.observation_outcomes(observed)), "outcomes")
+    canonical = stored(X.canonical_blocks(observed), "canonical")
+    confirmed = _confirm(L.as_observed(L.current_rows(outcomes)), canonical)
+    return L.ingest_health(outcomes, confirmed, canonical, DEPTH)
 
 
 def health_class(spark: SparkSession, sf_dir: str) -> DataFrame:
