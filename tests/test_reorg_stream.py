@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.operators import ledger as L
 from tidemark.streaming import reorg as R
@@ -132,3 +133,33 @@ def test_deliveries_must_hold_every_row(spark, tmp_path):
 
     with pytest.raises(ValueError, match="deliveries"):
         _deliver(spark, spark.createDataFrame([(-3,)], "b bigint"), F.col("b"), str(tmp_path), lambda s: None)
+
+
+def test_a_large_range_is_written_by_several_tasks(spark, tmp_path):
+    ledger = R.Ledger(spark, str(tmp_path / "ledger"), spark.createDataFrame([], OBS).schema, 2)
+    rows = spark.createDataFrame([seen(5, f"{i * 7919:032x}", tx=f"{i * 104729:032x}") for i in range(4000)], OBS).repartition(8)
+    rows = rows.withColumn("_gone", F.lit(False)).withColumn("_chain", F.lit(1).cast("bigint")).withColumn("_range", F.lit(0).cast("bigint"))
+    # As in the session of a stream, in which run-time re-planning is off.
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k"}
+    before = {name: spark.conf.get(name) for name in conf}
+    for name, value in conf.items():
+        spark.conf.set(name, value)
+    try:
+        assert ledger._write_rows(rows, 0) == [(1, 0, 4000)]
+        assert spark.conf.get("spark.sql.adaptive.enabled") == "false"
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert len(list((tmp_path / "ledger/rows/_version=0/_chain=1/_range=0").glob("*.parquet"))) > 3
+
+
+def test_a_single_version_is_read_without_ordering(spark, tmp_path):
+    blocks = [(b, "h") for b in range(1, 30)]
+    intake = Intake(spark, tmp_path)
+    held = lambda: intake.ledger.rows_of(intake.ledger._ranges(intake.ledger.manifest(intake.ledger.last_batch())))
+    ordered = lambda: "Window" in held()._jdf.queryExecution().executedPlan().toString()
+    intake.run([seen(1, "h", tx="a", at=1), seen(1500, "h", tx="b", at=1)], blocks)
+    assert not ordered()
+    intake.run([seen(2, "h", tx="a", at=2), seen(2, "x", tx="a", at=3)], blocks)
+    assert ordered()
+    assert sorted((r["tx_hash"], r["block_number"]) for r in held().collect()) == [("a", 2), ("b", 1500)]

@@ -22,6 +22,7 @@ So the view equals the batch rules over all observations delivered so far, howev
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -46,8 +47,24 @@ _REWINDS = "chain_id bigint, contract_address string, orphan_from_block bigint,
 _CYCLES = (
     "batch_id int, identities bigint, rows_written bigint, ranges_written bigint, ranges_checked bigint, rows_checked bigint, reorgs bigint"
 )
-# Histories are kept on disk and reached by key, so a cycle does not load those it does not touch.
-_STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+# Histories are kept on disk and reached by key, so a cycle does not load those it does not touch. Their number is not
+# counted, for which every write would look its key up first.
+_STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false",
+}
+_ADAPTIVE = "spark.sql.adaptive.enabled"
+
+
+@contextmanager
+def _replanned(spark: SparkSession):
+    """Run-time re-planning, which a stream switches off in its own session for the sake of its state."""
+    before = spark.conf.get(_ADAPTIVE)
+    spark.conf.set(_ADAPTIVE, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_ADAPTIVE, before)
 
 
 def range_of(block: Column) -> Column:
@@ -114,12 +131,20 @@ class Ledger:
 
     def rows_of(self, ranges: Iterable[Range]) -> DataFrame:
         """The rows held in ``ranges``: of every identity the newest version, unless it has moved away."""
-        paths = [f"{self.folder}/rows/_version={v}/_chain={r.chain}/_range={r.number}" for r in ranges for v in r.versions]
-        if not paths:
+        single, several = [], []
+        for r in ranges:
+            paths = [f"{self.folder}/rows/_version={v}/_chain={r.chain}/_range={r.number}" for v in r.versions]
+            (single if len(paths) == 1 else several).extend(paths)
+        parts = []
+        if single:  # a version holds an identity once per range, so there is nothing to choose from
+            parts.append(self._versions(single).where(~F.col("_gone")).drop("_version"))
+        if several:
+            newest = W.partitionBy(*L.IDENTITY, "_range").orderBy(F.desc("_since"))
+            rows = self._versions(several).withColumn("_nth", F.row_number().over(newest))
+            parts.append(rows.where((F.col("_nth") == 1) & ~F.col("_gone")).drop("_nth", "_version"))
+        if not parts:
             return self.spark.createDataFrame([], self.stored)
-        newest = W.partitionBy(*L.IDENTITY, "_range").orderBy(F.desc("_since"))
-        rows = self._versions(paths).withColumn("_nth", F.row_number().over(newest))
-        return rows.where((F.col("_nth") == 1) & ~F.col("_gone")).drop("_nth", "_version")
+        return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
     # --- one cycle ------------------------------------------------------------------------------------------
 
@@ -142,7 +167,8 @@ class Ledger:
     def held_rows(self, touched: DataFrame) -> DataFrame:
         """The row every identity holds: the first of the last run of observations with one block hash. It comes once for
         its own range and, marked ``_gone``, once for every other range of the history."""
-        history = F.array_sort("history")  # its fields begin with the order of arrival
+        history = F.col("history")
+        touched = touched.withColumn("history", F.sort_array("history"))  # its fields begin with the order of arrival
         starts = F.filter(
             history, lambda x, i: (i == 0) | ~x["block_hash"].eqNullSafe(F.get(history, i - 1)["block_hash"])
         )
@@ -158,9 +184,10 @@ class Ledger:
         path = f"{self.folder}/rows/_version={version}"
         if "_since" not in rows.columns:
             rows = rows.withColumn("_since", F.lit(version))
-        rows.select(*self.columns, "_since", "_gone", "_chain", "_range").repartition("_chain", "_range").write.mode("overwrite").partitionBy(
-            "_chain", "_range"
-        ).parquet(path)
+        rows = rows.select(*self.columns, "_since", "_gone", "_chain", "_range")
+        # Few ranges hold most rows, so one of them is divided over tasks by its measured size; small ones share a task.
+        with _replanned(rows.sparkSession):
+            rows.hint("rebalance", "_chain", "_range").write.mode("overwrite").partitionBy("_chain", "_range").parquet(path)
         return [tuple(r) for r in self._versions([path]).groupBy("_chain", "_range").agg(F.count(F.lit(1))).collect()]
 
     def _compacted(self, manifest: DataFrame, written: list[tuple[int, int, int]], batch_id: int) -> DataFrame:
@@ -274,15 +301,17 @@ def ledger_stream(logs: DataFrame, ledger: Ledger, checkpoint: str, canonical: C
     spark = ledger.spark
     rest = [c for c in ledger.columns if c not in (*L.IDENTITY, *L.ARRIVAL)]
     histories = logs.groupBy(*L.IDENTITY).agg(F.collect_set(F.struct(*L.ARRIVAL, *rest)).alias("history"))
-    before = spark.conf.get(_STATE_STORE[0], None)
-    spark.conf.set(*_STATE_STORE)
+    before = {name: spark.conf.get(name, None) for name in _STATE_STORE}
+    for name, value in _STATE_STORE.items():
+        spark.conf.set(name, value)
     try:
         return (
             histories.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True)
             .foreachBatch(lambda touched, batch_id: ledger.process(touched, batch_id, canonical())).start()
         )
     finally:
-        if before is None:
-            spark.conf.unset(_STATE_STORE[0])
-        else:
-            spark.conf.set(_STATE_STORE[0], before)
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
