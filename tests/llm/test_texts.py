@@ -197,6 +197,26 @@ def test_packing_ids_equal_the_library(library, text):
     assert np.frombuffer(packing.encoder(PACKING_TOKENIZER)(text), "<u4").tolist() == want
 
 
+def test_packing_encodes_a_text_at_once(library, monkeypatch):
+    letters = np.random.default_rng(4).choice(list("abcdefghijklmnopqrstuvwxyz"), (5000, 7))
+    text, calls = " ".join("".join(w) for w in letters), []
+    encode = packing._Encoder(PACKING_TOKENIZER)
+    for name in ("encode", "encode_to_numpy"):
+        plain = getattr(encode.library, name)
+        monkeypatch.setattr(encode.library, name, lambda *a, plain=plain, **k: calls.append(1) or plain(*a, **k))
+    want = library[PACKING_TOKENIZER].encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(encode(text), "<u4").tolist() == want
+    assert len(calls) == 1
+
+
+@pytest.mark.parametrize("text", [
+    "", " ", "  two  blanks  ", "line\n\n next\r\n\tlast\n", "a<|endoftext|>b <|endoftext|>", "I'll we'd 'S 12 345.6", "x" * 3000, " " * 3000 + "y",
+])
+def test_packing_ids_of_odd_texts(library, text):
+    want = library[PACKING_TOKENIZER].encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(packing.encoder(PACKING_TOKENIZER)(text), "<u4").tolist() == want
+
+
 @settings(max_examples=300, deadline=None)
 @given(ODD_TEXT)
 def test_bpe_equals_the_library(library, text):

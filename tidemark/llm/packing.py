@@ -35,20 +35,18 @@ PLANS = ((2048, 0, 2), (2048, 0, 2048), (32, 0, 4), (2048, 8, 2), (2048, 8, 2048
 # Pieces ranked by one task.
 SLICE_ROWS = 1 << 16
 END_ID = 0
-_CACHE = 200_000
 _PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
 class _Encoder:
     """Token ids of whole texts as little-endian bytes, equal to the tokenizers library with the same file.
 
-    Between two non-blank characters a single space always starts a new pre-token, so texts are cut there and the ids
-    of cut parts are kept for the next time; texts with other blanks around spaces are encoded in one go.
+    A text is one call and its ids stay one buffer. Nothing is kept from text to text: corpora have more words than a worker
+    could remember, and a word on its own costs more than it does within its text.
     """
 
     def __init__(self, path: str):
         import json
-        import re
 
         import public_tokenizers
         import tiktoken
@@ -60,26 +58,9 @@ class _Encoder:
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         ranks = {k: i for k, i in ranks.items() if i not in special.values()}
         self.library = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
-        self.special = tuple(special)
-        self.seam = re.compile(r"\s\x20|\x20\s|^\x20|\x20$")
-        self.known: dict[str, bytes] = {}
-
-    def _encode(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, allowed_special="all"), "<u4").tobytes()
 
     def __call__(self, text: str) -> bytes:
-        if self.seam.search(text) or any(s in text for s in self.special):
-            return self._encode(text)
-        first, *rest = text.split(" ")
-        known, out = self.known, [self._encode(first)]
-        for word in rest:
-            ids = known.get(word)
-            if ids is None:
-                ids = self._encode(" " + word)
-                if len(known) < _CACHE:
-                    known[word] = ids
-            out.append(ids)
-        return b"".join(out)
+        return self.library.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False).tobytes()
 
 
 def _byte_table() -> dict[str, int]:
