@@ -190,7 +190,8 @@ def train(sample: pd.DataFrame, seen: tuple[int, int]) -> Model:
     Every document is calibrated with dictionaries from the other folds, as a new document would be; the final
     dictionaries use the whole sample. ``seen`` are the numbers of labelled rows per class the sample stands for. Of near
     copies one is learnt from.
-    Without two rows of both classes no window saves anything, and the score is the smoothed share of toxic labels.
+    Without two rows of both classes no window saves anything, and the score is the smoothed share of toxic labels. Where only
+    copies make up the second row, there are dictionaries but nothing to calibrate them on, and the score is that share too.
     """
     prior = (seen[1] + 0.5) / (sum(seen) + 1)
     flat = (float(np.log(prior / (1 - prior))),) + (0.0,) * (2 * STEPS + 1)
@@ -200,7 +201,7 @@ def train(sample: pd.DataFrame, seen: tuple[int, int]) -> Model:
     sample = pd.concat([own.iloc[_without_copies(own["text"])] for _, own in sample.groupby("label")])
     sample = sample.sort_values("doc_id", kind="stable").reset_index(drop=True)
     if sample["label"].value_counts().min() < 2:
-        return Model(b"", b"", flat)
+        return Model(*_dictionaries(sample, {c: _held(sample.loc[sample["label"] == c, "text"]) for c in (0, 1)}), flat)
     fold = sample.groupby("label").cumcount() % FOLDS
     x, y = np.zeros((len(sample), 2 * STEPS + 2)), sample["label"].to_numpy(float)
     texts = lambda k, c: sample.loc[(fold == k) & (sample["label"] == c), "text"]
