@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pathlib
 import random
 
 import pytest
@@ -163,3 +164,69 @@ def test_a_single_version_is_read_without_ordering(spark, tmp_path):
     intake.run([seen(2, "h", tx="a", at=2), seen(2, "x", tx="a", at=3)], blocks)
     assert ordered()
     assert sorted((r["tx_hash"], r["block_number"]) for r in held().collect()) == [("a", 2), ("b", 1500)]
+
+
+def _ordered(df):
+    return "Window" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_versions_of_other_identities_are_read_without_ordering(spark, tmp_path):
+    blocks = [(b, "h") for b in range(1, 30)]
+    intake = Intake(spark, tmp_path)
+    held = lambda: intake.ledger.rows_of(intake.ledger._ranges(intake.ledger.manifest(intake.ledger.last_batch())))
+    intake.run([seen(1, "h", tx="a", at=1), seen(2, "h", tx="b", at=1)], blocks)
+    intake.run([seen(3, "h", tx="c", at=2), seen(4, "h", tx="d", at=3)], blocks)
+    assert intake.ledger.manifest(1).first()["versions"] == [0, 1]
+    assert not _ordered(held()) and held().count() == 4
+    intake.run([seen(5, "x", tx="a", at=4)], blocks)  # replaces a row, and the range is written whole
+    assert not _ordered(held())
+    intake.run([seen(6, "h", tx="b", at=5)], blocks)
+    assert _ordered(held())
+    assert sorted((r["tx_hash"], r["block_number"]) for r in held().collect()) == [("a", 5), ("b", 2), ("c", 3), ("d", 4)]
+
+
+def test_only_rows_that_may_be_replaced_are_ordered(spark, tmp_path):
+    blocks = [(b, "h") for b in range(1, 900)]
+    intake = Intake(spark, tmp_path)
+    intake.run([seen(b, "h", tx=f"t{b}", at=b) for b, _ in blocks], blocks)
+    intake.run([seen(b, "x", tx=f"t{b + 1}", at=1000) for b in (7, 8)] + [seen(1500, "y", tx="t20", at=1000)], blocks)
+    ledger = intake.ledger
+    ranges = ledger._ranges(ledger.manifest(1).where("rng = 0"))
+    doubted = {r["tx_hash"] for r in ledger._doubted(ranges).where("_doubted").collect()}
+    assert {"t8", "t9", "t20"} <= doubted and len(doubted) < 20
+    held = {r["tx_hash"]: r["block_number"] for r in ledger.rows_of(ranges).collect()}
+    assert held == {f"t{b}": b for b, _ in blocks if b != 20} | {"t8": 7, "t9": 8}
+
+
+def test_a_replaced_row_is_no_mismatch(spark, tmp_path):
+    blocks = [(b, "h") for b in range(1, 1200)]
+    intake = Intake(spark, tmp_path)
+    first = [seen(5, "stale", tx="a", at=1), seen(9, "stale", tx="b", at=1), seen(4, "h", tx=None, at=1)]
+    intake.run(first, blocks)
+    assert intake.ledger.frontier(0).first()["first_bad"] == 5
+    later = [seen(5, "h", tx="a", at=2), seen(4, "stale", tx=None, at=2)]
+    intake.run(later, blocks)
+    assert intake.ledger.frontier(1).first()["first_bad"] == 4
+    intake.run([seen(1100, "h", tx=None, at=3), seen(1100, "h", tx="b", at=3)], blocks)
+    assert intake.ledger.frontier(2).first()["first_bad"] is None
+    assert intake.view() == {"a": (5, "confirmed", False), "b": (1100, "confirmed", False), None: (1100, "confirmed", False)}
+
+
+def test_a_delivery_is_written_once_and_deleted_by_the_next_run(spark, tmp_path):
+    from tidemark.plans.stream_plans import _deliver
+    from tidemark.sources.stored import shared_dir
+
+    tables = lambda: set((pathlib.Path(shared_dir(spark)) / "tidemark").glob("parts-*"))
+    before, left, folder = tables(), [], tmp_path / "run"
+
+    def start(stream):
+        left.append(len(list((folder / "source").glob("*.parquet"))))
+        return (
+            stream.writeStream.format("parquet").option("path", str(folder / "out")).option("checkpointLocation", str(folder / "checkpoint"))
+            .trigger(availableNow=True).start()
+        )
+
+    rows = spark.createDataFrame([(i,) for i in range(30)], "b bigint").coalesce(1)
+    _deliver(spark, rows, F.col("b") % 3, str(folder), start)
+    assert sorted(r["b"] for r in spark.read.parquet(str(folder / "out")).collect()) == list(range(30))
+    assert tables() == before and left == [1, 2, 2]

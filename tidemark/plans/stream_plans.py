@@ -23,14 +23,16 @@ def _folder(spark: SparkSession, name: str) -> str:
 
 
 def _deliver(spark: SparkSession, df: DataFrame, part, folder: str, start, order=range(PARTS)) -> None:
-    """Write ``df`` part by part (``part`` = 0..PARTS-1) and run the stream after each: every run but the first is a restart."""
+    """Write ``df`` part by part (``part`` = 0..PARTS-1) and run the stream after each: every run but the first is a restart.
+
+    ``df`` is read once for each part. The files of a delivery are deleted by the run after the one that took them in.
+    """
     source = f"{folder}/source"
-    table = stored(df.withColumn("_part", part), "parts")
-    if not table.where(F.col("_part").isNull() | ~F.col("_part").isin(*range(PARTS))).isEmpty():
+    if not df.where(part.isNull() | ~part.isin(*range(PARTS))).isEmpty():
         raise ValueError("every row must belong to one of the deliveries")
     for i in order:
-        table.where(F.col("_part") == i).drop("_part").write.mode("append").parquet(source)
-        stream = spark.readStream.schema(df.schema).parquet(source)
+        df.where(part == i).write.mode("append").option("compression", "zstd").parquet(source)
+        stream = spark.readStream.schema(df.schema).option("cleanSource", "delete").parquet(source)
         start(stream).awaitTermination()
 
 
@@ -47,7 +49,7 @@ def _by_position() -> Column:
 
 def stream_ewma(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Online EWMA over three deliveries; equals the batch recursion with the same seed."""
-    returns = returns_of(spark, sf_dir).withColumn("seed", F.var_samp("r").over(W.partitionBy("asset")))
+    returns = stored(returns_of(spark, sf_dir).withColumn("seed", F.var_samp("r").over(W.partitionBy("asset"))), "returns")
     folder = _folder(spark, "ewma")
     sink = _append(folder)
     _deliver(spark, returns, _by_position(), folder, lambda s: sink(SV.ewma_stream(s)))

@@ -9,6 +9,9 @@ mark where an identity held a row before; a range with more than ``COMPACT_AFTER
 manifest of a cycle lists the versions of every range and is written last but for the cycle's own figures, so a cycle that
 breaks off leaves nothing behind and a repeated one ends in the same tables.
 
+Disk is what a cycle needs most. Shuffle files and loaded histories go as soon as their job or task ends, tables are written
+with zstd, and versions are ordered only where the manifest counts rows of identities that an earlier cycle touched too.
+
 Whether a row is confirmed or orphaned is not stored but follows from its contract's frontier, which every cycle moves:
 
 * ``first_bad`` the lowest due block whose hash is not the chain's, over the rows held now. It is kept per range; a cycle
@@ -24,6 +27,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from contextlib import contextmanager
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
@@ -36,8 +40,13 @@ from tidemark.operators import ledger as L
 
 RANGE_BLOCKS = 1_000
 COMPACT_AFTER = 4
+# A task writes straight into the ranges if its files get so many rows on average.
+FILE_ROWS = 10_000
+# Size of the bitmaps that tell which rows may have been replaced, in bits: for each row that may replace one, and at most
+# (32 MB, broadcast).
+MARKS_PER_ROW, MAX_MARKS = 8, 1 << 28
 
-_MANIFEST = "chain_id bigint, rng bigint, versions array<int>, n_rows bigint, mark bigint"
+_MANIFEST = "chain_id bigint, rng bigint, versions array<int>, n_rows bigint, mark bigint, n_again bigint"
 _BAD = "chain_id bigint, contract_address string, rng bigint, first_bad bigint"
 _FRONTIER = (
     "chain_id bigint, contract_address string, reorg boolean, orphan_from_block bigint, last_scanned_block bigint, "
@@ -48,10 +57,16 @@ _CYCLES = (
     "batch_id int, identities bigint, rows_written bigint, ranges_written bigint, ranges_checked bigint, rows_checked bigint, reorgs bigint"
 )
 # Histories are kept on disk and reached by key, so a cycle does not load those it does not touch. Their number is not
-# counted, for which every write would look its key up first.
-_STATE_STORE = {
+# counted, for which every write would look its key up first. Executors keep no copy between tasks: every run loads them anew.
+# A shuffle is deleted with the job that made it; by default it stays until the driver collects its garbage.
+_STREAM_CONF = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false",
+    "spark.sql.streaming.stateStore.rocksdb.compression": "zstd",
+    "spark.sql.streaming.stateStore.rocksdb.blockSizeKB": "32",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
+    "spark.sql.streaming.minBatchesToRetain": "2",
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
 }
 _ADAPTIVE = "spark.sql.adaptive.enabled"
 
@@ -79,6 +94,7 @@ class Range:
     number: int
     versions: tuple[int, ...]
     rows: int
+    again: int
 
 
 class Ledger:
@@ -87,8 +103,9 @@ class Ledger:
     def __init__(self, spark: SparkSession, folder: str, schema: StructType, depth: int, start_block: int = 0, compact_after: int = COMPACT_AFTER):
         self.spark, self.folder, self.depth, self.start_block, self.compact_after = spark, folder, depth, start_block, compact_after
         self.columns = list(schema.names)
-        # ``_since``: the cycle that wrote the row; ``_gone``: the identity holds no row in this range any more.
-        self.stored = StructType(schema.fields).add("_since", "integer").add("_gone", "boolean")
+        # ``_since``: the cycle that wrote the row; ``_gone``: the identity holds no row in this range any more; ``_again``: an
+        # earlier cycle touched the identity, so an earlier version may hold a row of it.
+        self.stored = StructType(schema.fields).add("_since", "integer").add("_gone", "boolean").add("_again", "boolean")
         self.stored = self.stored.add("_version", "integer").add("_chain", "long").add("_range", "long")
 
     # --- tables ---------------------------------------------------------------------------------------------
@@ -100,7 +117,7 @@ class Ledger:
         return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}/batch={batch}")
 
     def _write(self, df: DataFrame, name: str, batch: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.folder}/{name}/batch={batch}")
+        df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.folder}/{name}/batch={batch}")
 
     def manifest(self, batch: int) -> DataFrame:
         return self._table("manifest", batch, _MANIFEST)
@@ -124,27 +141,51 @@ class Ledger:
 
     def _ranges(self, listed: DataFrame) -> list[Range]:
         """Names of ranges; metadata of the few ranges a cycle touches."""
-        return [Range(r["chain_id"], r["rng"], tuple(r["versions"]), r["n_rows"]) for r in listed.collect()]
+        return [Range(r["chain_id"], r["rng"], tuple(r["versions"]), r["n_rows"], r["n_again"]) for r in listed.collect()]
 
     def _versions(self, paths: list[str]) -> DataFrame:
         return self.spark.read.schema(self.stored).option("basePath", f"{self.folder}/rows").parquet(*paths)
 
+    def _paths(self, ranges: Iterable[Range]) -> list[str]:
+        return [f"{self.folder}/rows/_version={v}/_chain={r.chain}/_range={r.number}" for r in ranges for v in r.versions]
+
     def rows_of(self, ranges: Iterable[Range]) -> DataFrame:
         """The rows held in ``ranges``: of every identity the newest version, unless it has moved away."""
-        single, several = [], []
-        for r in ranges:
-            paths = [f"{self.folder}/rows/_version={v}/_chain={r.chain}/_range={r.number}" for v in r.versions]
-            (single if len(paths) == 1 else several).extend(paths)
+        ranges = list(ranges)
+        # Where no version holds an identity of an earlier one, there is nothing to choose from.
+        plain = self._paths(r for r in ranges if len(r.versions) == 1 or r.again == 0)
+        several = [r for r in ranges if len(r.versions) > 1 and r.again != 0]
         parts = []
-        if single:  # a version holds an identity once per range, so there is nothing to choose from
-            parts.append(self._versions(single).where(~F.col("_gone")).drop("_version"))
+        if plain:
+            parts.append(self._versions(plain).where(~F.col("_gone")).drop("_version"))
         if several:
+            rows = self._doubted(several)
+            parts.append(rows.where(~F.col("_doubted") & ~F.col("_gone")).drop("_doubted", "_version"))
             newest = W.partitionBy(*L.IDENTITY, "_range").orderBy(F.desc("_since"))
-            rows = self._versions(several).withColumn("_nth", F.row_number().over(newest))
-            parts.append(rows.where((F.col("_nth") == 1) & ~F.col("_gone")).drop("_nth", "_version"))
+            rows = rows.where("_doubted").drop("_doubted", "_version").withColumn("_nth", F.row_number().over(newest))
+            parts.append(rows.where((F.col("_nth") == 1) & ~F.col("_gone")).drop("_nth"))
         if not parts:
             return self.spark.createDataFrame([], self.stored)
-        return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+        return reduce(DataFrame.unionByName, parts)
+
+    def _doubted(self, ranges: list[Range]) -> DataFrame:
+        """All versions of ``ranges`` with ``_doubted``: false only if an identity is in one of them, so its row need not travel.
+
+        The identities that came again are marked in bitmaps by hash, so some others are doubted too.
+        """
+        rows = self._versions(self._paths(ranges))
+        n = sum(r.rows if r.again is None else r.again for r in ranges)
+        bits = min(max(MARKS_PER_ROW * n, 1 << 15), MAX_MARKS)
+        place = F.pmod(F.xxhash64(*L.IDENTITY, "_range"), F.lit(bits)) + 1
+        again = rows.where(F.coalesce("_again", F.lit(True))).select(place.alias("_place"))
+        marks = again.groupBy(F.bitmap_bucket_number("_place").alias("_bucket")).agg(
+            F.bitmap_construct_agg(F.bitmap_bit_position("_place")).alias("_marks")
+        )
+        bit = F.bitmap_bit_position(place)
+        byte = F.substring("_marks", (F.floor(bit / 8) + 1).cast("int"), F.lit(1))
+        doubted = F.getbit(F.conv(F.hex(byte), 16, 10).cast("bigint"), (bit % 8).cast("int")) == 1
+        rows = rows.withColumn("_bucket", F.bitmap_bucket_number(place)).join(F.broadcast(marks), "_bucket", "left")
+        return rows.withColumn("_doubted", F.coalesce(doubted, F.lit(False))).drop("_bucket", "_marks")
 
     # --- one cycle ------------------------------------------------------------------------------------------
 
@@ -160,7 +201,7 @@ class Ledger:
         marked = manifest.join(marks, ["chain_id", "rng"], "left")
         checked = self._check(marked, batch_id, canonical, written, reorgs)
         identities = self._advance(batch_id, canonical, frontier)
-        self._write(marked.drop("mark").withColumnRenamed("now", "mark").coalesce(1), "manifest", batch_id)
+        self._write(marked.withColumn("mark", F.col("now")).drop("now").coalesce(1), "manifest", batch_id)
         cycle = (batch_id, identities, sum(n for _, _, n in written), len(written), len(checked), sum(r.rows for r in checked), len(reorgs))
         self._write(self.spark.createDataFrame([cycle], _CYCLES).coalesce(1), "cycles", batch_id)
 
@@ -173,22 +214,31 @@ class Ledger:
             history, lambda x, i: (i == 0) | ~x["block_hash"].eqNullSafe(F.get(history, i - 1)["block_hash"])
         )
         ranges = F.array_distinct(F.transform("history", lambda x: range_of(x["block_number"])))
-        rows = touched.select(*L.IDENTITY, F.element_at(starts, -1).alias("_row"), F.explode(ranges).alias("_range"))
+        again = F.col("first_cycle") != F.col("last_cycle") if "first_cycle" in touched.columns else F.lit(True)
+        rows = touched.select(*L.IDENTITY, F.element_at(starts, -1).alias("_row"), again.alias("_again"), F.explode(ranges).alias("_range"))
         rest = [c for c in self.columns if c not in L.IDENTITY]
-        rows = rows.select(*L.IDENTITY, *[F.col("_row")[c].alias(c) for c in rest], "_range")
+        rows = rows.select(*L.IDENTITY, *[F.col("_row")[c].alias(c) for c in rest], "_again", "_range")
         gone = F.col("_range") != range_of(F.col("block_number"))
-        return rows.select(*self.columns, gone.alias("_gone"), F.col("chain_id").cast("bigint").alias("_chain"), "_range")
+        return rows.select(*self.columns, gone.alias("_gone"), "_again", F.col("chain_id").cast("bigint").alias("_chain"), "_range")
 
     def _write_rows(self, rows: DataFrame, version: int) -> list[tuple[int, int, int]]:
         """Write a version of the ranges of ``rows``: ``(chain, range, rows)`` of each."""
-        path = f"{self.folder}/rows/_version={version}"
-        if "_since" not in rows.columns:
-            rows = rows.withColumn("_since", F.lit(version))
-        rows = rows.select(*self.columns, "_since", "_gone", "_chain", "_range")
-        # Few ranges hold most rows, so one of them is divided over tasks by its measured size; small ones share a task.
+        path, touched = f"{self.folder}/rows/_version={version}", f"{self.folder}/touched"
+        for name, value in (("_since", version), ("_again", True)):
+            if name not in rows.columns:
+                rows = rows.withColumn(name, F.lit(value))
+        # Written as they come first: compressed columns are a fraction of a shuffle, and their size is known.
+        rows.select(*self.columns, "_since", "_gone", "_again", "_chain", "_range").write.mode("overwrite").option("compression", "zstd").parquet(touched)
+        schema = StructType([f for f in self.stored.fields if f.name != "_version"])
+        rows = self.spark.read.schema(schema).parquet(touched)
+        written = [tuple(r) for r in rows.groupBy("_chain", "_range").agg(F.count(F.lit(1))).collect()]
         with _replanned(rows.sparkSession):
-            rows.hint("rebalance", "_chain", "_range").write.mode("overwrite").partitionBy("_chain", "_range").parquet(path)
-        return [tuple(r) for r in self._versions([path]).groupBy("_chain", "_range").agg(F.count(F.lit(1))).collect()]
+            # Tasks that read much write into every range. If that made small files, a range goes to as many tasks as its
+            # measured size asks for, and small ranges share a task.
+            if sum(n for _, _, n in written) < FILE_ROWS * rows.rdd.getNumPartitions() * len(written):
+                rows = rows.hint("rebalance", "_chain", "_range")
+            rows.write.mode("overwrite").option("compression", "zstd").partitionBy("_chain", "_range").parquet(path)
+        return written
 
     def _compacted(self, manifest: DataFrame, written: list[tuple[int, int, int]], batch_id: int) -> DataFrame:
         """Write those ranges of this cycle whole that have too many versions, as version ``-1 - batch_id``."""
@@ -198,17 +248,24 @@ class Ledger:
         if not full:
             return manifest
         left = {(chain, number): n for chain, number, n in self._write_rows(self.rows_of(full), -1 - batch_id)}
-        rows = [(r.chain, r.number, [-1 - batch_id] if (r.chain, r.number) in left else [], left.get((r.chain, r.number), 0)) for r in full]
-        whole = self.spark.createDataFrame(rows, "chain_id bigint, rng bigint, _versions array<int>, _n bigint")
+        rows = [(r.chain, r.number, [-1 - batch_id] if (r.chain, r.number) in left else [], left.get((r.chain, r.number), 0), 0) for r in full]
+        whole = self.spark.createDataFrame(rows, "chain_id bigint, rng bigint, _versions array<int>, _n bigint, _again bigint")
         joined = manifest.join(whole, ["chain_id", "rng"], "left")
-        return joined.select("chain_id", "rng", F.coalesce("_versions", "versions").alias("versions"), F.coalesce("_n", "n_rows").alias("n_rows"), "mark")
+        return joined.select(
+            "chain_id", "rng", F.coalesce("_versions", "versions").alias("versions"), F.coalesce("_n", "n_rows").alias("n_rows"), "mark",
+            F.coalesce("_again", "n_again").alias("n_again"),
+        )
 
     def _next_manifest(self, old: DataFrame, written: list[tuple[int, int, int]], batch_id: int) -> DataFrame:
         new = self.spark.createDataFrame([(*w, batch_id) for w in written], "chain_id bigint, rng bigint, n bigint, version int")
+        again = self._versions([f"{self.folder}/rows/_version={batch_id}"]).groupBy(F.col("_chain").alias("chain_id"), F.col("_range").alias("rng"))
+        new = new.join(again.agg(F.count_if(F.coalesce("_again", F.lit(True))).alias("again")), ["chain_id", "rng"], "left")
         none = F.array().cast("array<int>")
         versions = F.concat(F.coalesce("versions", none), F.when(F.col("version").isNotNull(), F.array("version")).otherwise(none))
-        rows = F.coalesce("n_rows", F.lit(0)) + F.coalesce("n", F.lit(0))
-        return old.join(new, ["chain_id", "rng"], "full").select("chain_id", "rng", versions.alias("versions"), rows.alias("n_rows"), "mark")
+        total = lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))
+        return old.join(new, ["chain_id", "rng"], "full").select(
+            "chain_id", "rng", versions.alias("versions"), total("n_rows", "n").alias("n_rows"), "mark", total(F.coalesce("n_again", "n_rows"), "again").alias("n_again")
+        )
 
     def _reconcile(self, batch_id: int, canonical: DataFrame) -> tuple[DataFrame, list[tuple[int, str, int]]]:
         """The frontier of the cycle before, rewound where the chain left it; the rewinds are kept for good."""
@@ -245,19 +302,39 @@ class Ledger:
             changed = changed | ((F.col("chain_id") == chain) & (F.col("rng") >= block // RANGE_BLOCKS))
         first, last = F.col("rng") * RANGE_BLOCKS, (F.col("rng") + 1) * RANGE_BLOCKS - 1
         due = F.col("_head_before").isNull() | ((first <= F.col("head_block") - self.depth) & (last > F.col("_head_before") - self.depth))
-        picked = ranges.where(changed | due | ~F.col("mark").eqNullSafe(F.col("now"))).select("chain_id", "rng", "versions", "n_rows")
+        picked = ranges.where(changed | due | ~F.col("mark").eqNullSafe(F.col("now"))).select("chain_id", "rng", "versions", "n_rows", "n_again")
         checked = self._ranges(picked)
-        rows = self._rewound(self.rows_of(checked), batch_id).where(~F.col("_rewound"))
-        found = rows.select(F.col("chain_id").cast("bigint").alias("chain_id"), "contract_address", "block_number", "block_hash", "_range").distinct()
-        found = found.join(heads, "chain_id").where(F.col("block_number") <= F.col("head_block") - self.depth)
-        real = canonical.select(*L.BLOCK, F.col("block_hash").alias("_real"))
-        bad = found.join(real, list(L.BLOCK), "left").where(~F.col("block_hash").eqNullSafe(F.col("_real")))
-        bad = bad.groupBy("chain_id", "contract_address", F.col("_range").alias("rng")).agg(F.min("block_number").alias("first_bad"))
+        bad = self._mismatched(checked, batch_id, canonical, heads).groupBy(
+            F.col("chain_id").cast("bigint").alias("chain_id"), "contract_address", F.col("_range").alias("rng")
+        ).agg(F.min("block_number").alias("first_bad"))
         seen = self.spark.createDataFrame([(r.chain, r.number) for r in checked], "chain_id bigint, rng bigint")
         kept = self._table("mismatches", batch_id - 1, _BAD).join(seen, ["chain_id", "rng"], "left_anti")
         self._write(kept.select("chain_id", "contract_address", "rng", "first_bad").unionByName(bad.select("chain_id", "contract_address", "rng", "first_bad")), "mismatches", batch_id)
         return checked
 
+    def _mismatched(self, ranges: list[Range], batch_id: int, canonical: DataFrame, heads: DataFrame) -> DataFrame:
+        """The rows held in ``ranges``, not rewound, whose due block has another hash than the chain's.
+
+        Which rows are held is asked for those of such blocks alone, so only they and the rows that may have replaced them
+        are shuffled.
+        """
+        rows = self._versions(self._paths(ranges)) if self._paths(ranges) else self.spark.createDataFrame([], self.stored)
+        rows = rows.where(~F.col("_gone"))
+        block = ["chain_id", "block_number", "block_hash"]
+        found = rows.select(*block).distinct().join(heads, "chain_id").where(F.col("block_number") <= F.col("head_block") - self.depth)
+        real = canonical.select(*L.BLOCK, F.col("block_hash").alias("_real"))
+        wrong = found.join(real, list(L.BLOCK), "left").where(~F.col("block_hash").eqNullSafe(F.col("_real"))).select(*block).distinct()
+        self._write(wrong, "suspected", batch_id)
+        wrong = self.spark.read.schema(wrong.schema).parquet(f"{self.folder}/suspected/batch={batch_id}")
+        same = lambda a, b, names: [a[c].eqNullSafe(b[c]) for c in names]
+        rows = rows.join(wrong, same(rows, wrong, block), "left_semi")
+        rows = self._rewound(rows, batch_id).where(~F.col("_rewound"))
+        several = self._paths(r for r in ranges if len(r.versions) > 1 and r.again != 0)
+        if not several:
+            return rows
+        newer = self._versions(several).where(F.coalesce("_again", F.lit(True))).select(*L.IDENTITY, "_range", "_since")
+        return rows.join(newer, [*same(rows, newer, (*L.IDENTITY, "_range")), newer["_since"] > rows["_since"]], "left_anti")
+
     def _advance(self, batch_id: int, canonical: DataFrame, frontier: DataFrame) -> int:
         """Move the frontier over the cycle's blocks and up to the first mismatch or the confirmation depth; the number of
         identities of the cycle."""
@@ -300,9 +377,12 @@ def ledger_stream(logs: DataFrame, ledger: Ledger, checkpoint: str, canonical: C
     """
     spark = ledger.spark
     rest = [c for c in ledger.columns if c not in (*L.IDENTITY, *L.ARRIVAL)]
-    histories = logs.groupBy(*L.IDENTITY).agg(F.collect_set(F.struct(*L.ARRIVAL, *rest)).alias("history"))
-    before = {name: spark.conf.get(name, None) for name in _STATE_STORE}
-    for name, value in _STATE_STORE.items():
+    logs = logs.withColumn("_cycle", F.current_timestamp())  # one value in all of a cycle
+    histories = logs.groupBy(*L.IDENTITY).agg(
+        F.collect_set(F.struct(*L.ARRIVAL, *rest)).alias("history"), F.min("_cycle").alias("first_cycle"), F.max("_cycle").alias("last_cycle")
+    )
+    before = {name: spark.conf.get(name, None) for name in _STREAM_CONF}
+    for name, value in _STREAM_CONF.items():
         spark.conf.set(name, value)
     try:
         return (
